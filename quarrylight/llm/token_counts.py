@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import ship, table
 
 BATCH = 1 << 20  #: characters that are encoded at a time, about
-LONG = 1 << 14  #: texts longer than this are split
-#: One space between characters that are neither white space nor the mark that stands for a space. No piece of the
-#: vocabulary has that mark after another character, so no merge crosses such a place, and the encoder puts the mark
-#: before the next part in place of the space.
-SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+MEMO = 800_000  #: words whose counts are remembered at most; then the memo is emptied
+#: One space between characters that are neither a space nor the mark that stands for one. No piece of the vocabulary has
+#: that mark after another character, so no merge crosses such a place, and the encoder puts the mark before the next
+#: part in place of the space.
+SAFE = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 
 
 @lru_cache(maxsize=4)
@@ -30,8 +30,14 @@ def _model(path: str):
     return model, dummy and not crossing
 
 
-def split_safely(text: str, long: int = LONG) -> list[str]:
-    """Parts of about `long` characters whose counts add up to the text's; a text without safe places stays whole."""
+_known: dict[str, dict[str, int]] = {}
+
+
+def split_safely(text: str, long: int = 0) -> list[str]:
+    """Parts, of about `long` characters at least, whose counts add up to the text's; a text without safe places stays whole."""
+    if not long:
+        plain = "  " not in text and "▁" not in text and text[:1] != " " and text[-1:] != " "
+        return text.split(" ") if plain else SAFE.split(text)
     parts, at = [], 0
     while len(text) - at > long:
         m = SAFE.search(text, at + long)
@@ -43,30 +49,35 @@ def split_safely(text: str, long: int = LONG) -> list[str]:
     return parts
 
 
-def counts(texts: list[str | None], path: str, batch: int = BATCH, long: int = LONG) -> list[int]:
-    """Tokens of each text; null counts as empty."""
+def counts(texts: list[str | None], path: str, batch: int = BATCH) -> list[int]:
+    """Tokens of each text; null counts as empty. Texts are taken in batches of about equal size; of the parts of a batch,
+    those not seen before are encoded, in one call, and the counts of the parts add up."""
     model, splits = _model(path)
-    out = [0] * len(texts)
-    parts: list[str] = []
-    owner: list[int] = []
+    known = _known.setdefault(path, {})
+    out: list[int] = []
+    held: list[list[str]] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        for i, ids in zip(owner, model.encode(parts, num_threads=1)):
-            out[i] += len(ids)
-        parts.clear()
-        owner.clear()
+        there = set().union(*held)
+        if len(known) + len(there) > MEMO + len(held):
+            known.clear()
+        new = list(there.difference(known))
+        known.update(zip(new, map(len, model.encode(new, num_threads=1))))
+        out.extend(sum(map(known.__getitem__, parts)) for parts in held)
+        for p in new:
+            if len(p) > 64:
+                del known[p]
+        held.clear()
         size = 0
 
-    for i, text in enumerate(texts):
-        for part in split_safely(text, long) if splits and text and len(text) > long else [text or ""]:
-            parts.append(part)
-            owner.append(i)
-            size += len(part)
-            if size >= batch:
-                flush()
-    if parts:
+    for text in texts:
+        held.append([] if not text else split_safely(text) if splits else [text])
+        size += len(text or "")
+        if size >= batch:
+            flush()
+    if held:
         flush()
     return out
 

@@ -13,7 +13,7 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO = 400_000  #: words that are remembered at most; then the memo is emptied
+MEMO = 800_000  #: words that are remembered at most, at about 200 bytes; then the memo is emptied
 
 
 def _byte_characters() -> dict[int, str]:
@@ -24,45 +24,67 @@ def _byte_characters() -> dict[int, str]:
 
 
 BYTES = _byte_characters()
-#: Letters for which the libraries' and Python's notions of a letter agree, then marks of which a run is one pre-token.
-WORD = re.compile(r"([A-Za-zß-öø-ÿ]+)([.,;:!?]*)")
+#: Letters for which the libraries' and Python's notions of a letter agree; marks of which a run after a letter is one pre-token.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?"
+#: Pre-tokens of an ASCII word without an apostrophe (which may begin a contraction): digits one by one, or in runs.
+ONE_DIGIT, DIGITS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+"), re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
 class _Memo(dict):
     """word -> its ids as little-endian bytes. lead: the byte-level character of the space before it, if it keeps one."""
 
-    def __init__(self, tokenizer, lead: str, code: str):
-        self.tokenizer, self.lead, self.code = tokenizer, lead, code
+    def __init__(self, tokenizer, lead: str, code: str, pattern: re.Pattern):
+        self.tokenizer, self.lead, self.code, self.pattern = tokenizer, lead, code, pattern
         self.bpe = tokenizer.model.tokenize
-        self.marks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, lead: str, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+        return array(self.code, [t.id for t in self.bpe(lead + plain)]).tobytes()
+
+    def _parts(self, pieces: list[str]) -> bytes:
+        """Ids of pre-tokens that follow one another without a space."""
+        out = self.parts
+        for x in pieces:
+            if x not in out:
+                if len(out) > MEMO // 8:
+                    out.clear()
+                out[x] = self._piece("", x)
+        return b"".join(map(out.__getitem__, pieces))
+
     def __missing__(self, word: str) -> bytes:
-        m = WORD.fullmatch(word)
-        if m is None:
-            out = self._whole((" " if self.lead else "") + word)
-            if len(word) > 64:
-                return out
-        elif marks := m[2]:
-            out = self[m[1]]
-            if marks not in self.marks:
-                self.marks[marks] = self._whole(marks)
-            return out + self.marks[marks]  # not remembered: the word is
+        stem = word.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
+            if len(stem) == len(word):
+                out = self._piece(self.lead, word)
+            else:
+                out = self[stem] + self._parts([word[len(stem) :]])
+        elif word and word.isascii() and word.isprintable() and " " not in word and "'" not in word:
+            first, *more = self.pattern.findall(word)
+            out = self._piece(self.lead, first) + self._parts(more)
         else:
-            plain = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-            out = array(self.code, [t.id for t in self.bpe(self.lead + plain)]).tobytes()
-        self[word] = out
+            out = self._whole((" " if self.lead else "") + word)
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
+#: White space but for the space and the line feed, and what Python alone counts as such.
+SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 class Encoder:
     """Ids of whole texts as bytes, `width` bytes each, for byte-level BPE (spaces kept) or lower-casing BPE (spaces dropped)."""
 
-    #: White space that the pre-tokenizers and Python may see differently, or that does not part words alone.
-    ODD_KEPT = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
-    ODD_DROPPED = re.compile(r"[^\S \n\t\r]|Σ")
+    #: What may not be parted at each space and line end; what may not be lowered and parted at white space. By substring
+    #: search, which costs far less than a class of characters in a regular expression.
+    ODD_KEPT = (*SPACES, "  ", "\n\n", " \n", "\n ")
+    ODD_DROPPED = (*SPACES[2:], "Σ")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -77,8 +99,9 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.special = [x["content"] for x in state["added_tokens"]]
-        self.first = _Memo(self.tokenizer, "", self.code)
-        self.after = _Memo(self.tokenizer, BYTES[32], self.code)
+        pattern = ONE_DIGIT if self.dropped else DIGITS
+        self.first = _Memo(self.tokenizer, "", self.code, pattern)
+        self.after = _Memo(self.tokenizer, BYTES[32], self.code, pattern)
         self.newline = self.first._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -93,10 +116,10 @@ class Encoder:
         if any(x in text for x in self.special):
             return self._whole(text)
         if self.dropped:
-            return b"".join(map(self.first.__getitem__, text.lower().split())) if not self.ODD_DROPPED.search(text) else self._whole(text)
+            return b"".join(map(self.first.__getitem__, text.lower().split())) if not any(x in text for x in self.ODD_DROPPED) else self._whole(text)
         if not self.kept:
             return self._whole(text)
-        if self.ODD_KEPT.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.ODD_KEPT):
             first, *more = self.SAFE.split(text)
             return self.first[first] + b"".join(map(self.after.__getitem__, more))
         out = []
