@@ -76,16 +76,3 @@ def sample_times(duration: Column, n: int = 8) -> Column:
 def sign_hash(vector: Column) -> Column:
     """The signs of up to 64 components as bits, the first highest."""
     return F.aggregate(vector, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
-
-
-def simhash_md5(words: Column) -> Column:
-    """64-bit SimHash of an array of words by the first 16 hex digits of their MD5; a bit is set if more words set it than not.
-
-    Counts are added for 16-bit quarters, so that a word costs a handful of array steps.
-    """
-    votes = F.aggregate(
-        words,
-        F.array_repeat(F.lit(0), 64),
-        lambda a, w: F.zip_with(a, F.split(F.lpad(F.conv(F.substring(F.md5(w), 1, 16), 16, 2), 64, "0"), ""), lambda n, bit: n + F.when(bit == "1", 1).otherwise(-1)),
-    )
-    return F.aggregate(votes, F.lit(0).cast("long"), lambda a, n: F.shiftleft(a, 1).bitwiseOR(F.when(n > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))

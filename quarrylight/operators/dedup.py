@@ -41,6 +41,20 @@ class DedupSpec:
         return DedupSpec(V.mean_hamming, F.bround(F.col("duration_s") / 3, 0).cast("long"), "frame_hashes", threshold=threshold, band=near)
 
 
+def text_signatures(items: DataFrame) -> DataFrame:
+    """items (item_id, text, ...) with sig: 64-bit SimHash of the different words of a text, by the first 16 hex digits of
+    their MD5; a bit is set if more words set it than not. Votes are partial sums in generated code, one row an item shuffled."""
+    words = F.array_distinct(F.array_remove(F.split("text", r"[ \t\n\r]+"), ""))
+    half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
+    rows = items.select("item_id", F.explode(words).alias("w")).select("item_id", half(1).alias("high"), half(9).alias("low"))
+    vote = lambda k: F.sum(F.shiftright(F.col("high" if k >= 32 else "low"), k % 32).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{k}")
+    votes = rows.groupBy("item_id").agg(*map(vote, range(64)))
+    sig = F.lit(0).cast("long")
+    for k in range(64):
+        sig = sig.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    return items.join(votes.select("item_id", sig.alias("sig")), "item_id", "left").withColumn("sig", F.coalesce("sig", F.lit(0).cast("long")))
+
+
 def exact_edges(items: DataFrame, content: str = "sha256") -> DataFrame:
     """Stars (src = smallest item_id of a content, dst); null contents are alike to none. Minima meet before the shuffle."""
     first = items.filter(F.col(content).isNotNull()).groupBy(content).agg(F.min("item_id").alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -41,8 +41,7 @@ def text_items(spark, d) -> DataFrame:
 
 
 def signed_items(spark, d) -> DataFrame:
-    words = F.array_distinct(F.array_remove(F.split("text", r"[ \t\n\r]+"), ""))
-    return text_items(spark, d).select("item_id", "sha256", "size", V.simhash_md5(words).alias("sig"))
+    return D.text_signatures(text_items(spark, d)).select("item_id", "sha256", "size", "sig")
 
 
 def _bit(k: int) -> str:
@@ -249,10 +248,10 @@ def _signal_pairs(items: DataFrame) -> DataFrame:
 SIGNAL_SQL = """unit as (select vec_id, epoch_us(ts) / 1e6 as m, embedding[1:32]::double[] as a, embedding[33:64]::double[] as b, list_transform(embedding[1:16]::double[], lambda x: abs(x)) as g from embeddings join events on vec_id = event_id),
 s as (select vec_id, m, case when vec_id % 7 <> 0 then list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) end as face, case when vec_id % 7 <> 1 then list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) end as clip,
   case when vec_id % 7 <> 2 then list_transform(g, lambda x: x / list_sum(g)) end as bg, vec_id % 3 as n from unit),
-t as (select x.vec_id as i, y.vec_id as j, case when x.face is null or y.face is null then 0.68 else (1 - greatest(-1, least(1, list_inner_product(coalesce(x.face, zero), coalesce(y.face, zero))))) / 2 end as f,
-  case when x.clip is null or y.clip is null then 0.60 else (1 - greatest(-1, least(1, list_inner_product(coalesce(x.clip, zero), coalesce(y.clip, zero))))) / 2 end as c,
+t as (select x.vec_id as i, y.vec_id as j, case when x.face is null or y.face is null then 0.68 else (1 - greatest(-1, least(1, list_sum(list_transform(range(1, 33), lambda k: x.face[k] * y.face[k]))))) / 2 end as f,
+  case when x.clip is null or y.clip is null then 0.60 else (1 - greatest(-1, least(1, list_sum(list_transform(range(1, 33), lambda k: x.clip[k] * y.clip[k]))))) / 2 end as c,
   case when x.bg is null or y.bg is null then 0.70 else greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, 17), lambda k: (x.bg[k] - y.bg[k]) * (x.bg[k] - y.bg[k]) / (x.bg[k] + y.bg[k] + 1e-10))))) end as g,
-  1 - exp(-abs(x.m - y.m) / 3600 / 72) as t, (x.face is not null)::int + (y.face is not null)::int as two, abs(x.n - y.n) as gap from s x join s y on x.vec_id // 50 = y.vec_id // 50 and x.vec_id < y.vec_id, (select list_transform(range(32), lambda q: 0.0::double) as zero)),
+  1 - exp(-abs(x.m - y.m) / 3600 / 72) as t, (x.face is not null)::int + (y.face is not null)::int as two, abs(x.n - y.n) as gap from s x join s y on x.vec_id // 50 = y.vec_id // 50 and x.vec_id < y.vec_id),
 u as (select *, 0.40 * f + 0.28 * c + 0.17 * g + 0.15 * t as d from t),
 v as (select *, case when two = 2 and f < 0.22 then greatest(0, least(1, d - 0.08)) when two = 1 then greatest(0, least(1, d + 0.04)) else d end as e from u),
 w as (select i, j, greatest(0, least(1, e + case when gap = 0 then 0 when gap = 1 then 0.20 else 0.35 end)) as d from v)"""
