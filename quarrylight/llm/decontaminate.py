@@ -113,9 +113,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, broa
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_rows: int = 500_000) -> DataFrame:
     """docs without the contaminated documents, all columns and repeated rows kept. Null ids and texts stay."""
-    bad = find_benchmark(docs, benchmark, window, broadcast_rows).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    bad = find_benchmark(docs, benchmark, window, broadcast_rows).filter("contaminated").select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"))
     bad = cut(bad)
-    return docs.join(small(bad, 2_000_000), F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
+    return docs.join(small(bad, 2_000_000), F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_hash")), "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def fit(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _l: struct (lang, score, accepted) from the whole text, and nothing but the text.
+    """docs with __ql_l: struct (lang, score, accepted) from the whole text, and nothing but the text.
 
     Nulls: a null text, or one without a letter, is `und` with score 0. Repeated rows are predicted each; an empty table
     gives none. A model of no languages gives `und`.
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score", "accepted"])
 
-    return docs.withColumn("_l", F.pandas_udf(predict, "lang string, score double, accepted boolean")("text"))
+    return docs.withColumn("__ql_l", F.pandas_udf(predict, "lang string, score double, accepted boolean")("text"))
 
 
 def held_out() -> Column:
@@ -136,4 +136,4 @@ def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, ~held_out())
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out().alias("held_out"), F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"), F.col("_l.accepted").alias("accepted"))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__ql_l.lang").alias("lang_pred"), F.col("__ql_l.score").alias("score"), F.col("__ql_l.accepted").alias("accepted"))

@@ -52,12 +52,12 @@ def _statistics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a struct column _q of STATISTICS. A null text has no words."""
+    """docs with a struct column __ql_q of STATISTICS. A null text has no words."""
     ship(docs.sparkSession)
-    return docs.withColumn("_q", F.pandas_udf(_statistics, STATISTICS)("text"))
+    return docs.withColumn("__ql_q", F.pandas_udf(_statistics, STATISTICS)("text"))
 
 
-def features(q: str = "_q") -> dict[str, Column]:
+def features(q: str = "__ql_q") -> dict[str, Column]:
     """What the rules look at: shares, so that they mean the same in short and long texts."""
     x = lambda name: F.col(f"{q}.{name}").cast("double")
     words = F.greatest(x("n_words"), F.lit(1.0))
@@ -159,12 +159,12 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **sett
     return learn({name: rows[name].to_numpy(float) for name in features()}, bad, np.arange(len(rows)) % 3 == 2, **settings)
 
 
-def base_failed(q: str = "_q") -> Column:
+def base_failed(q: str = "__ql_q") -> Column:
     n = F.col(f"{q}.n_words")
     return (n < LEAST_WORDS) | (100 * F.col(f"{q}.n_repeat_words") > MOST_REPEATED * n)
 
 
-def verdict(rules: list[Rule], q: str = "_q") -> Column:
+def verdict(rules: list[Rule], q: str = "__ql_q") -> Column:
     """The decision list as one ordered conditional expression: true keeps."""
     out, x = F.when(base_failed(q), False), features(q)
     for rule in rules:
@@ -173,7 +173,7 @@ def verdict(rules: list[Rule], q: str = "_q") -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with _q (STATISTICS) and kept.
+    """docs with __ql_q (STATISTICS) and kept.
 
     Nulls: a null text is empty and fails the base rules; null ids are judged like others. Repeated rows are judged each;
     an empty table gives no rows, and no labels leave the base rules alone. Other columns stay.
@@ -184,4 +184,4 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 def op4(spark, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed().alias("base_failed"), "kept")
+    return found.select("doc_id", *(f"__ql_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed().alias("base_failed"), "kept")

@@ -81,7 +81,7 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def _verified(rank: int, rule: Rule) -> Column:
     """Spans of a rule in the documents that the index names, or in all if the rule has no mandatory trigram."""
-    asked = F.col("text").rlike(rule.pattern) if query(rule.pattern) is None else F.array_contains("_kinds", rule.kind)
+    asked = F.col("text").rlike(rule.pattern) if query(rule.pattern) is None else F.array_contains("__ql_kinds", rule.kind)
     spans = F.when(F.coalesce(asked, F.lit(False)), matches(F.col("text"), rule.pattern, rule.group)).otherwise(none_found())
     spans = F.filter(spans, lambda x: F.length(x["m"]) >= rule.least)
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.lit(rule.kind).alias("kind")))
@@ -95,9 +95,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int =
     as such. Repeated rows, equal ids with other texts and other columns stay as they are; an empty table gives none.
     """
     chosen = cut(candidates(build_index(docs, rules), rules))
-    chosen = small(chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kinds").alias("_kinds")), broadcast_rows)
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    return rows.withColumn("found", F.array_sort(F.concat(*(_verified(rank, rule) for rank, rule in enumerate(rules))))).drop("_id", "_hash", "_kinds")
+    chosen = small(chosen.select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"), F.col("kinds").alias("__ql_kinds")), broadcast_rows)
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_hash")), "left")
+    return rows.withColumn("found", F.array_sort(F.concat(*(_verified(rank, rule) for rank, rule in enumerate(rules))))).drop("__ql_id", "__ql_hash", "__ql_kinds")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -204,13 +204,13 @@ def keep_one(docs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
     """
     near = near_duplicates(docs).select("doc_id", "component_id")
     near = cut(near.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")))
-    gone = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    twice = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("twice_id"))
-    left = docs.join(small(gone, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ql_gone")).distinct()
+    twice = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("__ql_twice"))
+    left = docs.join(small(gone, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("__ql_gone")), "left_anti")
     if twice.isEmpty():
         return left
     twice = small(twice, broadcast_rows)
-    same = F.col("doc_id").eqNullSafe(F.col("twice_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("__ql_twice"))
     again = left.join(twice, same, "left_semi")
     again = again.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(again.filter("doc_id is null").distinct())
     return left.join(twice, same, "left_anti").unionByName(again)
