@@ -41,25 +41,18 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return docs.select("doc_id", "text").mapInPandas(cut_up, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
-def combinations(histogram: np.ndarray, window: int, depth: int = 4, frequent: int = 24, slack: int = 16) -> list[tuple[int, ...]]:
-    """Descending combinations of at most `depth` lengths that fill the window but for `slack`: each length, and up to
-    depth - 1 of the `frequent` most frequent ones, with the largest length that completes them."""
+def combinations(histogram: np.ndarray, window: int, depth: int = 3, frequent: int = 24) -> list[tuple[int, ...]]:
+    """Descending combinations of at most `depth` lengths that fill the window: any pair, and up to depth - 1 of the
+    `frequent` most frequent lengths with the one that completes them."""
     there = np.flatnonzero(histogram)
+    have = set(there.tolist())
     often = sorted(there[np.argsort(-histogram[there], kind="stable")][:frequent].tolist())
-    out = {(n,) for n in there.tolist() if n >= window - slack}
-
-    def complete(few: tuple[int, ...]) -> None:
-        k = int(np.searchsorted(there, window - sum(few), "right")) - 1
-        if k >= 0 and window - sum(few) - there[k] <= slack:
-            out.add(tuple(sorted((*few, int(there[k])), reverse=True)))
-
-    for n in there.tolist():
-        complete((n,))
-        for m in often:
-            complete((n, m))
+    out = {(window,)} if window in have else set()
+    out |= {tuple(sorted((a, window - a), reverse=True)) for a in have if window - a in have}
     for n in range(2, depth):
         for few in combinations_with_replacement(often, n):
-            complete(few)
+            if (last := window - sum(few)) in have:
+                out.add(tuple(sorted((*few, last), reverse=True)))
     return sorted(out, reverse=True)
 
 

@@ -286,8 +286,9 @@ def test_plan_for_any_histogram():
         used = np.zeros_like(h)
         np.add.at(used, p["length"].to_numpy(), p["repeats"].to_numpy())
         assert (used == h).all()
-        full = (h * np.arange(4097)).sum() / (4096 * (p["sequence"] + p["repeats"]).max())
-        assert full > 0.97
+        # no packing of whole pieces has fewer sequences than pieces over half a window, or than the ids fill
+        least = max(h[2049:].sum(), -(-(h * np.arange(4097)).sum() // 4096))
+        assert (p["sequence"] + p["repeats"]).max() <= 1.05 * least
 
 
 def test_token_ids_and_counts(spark):
