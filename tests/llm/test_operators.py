@@ -351,3 +351,13 @@ def test_language_held_out(spark):
     found = {r["doc_id"]: r["__ql_l"] for r in language.identify(d, model).collect()}
     assert all(found[r[0]]["lang"] == r[2] and 0 <= found[r[0]]["score"] <= 1 for r in rows[:300])
     assert found[1000]["lang"] == found[1001]["lang"] == "und" and not found[1002]["accepted"]
+
+
+def test_repeated_rows_count_once(spark):
+    rnd = random.Random(9)
+    fill = lambda n: " ".join("word" + chr(97 + rnd.randrange(26)) for _ in range(n))
+    texts = [f"{fill(12)} zephyrion writes as boss@ship.org {fill(12)}" for _ in range(6)] + [f"{fill(30)} zephyrion"] + [fill(30) for _ in range(40)] + [None]
+    once = docs(spark, texts)
+    marks = lambda d: {r["doc_id"]: (r["base"], r["terms"]) for r in personal.find_personal(d, 0.1).collect()}
+    found = marks(once)
+    assert found[0][1] and marks(once.unionByName(once.filter("doc_id < 9")).unionByName(once.filter("doc_id in (0, 6)"))) == found
