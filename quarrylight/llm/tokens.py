@@ -13,7 +13,9 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO = 800_000  #: words that are remembered at most, at about 200 bytes; then the memo is emptied
+#: Words that are remembered at most, at about 250 bytes. The newer half becomes the older one when it is full; a word that
+#: is met again moves to the newer half, so that frequent words stay and words met once go.
+MEMO = 200_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -38,6 +40,11 @@ class _Memo(dict):
         self.tokenizer, self.lead, self.code, self.pattern = tokenizer, lead, code, pattern
         self.bpe = tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -58,21 +65,22 @@ class _Memo(dict):
         return b"".join(map(out.__getitem__, pieces))
 
     def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(MARKS)
-        if stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
-            if len(stem) == len(word):
-                out = self._piece(self.lead, word)
-            else:
-                out = self[stem] + self._parts([word[len(stem) :]])
-        elif word and word.isascii() and word.isprintable() and " " not in word and "'" not in word:
-            first, *more = self.pattern.findall(word)
-            out = self._piece(self.lead, first) + self._parts(more)
-        else:
-            out = self._whole((" " if self.lead else "") + word)
+        out = self.older.get(word)
+        if out is None:
+            out = self._ids(word)
         if len(word) <= 64:
             self[word] = out
         return out
 
+    def _ids(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
+            return self._piece(self.lead, word) if len(stem) == len(word) else self[stem] + self._parts([word[len(stem) :]])
+        if word and word.isascii() and word.isprintable() and " " not in word and "'" not in word:
+            first, *more = self.pattern.findall(word)
+            return self._piece(self.lead, first) + self._parts(more)
+        return self._whole((" " if self.lead else "") + word)
+
 
 #: White space but for the space and the line feed, and what Python alone counts as such.
 SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -110,9 +118,9 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.first) + len(self.after) > MEMO:
-            self.first.clear()
-            self.after.clear()
+        if len(self.first) + len(self.after) > MEMO // 2:
+            self.first.age()
+            self.after.age()
         if any(x in text for x in self.special):
             return self._whole(text)
         if self.dropped:
