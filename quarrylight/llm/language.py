@@ -74,13 +74,13 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(texts: list[str], languages: list[str], k: int = CENTROIDS, reject: float = 0.01) -> Model:
-    """Centroids of each language; a centroid accepts what is at least as near as all but `reject` of its own rows, less a tenth."""
+def train(counts: np.ndarray, languages: list[str], k: int = CENTROIDS, reject: float = 0.01) -> Model:
+    """Centroids of each language from rows of counts; a centroid accepts what is at least as near as all but `reject` of its own rows, less a tenth."""
     names = tuple(sorted(set(languages)))
     if not names:
         return Model((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.stack([vector(t) for t in texts]).astype(np.float32)
-    idf = (np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    counts = counts.astype(np.float32)
+    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     x = np.sqrt(counts) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     label = np.array(languages)
@@ -100,15 +100,22 @@ def train(texts: list[str], languages: list[str], k: int = CENTROIDS, reject: fl
 
 def fit(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
     """A model from text and lang of the rows that are allowed, where both are there and the text has a letter; of each
-    language about `sample` rows, chosen by a hash of text."""
+    language about `sample` rows, chosen by a hash of text. Whole texts are counted where they lie; what reaches the driver
+    is a vector of DIMENSIONS for each of these rows, however long its text."""
+    ship(docs.sparkSession)
     rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r[0]: r[1] for r in docs.filter(allowed & F.col("lang").isNotNull()).groupBy("lang").count().collect()}  # one row a language
     share = F.lit(0)
     for name, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == name, F.lit(min(1_000_000, int(1_000_000 * sample / n)))).otherwise(share)
-    found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("lang", F.substring("text", 1, 1 << 14).alias("text")).collect()
-    found = sorted((r[0], r[1]) for r in found)
-    return train([t for _, t in found], [name for name, _ in found])
+    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([vector(t).astype("<i4").tobytes() for t in texts], dtype=object)
+
+    found = sorted((r[0], bytes(r[1])) for r in chosen.select("lang", F.pandas_udf(vectors, "binary")("text")).collect())
+    return train(np.array([np.frombuffer(v, "<i4") for _, v in found]).reshape(len(found), DIMENSIONS), [name for name, _ in found])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
