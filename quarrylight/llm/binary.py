@@ -33,6 +33,7 @@ SAMPLE = 1500  #: documents, about, that the dictionary is trained on, chosen by
 DICTIONARY = 64 << 10  #: bytes of the dictionary, at most
 BLOCK = 4 << 20  #: bytes of frames after which a block is closed
 RANGES = 12  #: least ranges of doc_id that are sorted apart; sessions with more shuffle partitions use as many
+WORDS = 800_000  #: words whose ids a worker remembers, at most
 
 
 def digest(dictionary: bytes) -> bytes:
@@ -72,7 +73,7 @@ def dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> bytes:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(1e9 * sample / n))
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, WORDS)
         for batch in batches:
             yield pd.DataFrame({"ids": [encode(t)[:16384] for t in batch["text"].tolist()]})
 
@@ -124,7 +125,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
     spark.createDataFrame([(bytearray(shared), bytearray(digest(shared)))], "dictionary binary, hash binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = encoder(tokenizer), _packer(sent.value, level)
+        encode, packer = encoder(tokenizer, WORDS), _packer(sent.value, level)
         end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
             ids = [encode(t) + end for t in batch["text"].tolist()]
@@ -138,7 +139,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
     dealt = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "check", "n", "frame")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width, key = encoder(tokenizer).width, digest(sent.value)
+        width, key = encoder(tokenizer, WORDS).width, digest(sent.value)
         held: list[tuple[int | None, bytes, int]] = []
         size = number = 0
 

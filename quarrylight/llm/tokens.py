@@ -95,9 +95,10 @@ class Encoder:
     ODD_DROPPED = (*SPACES[2:], "Σ")
     SAFE = re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         state = __import__("json").loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])]
@@ -118,7 +119,7 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.first) + len(self.after) > MEMO // 2:
+        if len(self.first) + len(self.after) > self.memo // 2:
             self.first.age()
             self.after.age()
         if any(x in text for x in self.special):
@@ -138,8 +139,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    return Encoder(path, memo)
 
 
 def wide(ids: bytes, width: int) -> bytes:
