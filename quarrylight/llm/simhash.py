@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     label = linked.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
-    label = distinct.join(label, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id"))
+    # cut, so that both sides of the last join come from a shuffle, and Spark can split a large group of copies there
+    label = cut(distinct.join(label, "fp", "left").select("fp", F.coalesce("linked_id", "least_id").alias("component_id")))
     return all_.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
