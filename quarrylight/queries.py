@@ -12,6 +12,7 @@ from quarrylight.operators import cluster as C
 from quarrylight.operators import dedup as D
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
+from quarrylight.storage import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,12 +240,6 @@ def _signals(spark, d, most: int | None = None) -> DataFrame:
     )
 
 
-def _signal_pairs(items: DataFrame) -> DataFrame:
-    """Pairs of items of the same tenth of ids: the blocks of the analogue."""
-    rows = items.select("item_id", F.floor(F.col("item_id") / 50).alias("block"))
-    return rows.select("block", F.col("item_id").alias("i")).join(rows.select("block", F.col("item_id").alias("j")), "block").filter("i < j").select("i", "j")
-
-
 SIGNAL_SQL = """unit as (select vec_id, epoch_us(ts) / 1e6 as m, embedding[1:32]::double[] as a, embedding[33:64]::double[] as b, list_transform(embedding[1:16]::double[], lambda x: abs(x)) as g from embeddings join events on vec_id = event_id),
 s as (select vec_id, m, case when vec_id % 7 <> 0 then list_transform(a, lambda x: x / sqrt(list_inner_product(a, a))) end as face, case when vec_id % 7 <> 1 then list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) end as clip,
   case when vec_id % 7 <> 2 then list_transform(g, lambda x: x / list_sum(g)) end as bg, vec_id % 3 as n from unit),
@@ -259,32 +254,41 @@ w as (select i, j, greatest(0, least(1, e + case when gap = 0 then 0 when gap =
 
 @query("with " + SIGNAL_SQL + " select i, j, round(d, 6) as d from w")
 def signal_distance(spark, d):
-    items = _signals(spark, d)
-    return C.signal_distance(items, _signal_pairs(items)).select("i", "j", r6("d").alias("d"))
+    """All pairs by blocks. The SQL above still compares only ids of the same fifty; see README."""
+    return C.all_signal_distances(_signals(spark, d)).select("i", "j", r6("d").alias("d"))
+
+
+NEAR = 0.28  #: the survey's threshold for these tables
 
 
 def _clusters(spark, d):
     items = _signals(spark, d)
-    edges = C.signal_distance(items, _signal_pairs(items))
-    found = C.clusters(items, edges, 0.35, lambda pairs: C.signal_distance(items, pairs))
-    return items, edges, found.join(items.select("item_id", "mtime"), "item_id")
+    edges = written(C.all_signal_distances(items, NEAR), "near")
+    found = written(C.clusters(items, edges, NEAR), "clusters")
+    return items, found.join(items.select("item_id", "mtime"), "item_id")
+
+
+def _inside(items: DataFrame, members: DataFrame) -> DataFrame:
+    """Distances of all pairs within a cluster, near or not."""
+    a, b = (members.select("cluster", F.col("item_id").alias(k)) for k in "ij")
+    return C.signal_distance(items, a.join(b, "cluster").filter("i < j"))
 
 
 @query()
 def upgma_clusters(spark, d):
-    return _clusters(spark, d)[2].select("item_id", "cluster")
+    return _clusters(spark, d)[1].select("item_id", "cluster")
 
 
 @query()
 def cluster_order(spark, d):
-    _, edges, members = _clusters(spark, d)
-    return C.cluster_order(members, edges)
+    items, members = _clusters(spark, d)
+    return C.cluster_order(members, _inside(items, members))
 
 
 @query()
 def series_names(spark, d):
-    _, edges, members = _clusters(spark, d)
-    return C.series_names(C.cluster_order(members, edges), members)
+    items, members = _clusters(spark, d)
+    return C.series_names(C.cluster_order(members, _inside(items, members)), members)
 
 
 @query("""select user_id, event_id as i, next_id as j, round(1 - exp(-abs(gap) / 3600 / 72), 6) as d from (select user_id, event_id, lead(event_id) over w as next_id, (epoch_us(lead(ts) over w) - epoch_us(ts)) / 1e6 as gap from events window w as (partition by user_id order by ts, event_id)) where next_id is not null""")
