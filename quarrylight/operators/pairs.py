@@ -16,9 +16,10 @@ SLICE = 256  #: rows of the one block that are compared with all of the other at
 def all_pairs(items: DataFrame, distance, below: float | None = None, block: int = BLOCK) -> DataFrame:
     """(i, j, d) of all i < j of items (item_id, ...); with below, only those at d < below.
 
-    distance(a, b) of two pandas frames with the columns of items gives the matrix of distances. The number of blocks
+    distance(a, b) of two pandas frames with the columns of items gives the matrix of distances. A null item_id pairs with none. The number of blocks
     grows with the rows; each row goes to as many calls as there are blocks, and each pair of blocks is one call.
     """
+    items = items.filter("item_id is not null")
     n = max(1, math.ceil(items.count() / block))
     rows = items.withColumn("own", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("other")
