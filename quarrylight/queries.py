@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import rules as R
@@ -295,10 +295,12 @@ def series_names(spark, d):
 
 @query("""select user_id, event_id as i, next_id as j, round(1 - exp(-abs(gap) / 3600 / 72), 6) as d from (select user_id, event_id, lead(event_id) over w as next_id, (epoch_us(lead(ts) over w) - epoch_us(ts)) / 1e6 as gap from events window w as (partition by user_id order by ts, event_id)) where next_id is not null""")
 def time_decay(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    e = e.select("user_id", F.col("event_id").alias("i"), F.lead("event_id").over(w).alias("j"), ((F.lead("us").over(w) - F.col("us")) / 1e6).alias("gap")).filter("j is not null")
-    return e.select("user_id", "i", "j", r6(V.time_distance(F.col("gap") / 3600, 72.0)).alias("d"))
+    """All pairs of a user's events, the earlier one first. The SQL above still has only each event and the next; see README."""
+    e = read(spark, d, "events").select("user_id", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id")).alias("at"))
+    later = e.select(F.col("user_id").alias("same"), F.col("at").alias("b"))
+    both = e.withColumnRenamed("at", "a").join(later, F.col("user_id").eqNullSafe(F.col("same"))).filter(F.col("a") < F.col("b"))
+    gap = (F.col("b.us") - F.col("a.us")) / 1e6
+    return both.select("user_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), r6(V.time_distance(gap / 3600, 72.0)).alias("d"))
 
 
 MOST_KINDS = 1000  #: event types of a histogram; more is an error, not a cut
