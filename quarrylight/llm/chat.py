@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import table
+from quarrylight.llm.common import bound, part, sums, table, wide
 
 #: The template: [INST:role] text </s>. A text holds neither bracket nor angle: \ < [ stand as \s \l \b inside it.
 OPEN, CLOSE, END = "[INST:", "]", "</s>"
@@ -38,7 +38,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     conversation is folded in many tasks.
 
     Nulls: a null text is empty, a null conv_id or slot is a key of its own, a null seq comes first, an unknown kind adds
-    nothing. Events at the same seq go by kind, role and text. An empty log gives no rows.
+    nothing. Events at the same seq go by kind, role and text; repeated events count each, so a repeated delta adds twice.
+    An empty log gives no rows. Other columns are ignored. The events of one slot must fit in a row.
     """
     resets = F.col("kind").isin("message", "edit", "regenerate", "delete")
     row = F.struct(F.col("seq").alias("seq"), F.col("kind").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -53,27 +54,21 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, formatted, loss): the text of each conversation, and the spans [from, to) in code points of it
-    that are trained on: each assistant text, without marks. Ties of seq go by slot, role and text.
+    """(conv_id, n_turns, formatted, loss) of messages (conv_id, slot, seq, role, text): the text of each conversation, and
+    the spans [from, to) in code points of it that are trained on: each assistant text, without marks. Ties of seq go by
+    slot, role and text.
 
-    A conversation is one string, so it must fit in a row."""
+    A conversation is one string, so it must fit in a row; its length costs n log n in its turns. Nulls: `reconstruct`
+    leaves none in role and text; a null conv_id is a conversation of its own. Repeated messages are turns each. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
+    """
     body = escape(F.col("text"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(CLOSE))
-    part = F.struct("seq", "slot", F.col("role").alias("role"), head.alias("head"), body.alias("body"))
-    turns = messages.select("conv_id", part.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("turns"))
-    sizes = F.transform("turns", lambda x: F.struct(F.length(x["head"]).alias("head"), F.length(x["body"]).alias("body"), (x["role"] == TRAINED).alias("on")))
-    spans = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("out")),
-        lambda done, x: F.struct(
-            (done["at"] + x["head"] + x["body"] + len(END)).alias("at"),
-            F.when(
-                x["on"],
-                F.concat(done["out"], F.array(F.struct((done["at"] + x["head"]).alias("from"), (done["at"] + x["head"] + x["body"]).alias("to")))),
-            ).otherwise(done["out"]).alias("out"),
-        ),
-        lambda done: done["out"],
-    )
+    row = F.struct("seq", "slot", F.col("role").alias("role"), head.alias("head"), body.alias("body"))
+    turns = messages.select("conv_id", row.alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("turns"))
+    ends = sums(F.transform("turns", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END)))
+    bodies = F.zip_with("turns", ends, lambda x, e: F.struct((e - len(END) - F.length(x["body"])).alias("from"), (e - len(END)).alias("to"), (x["role"] == TRAINED).alias("on")))
+    spans = F.transform(F.filter(bodies, lambda x: x["on"]), lambda x: F.struct(x["from"], x["to"]))
     formatted = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     return turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), formatted.alias("formatted"), spans.alias("loss"))
 
@@ -82,6 +77,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
     """(conv_id, turns array of (role, text), loss_text, formatted_chars), from the formatted text and its mask alone.
 
     The mask is applied to the text as four bytes a character, where a span is found at once, not by counting from the start.
+    Nulls: a null conv_id is kept. An empty table gives no rows; other columns are ignored.
     """
     parts = F.filter(F.split("formatted", END), lambda x: x != "")
     turns = F.transform(
@@ -91,16 +87,13 @@ def read_back(rendered: DataFrame) -> DataFrame:
             unescape(F.substring(x, F.locate(CLOSE, x) + 1, F.length(x))).alias("text"),
         ),
     )
-    wide = rendered.withColumn("wide", F.encode("formatted", "UTF-32"))
-    masked = F.transform("loss", lambda x: F.decode(F.substring(F.col("wide"), 4 * x["from"] + 1, 4 * (x["to"] - x["from"])), "UTF-32"))
-    return wide.select("conv_id", turns.alias("turns"), unescape(F.array_join(masked, "")).alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    masked = bound(wide(F.col("formatted")), lambda w: F.transform("loss", lambda x: part(w, x["from"], x["to"])))
+    return rendered.select("conv_id", turns.alias("turns"), unescape(F.array_join(masked, "")).alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
     """A table of rows by turn as a log: each row is a message. Rows that share a turn are messages of their own, repeated
-    rows too, so a slot is a row's place among the rows of its turn."""
-    from pyspark.sql import Window
-
+    rows too, so a slot is a row's place among the rows of its turn. Null turns come first; other columns are ignored."""
     place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("seq"), "role", "text", place.alias("place"))
     return rows.select("conv_id", "seq", F.struct("seq", "place").alias("slot"), F.lit("message").alias("kind"), "role", "text")

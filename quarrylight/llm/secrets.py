@@ -88,35 +88,40 @@ def _verified(rank: int, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """docs with `found`: array of (s, e, rank, kind, size) by start, then by the order of the rules; code points, end exclusive.
+    """docs with `__ql_found`: array of (s, rank, e, kind) by start, then by the order of the rules; code points, end exclusive.
 
     Rules with mandatory trigrams are verified where the index says so, the others everywhere. The candidates are
     broadcast up to broadcast_rows and joined by a shuffle beyond. Nulls: a null text is empty; a null doc_id is matched
-    as such. Repeated rows, equal ids with other texts and other columns stay as they are; an empty table gives none.
+    as such. Repeated rows, equal ids with other texts and other columns stay as they are; an empty table gives none. A text
+    of n matches costs n log n.
     """
     chosen = cut(candidates(build_index(docs, rules), rules))
     chosen = small(chosen.select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"), F.col("kinds").alias("__ql_kinds")), broadcast_rows)
     rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_hash")), "left")
-    return rows.withColumn("found", F.array_sort(F.concat(*(_verified(rank, rule) for rank, rule in enumerate(rules))))).drop("__ql_id", "__ql_hash", "__ql_kinds")
+    return rows.withColumn("__ql_found", F.array_sort(F.concat(*(_verified(rank, rule) for rank, rule in enumerate(rules))))).drop("__ql_id", "__ql_hash", "__ql_kinds")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs, same columns, with each secret replaced by [SECRET:kind]; n_chars, if there, follows."""
-    out = scan(docs, rules).withColumn("text", replaced(F.col("text"), F.col("found"), lambda x: F.concat(F.lit("[SECRET:"), x["kind"], F.lit("]"))))
+    """docs, same columns, with each secret replaced by [SECRET:kind]; n_chars, if there, follows.
+
+    Of secrets that overlap, the first names the kind of all. Nulls: a null text stays null, a null id stays. Repeated
+    rows are all redacted and kept; an empty table gives none; columns of any name stay.
+    """
+    out = scan(docs, rules).withColumn("text", replaced(F.col("text"), F.col("__ql_found"), lambda x: F.concat(F.lit("[SECRET:"), x["x"]["kind"], F.lit("]"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__ql_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("found", lambda x: x["rank"] < len(BASE))
-    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("__ql_found", lambda x: x["rank"] < len(BASE))
+    count = lambda kind: F.size(F.filter("__ql_found", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
         *(count(r.kind).alias(f"n_{r.kind}") for r in BASE),
         F.sha2(spans_text(base), 256).alias("base_sha256"),
-        spans_text(F.col("found")).alias("spans"),
+        spans_text(F.col("__ql_found")).alias("spans"),
     )
 
 
