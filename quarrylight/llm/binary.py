@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship, table
+from quarrylight.llm.common import among, ship, table
 from quarrylight.llm.tokens import encoder, wide
 from quarrylight.storage import shared_dir, small, written
 
 MAGIC, HEAD, ENTRY = b"QLT1", struct.Struct("<4sB3x8sI"), struct.Struct("<qB7xQII")
-SAMPLE = 1500  #: documents, about, that the dictionary is trained on, chosen by a hash of doc_id
+SAMPLE = 1500  #: different documents, at most, that the dictionary is trained on: those with the least hashes of id and text
+SLICE = 1 << 14  #: characters of each of them, from a place that its hash chooses
 DICTIONARY = 64 << 10  #: bytes of the dictionary, at most
 BLOCK = 4 << 20  #: bytes of frames after which a block is closed
 RANGES = 12  #: least ranges of doc_id that are sorted apart; sessions with more shuffle partitions use as many
@@ -66,19 +67,26 @@ def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> bytes:
-    n = docs.count()
-    rows = docs.select("doc_id", F.substring("text", 1, 1 << 16).alias("text"))
-    if n > sample:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) < int(1e9 * sample / n))
+def dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, slice_: int = SLICE) -> bytes:
+    """A dictionary trained on slices of `sample` different documents. It changes the size of the files, never their ids.
+
+    Documents are chosen by hash: first about twice as many as needed, copies met as one, then exactly those with the least
+    hashes, so that neither the order of rows nor a document with many copies matters. Only their ids reach the driver."""
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.filter("text is not null")
+    n = rows.agg(F.approx_count_distinct(key)).first()[0]
+    if n > 2 * sample:
+        rows = rows.filter(among(key, 2 * sample, n))
+    place = F.pmod(F.xxhash64(key), F.greatest(F.length("text") - slice_, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select(key.alias("key"), F.substring("text", place, F.lit(slice_)).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer, WORDS)
         for batch in batches:
-            yield pd.DataFrame({"ids": [encode(t)[:16384] for t in batch["text"].tolist()]})
+            yield pd.DataFrame({"key": batch["key"], "ids": [encode(t) for t in batch["text"].tolist()]})
 
-    found = sorted(bytes(r[0]) for r in rows.filter("text is not null").mapInPandas(ids, "ids binary").limit(4 * sample).collect())
-    return train(found)
+    found = rows.mapInPandas(ids, "key long, ids binary").orderBy("key").limit(sample).collect()
+    return train([bytes(r[1]) for r in found])
 
 
 def build_block(rows: list[tuple[int | None, bytes, int]], key: bytes, width: int) -> bytes:
@@ -115,11 +123,13 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
     in the shared folder first, so a lost executor costs its own part.
 
     Nulls: a null text is empty, its only id is end_id; null doc_ids come first. Repeated ids stand by the hash of their
-    ids and are all kept. An empty table gives a folder without blocks. Other columns are ignored.
+    ids and are all kept. An empty table gives a folder without blocks. Other columns are ignored, whatever their names. A
+    very long text is one frame: its ids are in a worker's memory once, and a block holds at least one frame whole.
+    Without a path the folder lies with the session's own tables and goes with them.
     """
     spark = docs.sparkSession
     ship(spark)
-    path = path or f"{shared_dir(spark).rstrip('/')}/token-ids/{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/token-ids/{uuid.uuid4().hex}"
     shared = dictionary(docs, tokenizer, sample)
     sent = spark.sparkContext.broadcast(shared)
     spark.createDataFrame([(bytearray(shared), bytearray(digest(shared)))], "dictionary binary, hash binary").coalesce(1).write.parquet(f"{path}/dictionary")

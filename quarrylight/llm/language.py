@@ -7,14 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship, table
+from quarrylight.llm.common import SHARE, ship, table
+from quarrylight.storage import written
 
 DIMENSIONS = 4096
-SAMPLE = 400  #: documents of a language, at most about so many, that its centroids are fitted on
+SAMPLE = 400  #: different texts of a language, at most, that its centroids are fitted on
 CENTROIDS = 4
+REJECT = 0.01  #: of a centroid's own texts, the share that may lie farther from it than what it accepts
+MOST_LANGUAGES = 2_000  #: a model holds 64 KB for each
 UNKNOWN = "und"
 #: ASCII that is no letter becomes a space; letters are lowered before.
 _TABLE = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
@@ -74,55 +77,83 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(counts: np.ndarray, languages: list[str], k: int = CENTROIDS, reject: float = 0.01) -> Model:
-    """Centroids of each language from rows of counts; a centroid accepts what is at least as near as all but `reject` of its own rows, less a tenth."""
-    names = tuple(sorted(set(languages)))
-    if not names:
-        return Model((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = counts.astype(np.float32)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.sqrt(counts) * idf
+def idf_of(n: int, there: np.ndarray) -> np.ndarray:
+    """Weights from the number of documents and of those with each n-gram."""
+    return (np.log((1 + n) / (1 + there)) + 1).astype(np.float32)
+
+
+def centroids_of(counts: np.ndarray, idf: np.ndarray, k: int = CENTROIDS, reject: float = REJECT) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language from rows of counts, and the least cosine that each accepts: that of all but `reject` of its own rows, less a tenth."""
+    x = np.sqrt(counts.astype(np.float32)) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    label = np.array(languages)
-    centroids, owner, accepts = [], [], []
-    for i, name in enumerate(names):
-        rows = x[label == name]
-        c = _clusters(rows, k)
-        near = rows @ c.T
-        own = np.argmax(near, axis=1)
-        for j in range(len(c)):
-            mine = near[own == j, j]
-            accepts.append(0.9 * float(np.quantile(mine, reject)) if len(mine) else 1.0)
-            owner.append(i)
-        centroids.append(c)
-    return Model(names, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), np.array(accepts))
-
-
-def fit(docs: DataFrame, allowed: Column, sample: int = SAMPLE) -> Model:
+    c = _clusters(x, k)
+    near = x @ c.T
+    own = np.argmax(near, axis=1)
+    accepts = [0.9 * float(np.quantile(near[own == j, j], reject)) if (own == j).any() else 1.0 for j in range(len(c))]
+    return c.astype(np.float32), np.array(accepts)
+
+
+def _chosen(rows: DataFrame, sample: int) -> DataFrame:
+    """(lang, key, text): of each language the `sample` different texts with the least hashes, all if it has fewer.
+
+    A hash bound from the number of different texts, which is never under a language's least hash, leaves about three
+    times as many; copies of a text are one, before any leaves its task; then the least are taken exactly."""
+    key = F.xxhash64("text")
+    keyed = rows.select("lang", key.alias("key"), F.shiftrightunsigned(key, 1).alias("place"), "text")
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min("place").alias("least")).collect()  # one row a language
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: a label like this is no language")
+    most = rows.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(SHARE - 1, SHARE * 3 * sample // max(r["n"], 1)))) for r in sizes], "own string, most long")
+    few = keyed.join(F.broadcast(most), F.col("lang") == F.col("own")).filter("place <= most")
+    few = few.groupBy("lang", "key").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 1), "key")
+    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select("lang", "key", "text")
+
+
+def fit(docs: DataFrame, allowed: Column, sample: int = SAMPLE, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     """A model from text and lang of the rows that are allowed, where both are there and the text has a letter; of each
-    language about `sample` rows, chosen by a hash of text. Whole texts are counted where they lie; what reaches the driver
-    is a vector of DIMENSIONS for each of these rows, however long its text."""
+    language at most `sample` different texts, chosen by their hashes, so that copies and the size of a language do not matter.
+
+    Whole texts are counted where they lie, and each language is clustered in a task of its own, whose rows `sample` bounds;
+    what reaches the driver is `k` centroids and one vector of document counts for each language. No rows give a model
+    without languages.
+    """
     ship(docs.sparkSession)
-    rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in docs.filter(allowed & F.col("lang").isNotNull()).groupBy("lang").count().collect()}  # one row a language
-    share = F.lit(0)
-    for name, n in sorted(sizes.items()):
-        share = F.when(F.col("lang") == name, F.lit(min(1_000_000, int(1_000_000 * sample / n)))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    rows = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
 
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([vector(t).astype("<i4").tobytes() for t in texts], dtype=object)
 
-    found = sorted((r[0], bytes(r[1])) for r in chosen.select("lang", F.pandas_udf(vectors, "binary")("text")).collect())
-    return train(np.array([np.frombuffer(v, "<i4") for _, v in found]).reshape(len(found), DIMENSIONS), [name for name, _ in found])
+    chosen = written(_chosen(rows, sample).select("lang", "key", F.pandas_udf(vectors, "binary")("text").alias("counts")), "languages")
+
+    def table_of(rows: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.frombuffer(x, "<i4") for x in rows.sort_values("key")["counts"]])
+
+    def seen(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(rows)], "there": [(table_of(rows) > 0).sum(axis=0).astype("<i8").tobytes()]})
+
+    parts = chosen.groupBy("lang").applyInPandas(seen, "n long, there binary").collect()  # a row a language
+    if not parts:
+        return Model((), np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+    idf = idf_of(sum(r["n"] for r in parts), sum(np.frombuffer(bytes(r["there"]), "<i8") for r in parts))
+
+    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
+        c, accepts = centroids_of(table_of(rows), idf, k, reject)
+        return pd.DataFrame({"lang": rows["lang"].iat[0], "number": range(len(c)), "centroid": [x.astype("<f4").tobytes() for x in c], "accepts": accepts})
+
+    found = sorted(map(tuple, chosen.groupBy("lang").applyInPandas(cluster, "lang string, number int, centroid binary, accepts double").collect()))
+    names = tuple(sorted({r[0] for r in found}))
+    owner = np.array([names.index(r[0]) for r in found])
+    return Model(names, idf, np.stack([np.frombuffer(bytes(r[2]), "<f4") for r in found]), owner, np.array([r[3] for r in found]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __ql_l: struct (lang, score, accepted) from the whole text, and nothing but the text.
 
     Nulls: a null text, or one without a letter, is `und` with score 0. Repeated rows are predicted each; an empty table
-    gives none. A model of no languages gives `und`.
+    gives none. A model of no languages gives `und`. Other columns stay, whatever their names. A very long text is counted
+    in parts of a quarter of a megabyte.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship, table
+from quarrylight.llm.common import among, ship, table
 from quarrylight.storage import small
 
 SYMBOLS = b"#*$%&|<>"
@@ -149,7 +149,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **sett
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     n = marks.count()
     if n > sample:
-        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        marks = marks.filter(among(F.xxhash64("doc_id"), sample, n))
     own = with_statistics(docs.filter("text is not null").select("doc_id", "text").join(small(marks, 4 * sample), "doc_id"))
     rows = own.filter(~base_failed()).select("doc_id", "low", *(c.alias(name) for name, c in features().items())).toPandas()
     rows = rows.sort_values(["doc_id", *features()], kind="stable", ignore_index=True)
@@ -173,15 +173,16 @@ def verdict(rules: list[Rule], q: str = "__ql_q") -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with __ql_q (STATISTICS) and kept.
+    """docs with __ql_q (STATISTICS) and __ql_kept, the verdict. Statistics are of whole texts; one text at a time is in a
+    worker's memory, with its windows of words.
 
     Nulls: a null text is empty and fails the base rules; null ids are judged like others. Repeated rows are judged each;
     an empty table gives no rows, and no labels leave the base rules alone. Other columns stay.
     """
     rules = learn_rules(docs, labels, sample)
-    return with_statistics(docs).withColumn("kept", verdict(rules))
+    return with_statistics(docs).withColumn("__ql_kept", verdict(rules))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", *(f"__ql_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed().alias("base_failed"), "kept")
+    return found.select("doc_id", *(f"__ql_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), base_failed().alias("base_failed"), F.col("__ql_kept").alias("kept"))
