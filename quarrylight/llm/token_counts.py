@@ -1,4 +1,4 @@
-"""8. Token counts: batches of about equal bytes are encoded in Arrow functions that return lengths only."""
+"""8. Token counts: batches of about equal bytes are encoded in Arrow functions that return lengths only; long texts are split."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.common import ship, table
 
-BATCH = 1 << 20  #: characters that are encoded at a time, about
-MEMO = 800_000  #: words whose counts are remembered at most; then the memo is emptied
+BATCH = 1 << 18  #: bytes that are encoded at a time, about
+LONG = 1 << 10  #: characters after which a text is parted at the next safe place; shorter parts cost the encoder less
 #: One space between characters that are neither a space nor the mark that stands for one. No piece of the vocabulary has
 #: that mark after another character, so no merge crosses such a place, and the encoder puts the mark before the next
 #: part in place of the space.
@@ -30,14 +30,8 @@ def _model(path: str):
     return model, dummy and not crossing
 
 
-_known: dict[str, dict[str, int]] = {}
-
-
-def split_safely(text: str, long: int = 0) -> list[str]:
+def split_safely(text: str, long: int = LONG) -> list[str]:
     """Parts, of about `long` characters at least, whose counts add up to the text's; a text without safe places stays whole."""
-    if not long:
-        plain = "  " not in text and "▁" not in text and text[:1] != " " and text[-1:] != " "
-        return text.split(" ") if plain else SAFE.split(text)
     parts, at = [], 0
     while len(text) - at > long:
         m = SAFE.search(text, at + long)
@@ -49,34 +43,31 @@ def split_safely(text: str, long: int = 0) -> list[str]:
     return parts
 
 
-def counts(texts: list[str | None], path: str, batch: int = BATCH) -> list[int]:
-    """Tokens of each text; null counts as empty. Texts are taken in batches of about equal size; of the parts of a batch,
-    those not seen before are encoded, in one call, and the counts of the parts add up."""
+def counts(texts: list[str | None], path: str, batch: int = BATCH, long: int = LONG) -> list[int]:
+    """Tokens of each text; null counts as empty. Parts of texts are gathered into batches of about `batch` bytes, whatever
+    texts they are of; a batch is encoded in one call, and the lengths are added to the parts' texts."""
     model, splits = _model(path)
-    known = _known.setdefault(path, {})
-    out: list[int] = []
-    held: list[list[str]] = []
+    out = [0] * len(texts)
+    held: list[str] = []
+    owner: list[int] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
-        there = set().union(*held)
-        if len(known) + len(there) > MEMO + len(held):
-            known.clear()
-        new = list(there.difference(known))
-        known.update(zip(new, map(len, model.encode(new, num_threads=1))))
-        out.extend(sum(map(known.__getitem__, parts)) for parts in held)
-        for p in new:
-            if len(p) > 64:
-                del known[p]
+        for k, ids in zip(owner, model.encode(held, num_threads=1)):
+            out[k] += len(ids)
         held.clear()
+        owner.clear()
         size = 0
 
-    for text in texts:
-        held.append([] if not text else split_safely(text) if splits else [text])
-        size += len(text or "")
-        if size >= batch:
-            flush()
+    for k, text in enumerate(texts):
+        for x in split_safely(text, long) if text and splits else [text or ""]:
+            bytes_ = len(x.encode())
+            if held and size + bytes_ > batch:
+                flush()
+            held.append(x)
+            owner.append(k)
+            size += bytes_
     if held:
         flush()
     return out
@@ -86,7 +77,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit. A map over the rows: nothing is shuffled, ids never leave the function.
 
     Nulls: a null text is empty; null ids stay. Repeated rows are counted each, an empty table gives none, and other
-    columns stay, but for those of the three names, which are replaced.
+    columns stay, but for those of the three names, which are replaced. A long text is encoded in parts, so memory is bounded
+    by an Arrow batch and one part; a part ends at a space, so a text without any is one part.
     """
     ship(docs.sparkSession)
 
