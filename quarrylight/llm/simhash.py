@@ -16,38 +16,41 @@ from quarrylight.storage import cut, small, written
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 #: (first bit, bits, distance) of three parts of a fingerprint. Two fingerprints at 4 bits or less differ by at most 1
 #: in the first part, or at most 1 in the second, or not at all in the third: otherwise 2 + 2 + 1 bits would differ.
-PARTS = ((0, 22, 1), (22, 22, 1), (44, 20, 0))
+PARTS = ((0, 25, 1), (25, 25, 1), (50, 14, 0))
 CODE = 15  #: the first 15 bits of a part at distance 1 are covered by the perfect Hamming(15, 11) code, radius 1; the others by themselves
+PIECES = 5  #: of the bits outside a part, one more than THRESHOLD, so that two fingerprints at 4 bits or less agree in one of them
+FINE = 200_000_000  #: different fingerprints beyond which an anchor is divided by these pieces: more replicas, far fewer comparisons
 BUCKET = 20_000  #: an anchor with more fingerprints is compared in pairs of chunks of about half that size
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of the XXH64 of 4-word shingles, repeats included; bit set if over half of the shingles set it."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the XXH64 of shingles of so many words, repeats included; bit set if over half of the shingles set it."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
         return 0
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         hashes = np.array([digest(join(words), SEED)], "<u8")
     else:
-        hashes = np.fromiter((digest(join(x), SEED) for x in zip(words, words[1:], words[2:], words[3:])), "<u8", len(words) - SHINGLE + 1)
+        hashes = np.fromiter((digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))), "<u8", len(words) - shingle + 1)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp long), a row for each row of docs. A null text has no words: fingerprint 0. Words of a whole text are in a
+    worker's memory, and votes are added up 65,536 shingles at a time."""
+    ship(docs.sparkSession)
 
+    def own(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long), a row for each row of docs. A null text has no words: fingerprint 0."""
-    ship(docs.sparkSession)
-    return docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp"))
+    return docs.select("doc_id", F.pandas_udf(own, "long")("text").alias("fp"))
 
 
 def _nearest(x: np.ndarray) -> np.ndarray:
@@ -59,9 +62,17 @@ def _nearest(x: np.ndarray) -> np.ndarray:
     return x ^ wrong
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _others(fp: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The bits outside a part, those above it first."""
+    shift = first + bits
+    low = fp & np.uint64((1 << first) - 1)
+    return low if shift == 64 else (fp >> np.uint64(shift)) | (low << np.uint64(64 - shift))
+
+
+def anchors(fp: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(place in fp, anchor) of every anchor that a fingerprint is replicated to: in each part, the codewords that are home
-    to it or to something within the part's distance of it. The anchor holds the part's number in its top bits."""
+    to it or to something within the part's distance of it. The anchor holds the part's number in its top bits; if `fine`,
+    each is divided into PIECES by what the fingerprint has in each piece of the bits outside the part."""
     at, out = [], []
     for k, (first, bits, distance) in enumerate(PARTS):
         part = (fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)
@@ -72,8 +83,16 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         else:
             home, new = part[None], np.ones((1, len(fp)), bool)
         _, where = np.nonzero(new)
-        at.append(where)
-        out.append(home[new] | np.uint64(k << 40))
+        own = home[new] | np.uint64(k << 40)
+        if not fine:
+            at.append(where)
+            out.append(own)
+            continue
+        rest, ends = _others(fp, first, bits), [(64 - bits) * j // PIECES for j in range(PIECES + 1)]
+        for j, (low, high) in enumerate(zip(ends, ends[1:])):
+            piece = (rest >> np.uint64(low)) & np.uint64((1 << high - low) - 1)
+            at.append(where)
+            out.append(own | (piece[where] << np.uint64(25)) | np.uint64(j << 36))
     return np.concatenate(at), np.concatenate(out)
 
 
@@ -149,20 +168,21 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out(forest)
 
 
-def _replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        fp = batch["fp"].to_numpy().astype(np.int64)
-        at, anchor = anchors(fp.view(np.uint64))
-        yield pd.DataFrame({"fp": fp[at], "anchor": anchor.astype(np.int64)})
-
-
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(distinct: DataFrame, bucket: int = BUCKET, fine: bool | None = None) -> DataFrame:
     """(src, dst): links that connect all different fingerprints (column fp) as all links at THRESHOLD or less would.
 
-    Each fingerprint goes to its anchors; an anchor's fingerprints are compared in one task, or, where there are more
+    fine: whether anchors are divided; None decides by the number of fingerprints. The links are as whole either way. Each fingerprint goes to its anchors; an anchor's fingerprints are compared in one task, or, where there are more
     than `bucket`, in a task for each pair of chunks, so memory is bounded and no link is lost.
     """
-    spread = distinct.select("fp").mapInPandas(_replicated, "fp long, anchor long")
+    divided = distinct.count() > FINE if fine is None else fine
+
+    def replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fp = batch["fp"].to_numpy().astype(np.int64)
+            at, anchor = anchors(fp.view(np.uint64), divided)
+            yield pd.DataFrame({"fp": fp[at], "anchor": anchor.astype(np.int64)})
+
+    spread = distinct.select("fp").mapInPandas(replicated, "fp long, anchor long")
     large = cut(spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
     if large.isEmpty():
         keyed = spread.withColumn("key", F.col("anchor"))
@@ -179,14 +199,14 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return dealt.mapInPandas(_links, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id that chains of links reach.
 
     Exact copies and equal fingerprints meet first, with partial minima, so that a group of copies is one fingerprint.
     Nulls: a null text has fingerprint 0; null doc_ids are never smallest unless all are null, then the component is null.
     Repeated rows are rows of the result; an empty table gives none. Other columns are ignored.
     """
-    all_ = written(fingerprints(docs), "fingerprints")
+    all_ = written(fingerprints(docs, shingle), "fingerprints")
     distinct = all_.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct = cut(distinct)
     roots = connected_components(links(distinct, bucket)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
@@ -198,12 +218,13 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return all_.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_rows: int = 2_000_000, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs for each component, the one with the smallest doc_id; all columns. Of repeated rows with that id, one.
 
-    A component of null ids only keeps one row for each different row of docs.
+    Nulls: texts that are null have fingerprint 0 and are one component with empty ones; a component of null ids only keeps
+    one row for each different row of docs. An empty table gives none; columns of any name stay.
     """
-    near = near_duplicates(docs).select("doc_id", "component_id")
+    near = near_duplicates(docs, shingle=shingle).select("doc_id", "component_id")
     near = cut(near.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")))
     gone = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ql_gone")).distinct()
     twice = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("__ql_twice"))
