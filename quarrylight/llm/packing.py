@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,10 @@ from quarrylight.llm.tokens import encoder, wide
 from quarrylight.storage import written
 
 WINDOW, END_ID = 4096, 2
-BUCKETS = 64  #: parts in which pieces of one length are numbered, so that a frequent length is not one task
+BUCKET = 20_000  #: pieces of one length, about, that are numbered in one task; a frequent length has many
+MOST_BUCKETS = 2_000_000  #: beyond so many buckets, their pieces grow instead: what the driver holds stays bounded
+FREQUENT, TRIPLES, QUADS = 24, 24, 2  #: lengths that count as frequent; combinations kept for each largest length
+WAYS = ((4, 0), (3, 0), (2, 16), (2, 0))  #: (lengths of a combination, ids that a pair may leave free)
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -41,22 +43,31 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int =
     return docs.select("doc_id", "text").mapInPandas(cut_up, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
 
 
-def combinations(histogram: np.ndarray, window: int, depth: int = 3, frequent: int = 24) -> list[tuple[int, ...]]:
-    """Descending combinations of at most `depth` lengths that fill the window: any pair, and up to depth - 1 of the
-    `frequent` most frequent lengths with the one that completes them."""
+def combinations(histogram: np.ndarray, window: int, depth: int = 4, slack: int = 0) -> list[tuple[int, ...]]:
+    """Descending combinations of up to `depth` lengths that fill the window: any pair, which may leave up to `slack` ids
+    free; for each length the TRIPLES most frequent pairs, none of them longer, that complete it; and with each of the
+    FREQUENT most frequent lengths, QUADS more. At most window * (slack + TRIPLES + FREQUENT * QUADS + 1), however large the data."""
     there = np.flatnonzero(histogram)
-    have = set(there.tolist())
-    often = sorted(there[np.argsort(-histogram[there], kind="stable")][:frequent].tolist())
-    out = {(window,)} if window in have else set()
-    out |= {tuple(sorted((a, window - a), reverse=True)) for a in have if window - a in have}
-    for n in range(2, depth):
-        for few in combinations_with_replacement(often, n):
-            if (last := window - sum(few)) in have:
-                out.add(tuple(sorted((*few, last), reverse=True)))
+    often = there[np.argsort(-histogram[there], kind="stable")][:FREQUENT].tolist()
+    out = {(window,)} if histogram[window] else set()
+
+    def pairs(total: int, longest: int, most: int) -> list[int]:
+        """The longer ones of pairs of lengths with this sum."""
+        b = there[(there >= (total + 1) // 2) & (there < total) & (there <= longest)]
+        b = b[histogram[total - b] > 0]
+        return b[np.argsort(-np.minimum(histogram[b], histogram[total - b]), kind="stable")[:most]].tolist()
+
+    for total in range(window - slack, window + 1):
+        out.update((b, total - b) for b in pairs(total, window, window))
+    for a in there.tolist() if depth > 2 else ():
+        out.update((a, b, window - a - b) for b in pairs(window - a, a, TRIPLES))
+        for d in often if depth > 3 else ():
+            if a + d < window:
+                out.update(tuple(sorted((a, b, window - a - d - b, d), reverse=True)) for b in pairs(window - a - d, a, QUADS))
     return sorted(out, reverse=True)
 
 
-def least_squares(patterns: list[tuple[int, ...]], histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+def least_squares(patterns: list[tuple[int, ...]], histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
     """x >= 0 with least |A x - histogram|, A counting the lengths of each pattern; projected gradient with momentum."""
     if not patterns:
         return np.zeros(0)
@@ -82,18 +93,25 @@ def least_squares(patterns: list[tuple[int, ...]], histogram: np.ndarray, rounds
 
 
 def plan(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
-    """Where the pieces go: (length, low, repeats, sequence, offset); the pieces of a length numbered low..low + repeats - 1
-    lie at offset in sequences sequence, sequence + 1, ... Its size is bounded by the window, not by the data."""
+    """Where the pieces go: (length, low, repeats, sequence, offset, solved); the pieces of a length numbered low..low +
+    repeats - 1 lie at offset in sequences sequence, sequence + 1, ...; solved: by least squares, not by the greedy rest.
+    Its size is bounded by the window, not by the data. Deeper combinations use up short pieces that long ones may need, so
+    of a few depths the one with the fewest sequences is taken, the deepest of equals."""
+    ways = [_plan(histogram, window, depth, slack) for depth, slack in WAYS]
+    return min(ways, key=lambda p: int((p["sequence"] + p["repeats"]).max()) if len(p) else 0)
+
+
+def _plan(histogram: np.ndarray, window: int, depth: int, slack: int) -> pd.DataFrame:
     left = histogram.astype(np.int64).copy()
     used = np.zeros_like(left)
-    rows: list[tuple[int, int, int, int, int]] = []
+    rows: list[tuple[int, int, int, int, int, int]] = []
     sequence = 0
 
-    def place(pattern: tuple[int, ...], times: int) -> None:
+    def place(pattern: tuple[int, ...], times: int, solved: int) -> None:
         nonlocal sequence
         at = 0
         for n in pattern:
-            rows.append((n, used[n], times, sequence, at))
+            rows.append((n, used[n], times, sequence, at, solved))
             used[n] += times
             left[n] -= times
             at += n
@@ -102,12 +120,12 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
     def most(pattern: tuple[int, ...]) -> int:
         return min(int(left[n]) // pattern.count(n) for n in set(pattern))
 
-    patterns = combinations(histogram, window)
-    repeats = np.floor(least_squares(patterns, histogram) + 1e-6).astype(np.int64)
-    for i in np.argsort(-repeats, kind="stable"):
-        times = min(int(repeats[i]), most(patterns[i]))
+    patterns = combinations(histogram, window, depth, slack)
+    x = least_squares(patterns, histogram)
+    for i in np.argsort(-x, kind="stable"):  # rounded up while there are pieces: a full window wastes nothing
+        times = min(int(np.ceil(x[i] - 1e-6)), most(patterns[i]))
         if times > 0:
-            place(patterns[i], times)
+            place(patterns[i], times, 1)
     while left.any():  # the rest, largest first, each sequence filled with the largest that still fits
         there = np.flatnonzero(left)
         space, pattern = window, []
@@ -123,37 +141,46 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
             pattern += [n] * many
             taken[n] = taken.get(n, 0) + many
             space -= n * many
-        place(tuple(pattern), most(tuple(pattern)))
-    return pd.DataFrame(rows, columns=["length", "low", "repeats", "sequence", "offset"]).astype(np.int64)
+        place(tuple(pattern), most(tuple(pattern)), 0)
+    return pd.DataFrame(rows, columns=["length", "low", "repeats", "sequence", "offset", "solved"]).astype(np.int64)
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """The pieces of docs with sequence_id and offset. Sequences hold at most `window` ids, gapless from 0.
 
-    Pieces are numbered within each length: in buckets by hash, then bucket by bucket. The histogram (at most `window`
-    bins) is solved on the driver, and each piece finds its place by its length and number. Texts are encoded once.
+    Pieces are numbered within each length: in buckets by hash, as many as its pieces ask for, then bucket by bucket. The
+    histogram (at most `window` bins) is solved on the driver, and each piece finds its place by its length and number.
+    Texts are encoded once.
 
     Nulls: a null text is empty, its one piece is end_id; a null doc_id stays null. Repeated rows are packed each. An
-    empty table gives no rows. Other columns are ignored.
+    empty table gives no rows. Other columns are ignored, whatever their names. A very long text is many pieces; its ids are
+    in a worker's memory once.
     """
     spark = docs.sparkSession
-    rows = pieces(docs, tokenizer, window, end_id, with_ids)
-    rows = written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")), "pieces")
-    counts = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "bucket"])  # at most window x BUCKETS
-    counts["base"] = counts.groupby("length")["n"].cumsum() - counts["n"]
+    rows = written(pieces(docs, tokenizer, window, end_id, with_ids), "pieces")
     histogram = np.zeros(window + 1, np.int64)
-    np.add.at(histogram, counts["length"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    for length, n in rows.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most `window` rows
+        histogram[length] = n
+    size = max(BUCKET, -(-int(histogram.sum()) // MOST_BUCKETS))
+    buckets = np.maximum(1, -(-histogram // size))
+    often = spark.createDataFrame([(int(n), int(buckets[n])) for n in np.flatnonzero(buckets > 1)], "often long, buckets int")
+    own = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")).cast("int")
+    rows = rows.join(F.broadcast(often), F.col("length") == F.col("often"), "left").withColumn("bucket", F.coalesce(own, F.lit(0))).drop("often", "buckets")
+    first = np.cumsum(buckets) - buckets  # a bucket's place among all: its length's first, and its number
+    base = np.zeros(int(buckets.sum()), np.int64)
+    counts = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most window + MOST_BUCKETS
+    base[first[counts["length"].to_numpy(np.int64)] + counts["bucket"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    base = np.cumsum(base) - base  # pieces in all buckets before
+    base -= np.repeat(base[first], buckets)  # of the same length
     where = plan(histogram, window).sort_values(["length", "low"], kind="stable")
-    base = np.zeros((window + 1) * BUCKETS, np.int64)
-    base[(counts["length"] * BUCKETS + counts["bucket"]).to_numpy(np.int64)] = counts["base"].to_numpy(np.int64)
-    sent = spark.sparkContext.broadcast((base, *(where[c].to_numpy() for c in ("length", "low", "sequence", "offset"))))
+    sent = spark.sparkContext.broadcast((first, base, *(where[c].to_numpy() for c in ("length", "low", "sequence", "offset"))))
 
     def placed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        base, length, low, sequence, offset = sent.value
+        first, base, length, low, sequence, offset = sent.value
         steps = (length << 40) + low  # lengths and numbers in one ascending key
         for n, bucket, number in batches:
             n = n.to_numpy(np.int64)
-            rank = base[n * BUCKETS + bucket.to_numpy(np.int64)] + number.to_numpy(np.int64) - 1
+            rank = base[first[n] + bucket.to_numpy(np.int64)] + number.to_numpy(np.int64) - 1
             at = np.searchsorted(steps, (n << 40) + rank, "right") - 1
             yield pd.DataFrame({"sequence_id": sequence[at] + rank - low[at], "offset": offset[at]})
 

@@ -6,6 +6,7 @@ Each worker process keeps one encoder, and a bounded memo, for all of its tasks.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -100,7 +101,7 @@ class Encoder:
 
         self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
-        state = __import__("json").loads(self.tokenizer.to_str())
+        state = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])]
         pre = state["pre_tokenizer"]
         self.kept = normal == [] and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]

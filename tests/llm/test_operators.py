@@ -174,14 +174,15 @@ def components(fps):
     return [root(i) for i in range(len(fps))]
 
 
+@pytest.mark.parametrize("fine", [False, True])
 @pytest.mark.parametrize("bucket", [40, 20_000])
-def test_simhash_links(spark, bucket):
+def test_simhash_links(spark, bucket, fine):
     """Fingerprints at 0 to 6 bits from some centres, whose buckets must be cut into chunks at the smaller limit."""
     rnd = random.Random(8)
     centres = [rnd.getrandbits(64) for _ in range(6)]
     fps = sorted({c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(7))) for c in centres for _ in range(60)})
     rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    found = [(r["src"] % (1 << 64), r["dst"] % (1 << 64)) for r in simhash.links(rows, bucket).collect()]
+    found = [(r["src"] % (1 << 64), r["dst"] % (1 << 64)) for r in simhash.links(rows, bucket, fine).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in found)
     place = {x: i for i, x in enumerate(fps)}
     up = list(range(len(fps)))
@@ -242,8 +243,8 @@ def test_secrets_against_full_scan(spark):
         for rank, (r, p) in enumerate(zip(secrets.RULES, SECRETS)):
             own += [(m.start(), rank, m.end(), r.kind) for m in re.finditer(p, t or "") if len(m[r.group]) >= r.least]
         want[i] = sorted(own)
-    found = secrets.scan(docs(spark, texts).drop("found")).collect()
-    assert {r["doc_id"]: [(x["s"], x["rank"], x["e"], x["kind"]) for x in r["found"]] for r in found} == want
+    found = secrets.scan(docs(spark, texts)).collect()
+    assert {r["doc_id"]: [(x["s"], x["rank"], x["e"], x["kind"]) for x in r["__ql_found"]] for r in found} == want
     assert len({x[3] for v in want.values() for x in v}) == len(secrets.RULES)
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs(spark, texts)).collect()}
     assert all((clean[i] == t) == (not want[i]) for i, t in enumerate(texts))
