@@ -78,6 +78,12 @@ def posture(shoulder: Column, hip: Column, knee: Column, ankle: Column, wrist: C
     return F.struct(label.otherwise("standing").alias("label"), score.otherwise(0.88).alias("score"))
 
 
+def landmarks(one: Column, listed: Column, nested: Column) -> Column:
+    """The landmarks of a picture from whichever form its detector gives: one struct with `landmark`, a list of such structs,
+    or a list of lists, the first person's in either. Null if there are none."""
+    return F.coalesce(one["landmark"], F.get(listed, F.lit(0))["landmark"], F.get(nested, F.lit(0)))
+
+
 def visible_mean(a: Column, b: Column, least: float = 0.40) -> Column:
     """Mean height of two landmarks (y, visibility), or that of the visible one; the second's if neither is."""
     on_a, on_b = a["visibility"] > least, b["visibility"] > least

@@ -30,9 +30,14 @@ def format_size_spaced(n: Column) -> Column:
     return out
 
 
+def extension(path: Column) -> Column:
+    """The extension of a path with its dot, '' without one."""
+    return F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1)
+
+
 def suffix(path: Column) -> Column:
-    """The lower-cased extension of a path with its dot, '' without one."""
-    return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
+    """The lower-cased extension."""
+    return F.lower(extension(path))
 
 
 def stem(name: Column) -> Column:
@@ -53,6 +58,22 @@ def sanitize_filename(name: Column) -> Column:
     return F.when(clean == "", "image").otherwise(clean)
 
 
+def safe_title(title: Column) -> Column:
+    """Forbidden characters as _, nothing else changed."""
+    return F.regexp_replace(title, FORBIDDEN, "_")
+
+
+def thumbnail(content: Column) -> Column:
+    """Picture bytes as base64 text, '' for none. Scaling is left to whoever makes the bytes."""
+    return F.coalesce(F.replace(F.base64(content), F.lit("\r\n"), F.lit("")), F.lit(""))
+
+
+def encoders(listing: Column) -> Column:
+    """Names in a listing of encoders: the second word of each line whose first has six letters or dots, first V for video."""
+    lines = F.filter(F.transform(F.split(listing, "\n"), F.trim), lambda x: x.rlike(r"^V[A-Z.]{5}\s+[^\s=]"))
+    return F.transform(lines, lambda x: F.get(F.split(x, r"\s+"), F.lit(1)))
+
+
 def slug(label: Column) -> Column:
     """The label before its first ` or `, lower-cased, other characters than letters and digits as single _."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.substring_index(label, " or ", 1)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
@@ -95,7 +116,7 @@ def metadata_line(width: Column, height: Column, frames: Column, size: Column) -
 
 
 def quality_label(vmaf: Column, ssim: Column) -> Column:
-    return F.when(vmaf.isNotNull(), F.format_string("VMAF %.1f", vmaf)).when(ssim.isNotNull(), F.format_string("SSIM %.4f", ssim)).otherwise("—")
+    return F.when(vmaf.isNotNull(), F.format_string("VMAF %.1f", F.bround(vmaf, 1))).when(ssim.isNotNull(), F.format_string("SSIM %.4f", F.bround(ssim, 4))).otherwise("—")
 
 
 def plain_url(url: Column) -> Column:
@@ -103,12 +124,6 @@ def plain_url(url: Column) -> Column:
     return reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), (("\\/", "/"), ("\\u0026", "&")), url)
 
 
-def url_format(url: Column) -> Column:
-    """hls or dash for manifests, else what follows the last dot before the query."""
-    path = F.lower(F.substring_index(url, "?", 1))
-    return F.when(path.endswith(".m3u8"), "hls").when(path.endswith(".mpd"), "dash").otherwise(F.substring_index(path, ".", -1))
-
-
 def absolute_url(base: Column, url: Column) -> Column:
     """The url as seen from a page at base: absolute ones as they are, //host, /path, and others beside the page."""
     origin = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)

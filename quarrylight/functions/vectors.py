@@ -31,9 +31,15 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 
 
-def half_cosine_distance(a: Column, b: Column, missing: float) -> Column:
-    """(1 - clip(dot)) / 2 of unit vectors; `missing` if either is."""
-    return F.when(a.isNull() | b.isNull(), F.lit(missing)).otherwise((1 - clip(dot(a, b), -1.0, 1.0)) / 2)
+def area(width: Column, height: Column) -> Column:
+    """width times height, never under 0."""
+    return F.greatest(width * height, F.lit(0))
+
+
+def half_cosine_distance(a: Column, b: Column, missing: float, both: float | None = None) -> Column:
+    """(1 - clip(dot)) / 2 of unit vectors; `missing` if either is, `both`, if it is given, where both are."""
+    gone = F.when(a.isNull() & b.isNull(), F.lit(missing if both is None else both))
+    return gone.when(a.isNull() | b.isNull(), F.lit(missing)).otherwise((1 - clip(dot(a, b), -1.0, 1.0)) / 2)
 
 
 def chi_square(a: Column, b: Column) -> Column:
@@ -41,8 +47,9 @@ def chi_square(a: Column, b: Column) -> Column:
     return clip(0.5 * total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y) / (x + y + F.lit(1e-10)))))
 
 
-def chi_square_distance(a: Column, b: Column, missing: float) -> Column:
-    return F.when(a.isNull() | b.isNull(), F.lit(missing)).otherwise(chi_square(a, b))
+def chi_square_distance(a: Column, b: Column, missing: float, both: float | None = None) -> Column:
+    gone = F.when(a.isNull() & b.isNull(), F.lit(missing if both is None else both))
+    return gone.when(a.isNull() | b.isNull(), F.lit(missing)).otherwise(chi_square(a, b))
 
 
 def time_distance(hours: Column, tau_hours: float) -> Column:

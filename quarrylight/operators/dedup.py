@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vectors as V
 from quarrylight.operators.components import connected_components
+from quarrylight.operators.hamming import bands, first_band, links
 from quarrylight.storage import written
 
 
@@ -22,11 +23,12 @@ class DedupSpec:
     content: str = "sha256"
     threshold: float = 8
     band: object = None  # (a, b) -> Column, on whole rows: checked before the distance
+    bits: int = 0  # the low bits outside the block, if signatures are longs and the distance is Hamming's
 
     @staticmethod
     def stills(threshold: int = 8) -> DedupSpec:
         """64-bit signatures in blocks of the first 8 bits."""
-        return DedupSpec(V.hamming, F.shiftrightunsigned("sig", 56), threshold=threshold)
+        return DedupSpec(V.hamming, F.shiftrightunsigned("sig", 56), threshold=threshold, bits=56)
 
     @staticmethod
     def frames(threshold: float = 8) -> DedupSpec:
@@ -41,18 +43,39 @@ class DedupSpec:
         return DedupSpec(V.mean_hamming, F.bround(F.col("duration_s") / 3, 0).cast("long"), "frame_hashes", threshold=threshold, band=near)
 
 
-def text_signatures(items: DataFrame) -> DataFrame:
-    """items (item_id, text, ...) with sig: 64-bit SimHash of the different words of a text, by the first 16 hex digits of
-    their MD5; a bit is set if more words set it than not. Votes are partial sums in generated code, one row an item shuffled."""
-    words = F.array_distinct(F.array_remove(F.split("text", r"[ \t\n\r]+"), ""))
+def words(text: str = "text") -> Column:
+    return F.array_remove(F.split(text, r"[ \t\n\r]+"), "")
+
+
+def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sig) of rows (keys, w): 64-bit SimHash of the words of a key, by the first 16 hex digits of their MD5; a bit is
+    set if more words set it than not. Votes are partial sums in generated code, one row a key and task shuffled."""
     half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
-    rows = items.select("item_id", F.explode(words).alias("w")).select("item_id", half(1).alias("high"), half(9).alias("low"))
+    rows = rows.select(*keys, half(1).alias("high"), half(9).alias("low"))
     vote = lambda k: F.sum(F.shiftright(F.col("high" if k >= 32 else "low"), k % 32).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{k}")
-    votes = rows.groupBy("item_id").agg(*map(vote, range(64)))
+    votes = rows.groupBy(*keys).agg(*map(vote, range(64)))
     sig = F.lit(0).cast("long")
     for k in range(64):
         sig = sig.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return items.join(votes.select("item_id", sig.alias("sig")), "item_id", "left").withColumn("sig", F.coalesce("sig", F.lit(0).cast("long")))
+    return votes.select(*keys, sig.alias("sig"))
+
+
+def text_signatures(items: DataFrame) -> DataFrame:
+    """items (item_id, text, ...) with sig, the SimHash of the different words of a text, 0 without words. Kept as a table
+    without the texts, so that what follows reads a few columns and hashes no word again."""
+    signed = simhash(items.select("item_id", F.explode(F.array_distinct(words())).alias("w")), ["item_id"])
+    out = items.drop("text").join(signed, "item_id", "left").withColumn("sig", F.coalesce("sig", F.lit(0).cast("long")))
+    return written(out, "signatures")
+
+
+def chunk_signatures(items: DataFrame, chunks: int = 8) -> DataFrame:
+    """items (item_id, text) with frame_hashes: the whole text in at most `chunks` consecutive parts of about equally many
+    words, the SimHash of each, in order; empty without words."""
+    rows = items.select("item_id", F.size(words()).alias("n"), F.posexplode(words()).alias("pos", "w"))
+    rows = rows.withColumn("chunk", F.floor(F.col("pos") * F.least(F.lit(chunks), F.col("n")) / F.col("n")).cast("int"))
+    signed = simhash(rows, ["item_id", "chunk"]).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "sig"))).alias("parts"))
+    hashes = signed.select("item_id", F.transform("parts", lambda x: x["sig"]).alias("frame_hashes"))
+    return items.join(hashes, "item_id", "left").withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<long>")))
 
 
 def exact_edges(items: DataFrame, content: str = "sha256") -> DataFrame:
@@ -64,27 +87,44 @@ def exact_edges(items: DataFrame, content: str = "sha256") -> DataFrame:
 def blocked_pairs(items: DataFrame, spec: DedupSpec) -> DataFrame:
     """(i, j, d), i < j, of the same block at distance threshold or less; null signatures pair with none.
 
-    An equi-join on the block; AQE splits a block that is too large. Without a block every pair is compared: only for
-    small inputs.
+    An equi-join on the block; AQE splits a block that is too large. Signatures of bits meet in bands within their block, of
+    which near ones share at least one, so that fewer pairs are compared and each is found once. Without a block every
+    pair is compared: only for small inputs. All pairs are the result; for groups, `near_edges` has fewer.
     """
     keys = ["item_id", spec.signature] + (["duration_s"] if spec.band else [])
     rows = items.filter(F.col(spec.signature).isNotNull()).select(*keys, (spec.block if spec.block is not None else F.lit(0)).alias("block"))
-    a, b = (rows.select("block", *(F.col(c).alias(f"{side}_{c}") for c in keys)) for side in "ab")
-    both = a.join(b, "block").filter("a_item_id < b_item_id")
+    meet = ["block"]
+    if spec.bits and 0 <= spec.threshold < spec.bits:
+        rows = rows.withColumn("x", F.explode(bands(F.col(spec.signature), spec.bits, int(spec.threshold)))).select(*keys, "block", "x.*")
+        meet = ["block", "band", "value"]
+    a, b = (rows.select(*meet, *(F.col(c).alias(f"{side}_{c}") for c in keys)) for side in "ab")
+    both = a.join(b, meet).filter("a_item_id < b_item_id")
     if spec.band:
         both = both.filter(spec.band(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
     d = spec.distance(F.col(f"a_{spec.signature}"), F.col(f"b_{spec.signature}")).cast("double")
-    return both.select(F.col("a_item_id").alias("i"), F.col("b_item_id").alias("j"), d.alias("d")).filter(F.col("d") <= spec.threshold)
+    both = both.withColumn("d", d).filter(F.col("d") <= spec.threshold)
+    if len(meet) > 1:
+        both = both.filter(first_band(F.col(f"a_{spec.signature}"), F.col(f"b_{spec.signature}"), F.col("band"), spec.bits, int(spec.threshold)))
+    return both.select(F.col("a_item_id").alias("i"), F.col("b_item_id").alias("j"), "d")
 
 
 def near_edges(items: DataFrame, spec: DedupSpec) -> DataFrame:
-    """Links of near items. Equal signatures are one representative in the pair join, so copies do not multiply pairs."""
+    """Links of near items, which connect them as all near pairs would. Equal signatures are one representative in the pair
+    join, so copies do not multiply pairs; of signatures of bits, a spanning tree of each group is given, not its pairs."""
     keys = [spec.signature] + (["duration_s"] if spec.band else [])
     rows = items.filter(F.col(spec.signature).isNotNull())
     first = rows.groupBy(*keys).agg(F.min("item_id").alias("src"))
     own = rows.join(first, keys).filter("item_id != src").select("src", F.col("item_id").alias("dst"))
     if spec.threshold < 0:
         own = own.limit(0)
+    if spec.bits and 0 <= spec.threshold < spec.bits:
+        band = F.explode(bands(F.col(spec.signature), spec.bits, int(spec.threshold)))
+        anchor = F.xxhash64("block", "x.band", "x.value")  # two keys that share a hash would only be compared more
+        spread = first.withColumn("block", spec.block if spec.block is not None else F.lit(0)).select(F.col(spec.signature).alias("sig"), "block", band.alias("x"))
+        found = _same_block(links(spread.select("sig", anchor.alias("anchor")), int(spec.threshold)), spec)
+        name = lambda side: first.select(F.col(spec.signature).alias(f"{side}_sig"), F.col("src").alias(side))
+        pairs = found.join(name("a"), F.col("x") == F.col("a_sig")).join(name("b"), F.col("y") == F.col("b_sig"))
+        return own.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("kind", F.lit("near"))
     pairs = blocked_pairs(first.select(F.col("src").alias("item_id"), *keys), spec).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return own.unionByName(pairs).withColumn("kind", F.lit("near"))
 
@@ -103,6 +143,15 @@ def duplicate_groups(items: DataFrame, spec: DedupSpec | None = None) -> DataFra
     return groups.join(label, "group_id").select("group_id", "item_id", F.when(F.col("all_exact"), "exact").otherwise("near").alias("match_type"))
 
 
+def _same_block(found: DataFrame, spec: DedupSpec) -> DataFrame:
+    """(x, y): links of equal blocks. A hash that two blocks share can bring others together."""
+    if spec.block is None:
+        return found.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    blocks = found.withColumnRenamed("src", spec.signature).withColumn("a_block", spec.block).withColumnRenamed(spec.signature, "x")
+    blocks = blocks.withColumnRenamed("dst", spec.signature).withColumn("b_block", spec.block).withColumnRenamed(spec.signature, "y")
+    return blocks.filter("a_block = b_block").select("x", "y")
+
+
 def merges(items: DataFrame, spec: DedupSpec) -> DataFrame:
     """near_merges: by how many the near links lower the number of components that exact links leave."""
     exact = exact_edges(items, spec.content).select("src", "dst")
@@ -117,18 +166,26 @@ def ranked(groups: DataFrame, *order: Column) -> DataFrame:
     return groups.withColumn("primary", F.row_number().over(w) == 1)
 
 
+def by_pixels(*more: str) -> list[Column]:
+    """The order in which a still's best copy comes first: fewest votes for a mark, most pixels; then `more`, such as the most
+    frames or the longest, largest first; then the smallest file. What is missing counts as 0."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return [zero("votes"), zero("pixels").desc(), *(zero(c).desc() for c in more), zero("size")]
+
+
+def compared_pixels(items: DataFrame, step: int = 20) -> DataFrame:
+    """(i, j, changed, edge_i, edge_j) of the pairs of a group of items (group_id, item_id, pixels, edges), arrays of equal
+    length: how many pixels differ by more than `step`, and the mean edge strength of either there, null if none does."""
+    side = lambda s: items.select("group_id", *(F.col(c).alias(f"{s}_{c}") for c in ("item_id", "pixels", "edges")))
+    both = side("a").join(side("b"), "group_id").filter("a_item_id < b_item_id")
+    rows = F.filter(F.arrays_zip("a_pixels", "b_pixels", "a_edges", "b_edges"), lambda x: F.abs(x["a_pixels"] - x["b_pixels"]) > step)
+    both = both.withColumn("rows", rows).withColumn("changed", F.size("rows"))
+    mean = lambda c: F.when(F.col("changed") > 0, V.total(F.transform("rows", lambda x: x[c].cast("double"))) / F.col("changed"))
+    return both.select(F.col("a_item_id").alias("i"), F.col("b_item_id").alias("j"), "changed", mean("a_edges").alias("edge_i"), mean("b_edges").alias("edge_j"))
+
+
 def pixel_votes(pairs: DataFrame, least_pixels: int = 200, ratio: float = 1.3) -> DataFrame:
     """(item_id, votes) from pairs (i, j, changed, edge_i, edge_j): where at least least_pixels changed, the side whose mean
     edge strength there is over `ratio` times the other's gets a vote, as it is likelier to bear a mark."""
     side = F.when(F.col("edge_i") > ratio * F.col("edge_j"), F.col("i")).when(F.col("edge_j") > ratio * F.col("edge_i"), F.col("j"))
     return pairs.filter(F.col("changed") >= least_pixels).select(side.alias("item_id")).filter("item_id is not null").groupBy("item_id").agg(F.count(F.lit(1)).alias("votes"))
-
-
-def move_plan(items: DataFrame, folder: str = "Duplicate") -> DataFrame:
-    """(item_id, src_path, dst_path, group_id) of what is not primary: name_dup.ext, then _dup1, _dup2 for equal names."""
-    from quarrylight.functions.strings import stem
-
-    moved = items.filter(~F.col("primary")).withColumn("stem", stem(F.col("name"))).withColumn("ext", F.expr("substring(name, length(stem) + 1)"))
-    n = F.row_number().over(Window.partitionBy("stem", "ext").orderBy("item_id")) - 2
-    tail = F.when(n < 0, "_dup").otherwise(F.concat(F.lit("_dup"), (n + 1).cast("string")))
-    return moved.select("item_id", F.col("name").alias("src_path"), F.concat(F.lit(folder + "/"), "stem", tail, "ext").alias("dst_path"), "group_id")

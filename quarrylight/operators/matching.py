@@ -1,15 +1,21 @@
-"""Entities by their nearest reference vectors: gates, thresholds, greedy exclusion, categories."""
+"""Entities by their nearest reference vectors: loading, gates, thresholds, greedy exclusion, categories."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from quarrylight.functions import vectors as V
-from quarrylight.storage import small
+from quarrylight.functions.strings import person_key, stem
+from quarrylight.operators.pairs import across
+from quarrylight.shipping import ship
+from quarrylight.storage import fits
 
-LARGEST_REFERENCES = 20_000
+LARGEST_REFERENCES = 20_000  #: references that are sent to every task; more meet the vectors by blocks
 
 
 def gates(faces: DataFrame, least_score: float = 0.65, of_image: float = 0.005, of_largest: float = 0.18) -> DataFrame:
@@ -19,18 +25,75 @@ def gates(faces: DataFrame, least_score: float = 0.65, of_image: float = 0.005,
     return kept.withColumn("largest", largest).filter(F.col("area") >= of_largest * F.col("largest")).drop("largest")
 
 
-def scores(faces: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, person, person_ord, score: each vector's best cosine with a person. References are counted before they are
-    broadcast; they are a curated set, not the data. Partial maxima meet before the shuffle."""
-    refs = small(references.select("person", "person_ord", F.col("emb").alias("ref")), LARGEST_REFERENCES)
-    both = faces.join(refs, F.lit(True), "inner").select(*keys, "person", "person_ord", V.cosine(F.col("emb"), F.col("ref")).alias("score"))
-    return both.groupBy(*keys, "person", "person_ord").agg(F.max("score").alias("score"))
+def load_references(faces: DataFrame) -> DataFrame:
+    """(person, person_ord, path, emb) of detections (path, area, emb): the largest face of each file, the first of equals by
+    its emb; the person is the file's name without extension and number. Files without a vector give none; persons are in
+    order of their names. No references at all is the caller's error to raise."""
+    there = faces.filter("emb is not null")
+    best = there.groupBy("path").agg(F.max_by("emb", F.struct("area", "emb")).alias("emb"))
+    named = best.select(person_key(stem(F.element_at(F.split("path", "/"), -1))).alias("person"), "path", "emb")
+    order = named.select("person").distinct().withColumn("person_ord", F.row_number().over(Window.orderBy("person")).cast("long"))  # a curated set
+    return named.join(F.broadcast(order), "person").select("person", "person_ord", "path", "emb")
+
+
+def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 1))
+    return x, np.sqrt((x * x).sum(axis=1))
+
+
+def _persons(faces: pd.DataFrame, refs: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """The best cosine of each vector (rows) with each person (columns), and the persons in their order."""
+    refs = refs.sort_values(["person_ord", "person"], kind="stable", ignore_index=True)
+    (x, nx), (y, ny) = _matrix(faces["emb"]), _matrix(refs["emb"])
+    cosine = (x @ y.T) / (nx[:, None] * ny + 1e-8)
+    starts = np.flatnonzero(np.r_[True, refs["person"].to_numpy()[1:] != refs["person"].to_numpy()[:-1]])
+    return np.maximum.reduceat(cosine, starts, axis=1), refs.iloc[starts]
+
+
+def scores(faces: DataFrame, references: DataFrame, keys: list[str], least: float | None = None, best: bool = False) -> DataFrame:
+    """keys, person, person_ord, score: each vector's best cosine with a person, by matrix products; with `least`, those at
+    that score or more; with `best`, the first best person only. A null vector has none.
+
+    References are measured before they are sent to every task; more than that meet the vectors block by block.
+    """
+    ship(faces.sparkSession)
+    faces = faces.filter("emb is not null").select(*keys, "emb")
+    refs = references.filter("emb is not null").select("person", F.col("person_ord").cast("long").alias("person_ord"), "emb")
+    kinds = StructType([faces.schema[k] for k in keys]).add("person", StringType()).add("person_ord", LongType()).add("score", DoubleType())
+
+    text = [f.name for f in kinds if isinstance(f.dataType, StringType)]
+
+    def rows(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(own):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in kinds})
+        score, persons = _persons(part, own)
+        wanted = np.ones(score.shape, bool) if least is None else score >= least
+        if best:
+            wanted &= np.arange(score.shape[1]) == score.argmax(axis=1)[:, None]
+        i, j = np.nonzero(wanted)
+        out = part[keys].iloc[i].reset_index(drop=True)
+        person = pd.Series(persons["person"].to_numpy(object)[j], dtype=object)
+        return out.assign(person=person, person_ord=persons["person_ord"].to_numpy()[j], score=score[i, j]).astype({k: object for k in text})
+
+    if fits(refs, LARGEST_REFERENCES):
+        sent = faces.sparkSession.sparkContext.broadcast(refs.toPandas())
+
+        def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield rows(part, sent.value)
+
+        return faces.mapInPandas(batches, kinds)
+    met = across(faces, refs, rows, kinds).groupBy(*keys, "person", "person_ord").agg(F.max("score").alias("score"))
+    if not best:
+        return met
+    top = met.groupBy(*keys).agg(F.max_by(F.struct("person", "person_ord", "score"), F.struct("score", -F.col("person_ord"))).alias("b"))
+    return top.select(*keys, "b.*")
 
 
 def nearest_reference(faces: DataFrame, references: DataFrame, keys: list[str], threshold: float = 0.40) -> DataFrame:
     """keys, person, score: the best person, the earlier on ties; Others below the threshold."""
-    best = scores(faces, references, keys).groupBy(*keys).agg(F.max_by(F.struct("person", "score"), F.struct("score", -F.col("person_ord"))).alias("b"))
-    return best.select(*keys, F.when(F.col("b.score") >= threshold, F.col("b.person")).otherwise("Others").alias("person"), F.col("b.score").alias("score"))
+    found = scores(faces, references, keys, best=True)
+    return found.select(*keys, F.when(F.col("score") >= threshold, F.col("person")).otherwise("Others").alias("person"), "score")
 
 
 def greedy_match(faces: DataFrame, references: DataFrame, threshold: float = 0.40) -> DataFrame:
@@ -38,7 +101,7 @@ def greedy_match(faces: DataFrame, references: DataFrame, threshold: float = 0.4
 
     One pandas call an image; an image's faces and persons over the threshold are few.
     """
-    all_ = scores(faces, references, ["image_id", "face_ord"]).filter(F.col("score") >= threshold)
+    all_ = scores(faces, references, ["image_id", "face_ord"], least=threshold)
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -80,3 +143,10 @@ def category_summary(found: DataFrame, name: str = "person") -> DataFrame:
     c = F.col(name)
     out = found.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("avg_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(category_order(c), c)).cast("long"))
+
+
+def category_counts(found: DataFrame, name: str = "person") -> DataFrame:
+    """One row: matched, in Group, in Others, and how many different persons are matched."""
+    c = F.col(name)
+    named = ~c.isin("Group", "Others")
+    return found.agg(F.count_if(named).alias("matched"), F.count_if(c == "Group").alias("group"), F.count_if(c == "Others").alias("others"), F.count_distinct(F.when(named, c)).alias("persons"))

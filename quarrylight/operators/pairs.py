@@ -1,4 +1,4 @@
-"""All pairs of rows by blocks: every block meets every block, itself included, in one pandas call."""
+"""All pairs of rows by blocks: every block meets every block, in one pandas call each."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.shipping import ship
+
 BLOCK = 2048  #: rows of a block, about; a call holds two blocks, so memory does not grow with the table
 SLICE = 256  #: rows of the one block that are compared with all of the other at once
 
 
-def all_pairs(items: DataFrame, distance, below: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(i, j, d) of all i < j of items (item_id, ...); with below, only those at d < below.
+def all_pairs(items: DataFrame, distance, below: float | None = None, block: int = BLOCK, keep=None) -> DataFrame:
+    """(i, j, d) of all i < j of items (item_id, ...); with below, only those at d < below; with keep, where keep(d).
 
     distance(a, b) of two pandas frames with the columns of items gives the matrix of distances. A null item_id pairs with none. The number of blocks
     grows with the rows; each row goes to as many calls as there are blocks, and each pair of blocks is one call.
     """
+    ship(items.sparkSession)
     items = items.filter("item_id is not null")
     n = max(1, math.ceil(items.count() / block))
     rows = items.withColumn("own", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -33,11 +36,25 @@ def all_pairs(items: DataFrame, distance, below: float | None = None, block: int
             some = a.iloc[at : at + SLICE]
             left = some["item_id"].to_numpy()
             d = distance(some, b)
-            keep = left[:, None] < right if low == high else left[:, None] != right
+            wanted = left[:, None] < right if low == high else left[:, None] != right
             if below is not None:
-                keep &= d < below
-            x, y = np.nonzero(keep)
+                wanted &= d < below
+            if keep is not None:
+                wanted &= keep(d)
+            x, y = np.nonzero(wanted)
             out.append((np.minimum(left[x], right[y]), np.maximum(left[x], right[y]), d[x, y]))
         return pd.DataFrame(dict(zip("ijd", map(np.concatenate, zip(*out)))))
 
     return rows.groupBy("low", "high").applyInPandas(compare, "i long, j long, d double")
+
+
+def across(a: DataFrame, b: DataFrame, f, schema, block_a: int = BLOCK, block_b: int = BLOCK) -> DataFrame:
+    """f(x, y) of every block x of a with every block y of b, as rows of schema. Rows are dealt by their content, so a block
+    is about as large as asked; each row goes to as many calls as the other side has blocks."""
+    ship(a.sparkSession)
+    n, m = (max(1, math.ceil(t.count() / size)) for t, size in ((a, block_a), (b, block_b)))
+    own = lambda t, parts: F.pmod(F.xxhash64(*t.columns), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = a.withColumn("__a", own(a, n)).withColumn("__b", every(m))
+    right = b.withColumn("__b", own(b, m)).withColumn("__a", every(n))
+    return left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(f, schema)

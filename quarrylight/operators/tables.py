@@ -1,31 +1,30 @@
-"""Labels, links, timelines, outcomes and caches."""
+"""Labels, timelines, outcomes and caches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions import strings as S
 from quarrylight.functions import vectors as V
+from quarrylight.operators.matching import scores
 
 # --- labels
 
 
 def zero_shot(vectors: DataFrame, labels: DataFrame, scale: float = 100.0, threshold: float = 0.20, top: int = 3) -> DataFrame:
-    """(item_id, label, score, accepted, top array of (label, score)): softmax of scaled cosines over a few labels.
+    """(item_id, label, score, accepted, top array of (label, score)): softmax of scaled cosines over labels (label, ord,
+    label_emb); a label may have several vectors, the nearest counts.
 
-    Scores are rounded to 4 decimals before the threshold; ties go by the labels' order. Labels are a fixed, small set.
+    Scores are rounded to 4 decimals before the threshold; ties go by the labels' order. Cosines are matrix products; only
+    an item's few best labels and its two sums are shuffled, in partial form, if the labels are too many for one call.
     """
-    n = labels.count()
-    if n > 10_000:
-        raise ValueError("labels are meant to be a small set")
-    both = vectors.join(F.broadcast(labels), F.lit(True)).select("item_id", "label", "ord", (scale * V.cosine(F.col("emb"), F.col("label_emb"))).alias("x"))
-    rows = both.groupBy("item_id").agg(F.max("x").alias("high"), F.collect_list(F.struct("x", "ord", "label")).alias("all"))
-    rows = rows.withColumn("total", F.aggregate(F.array_sort(F.transform("all", lambda r: F.struct(r["ord"].alias("ord"), r["x"].alias("x")))), F.lit(0.0), lambda a, r: a + F.exp(r["x"] - F.col("high"))))
-    scored = F.transform("all", lambda r: F.struct((-r["x"]).alias("down"), r["ord"].alias("ord"), r["label"].alias("label"), F.round(F.exp(r["x"] - F.col("high")) / F.col("total"), 4).alias("score")))
-    best = rows.select("item_id", F.slice(F.array_sort(scored), 1, top).alias("best"))
-    first = F.get("best", F.lit(0))
-    return best.select("item_id", first["label"].alias("label"), first["score"].alias("score"), (first["score"] >= threshold).alias("accepted"), F.transform("best", lambda r: F.struct(r["label"].alias("label"), r["score"].alias("score"))).alias("top"))
+    refs = labels.select(F.col("label").alias("person"), F.col("ord").alias("person_ord"), F.col("label_emb").alias("emb"))
+    x = scores(vectors, refs, ["item_id"]).select("item_id", F.col("person").alias("label"), F.col("person_ord").alias("ord"), (scale * F.col("score")).alias("x"))
+    rows = x.groupBy("item_id").agg(F.max("x").alias("high"), F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("down"), "ord", "label"))).alias("all"))
+    total = F.aggregate("all", F.lit(0.0), lambda a, r: a + F.exp(-r["down"] - F.col("high")))
+    best = rows.select("item_id", F.transform(F.slice("all", 1, top), lambda r: F.struct(r["label"].alias("label"), F.round(F.exp(-r["down"] - F.col("high")) / total, 4).alias("score"))).alias("top"))
+    first = F.get("top", F.lit(0))
+    return best.select("item_id", first["label"].alias("label"), first["score"].alias("score"), (first["score"] >= threshold).alias("accepted"), "top")
 
 
 def tag_summary(tags: DataFrame) -> DataFrame:
@@ -39,48 +38,6 @@ def tag_summary(tags: DataFrame) -> DataFrame:
     )
 
 
-def rename_plan(tags: DataFrame) -> DataFrame:
-    """(item_id, src_path, dst_path): suggested name, running number in order of item_id, lower-cased extension."""
-    n = F.row_number().over(Window.partitionBy("suggested_name").orderBy("item_id"))
-    return tags.filter("error is null").select("item_id", F.col("name").alias("src_path"), F.concat("suggested_name", F.format_string("_%04d", n), S.suffix(F.col("name"))).alias("dst_path"))
-
-
-def group_plan(tags: DataFrame) -> DataFrame:
-    """(item_id, folder, dst_path): scene/theme if both are accepted, _unclassified otherwise; equal names in a folder numbered."""
-    folder = F.when(F.col("scene_ok") & F.col("theme_ok"), F.concat_ws("/", "scene", "theme")).otherwise("_unclassified")
-    rows = tags.filter("error is null").withColumn("folder", folder)
-    n = F.row_number().over(Window.partitionBy("folder", "name").orderBy("item_id")) - 1
-    ext = S.suffix(F.col("name"))
-    name = F.when(n == 0, F.col("name")).otherwise(F.concat(S.stem(F.col("name")), F.lit("_"), n.cast("string"), ext))
-    return rows.select("item_id", "folder", F.concat_ws("/", "folder", name).alias("dst_path"))
-
-
-# --- links
-
-#: What ends a path to a video, and to a manifest.
-VIDEO = r"""(?i)(https?://[^\s"'<>]+\.(?:mp4|webm|mkv|avi|mov|flv|wmv|m4v)(?:\?[^\s"'<>]*)?)"""
-MANIFEST = r"""(?i)(https?://[^\s"'<>]+\.(?:m3u8|mpd)(?:\?[^\s"'<>]*)?)"""
-SOURCE = r"""(?i)<(?:video|source)\b[^>]*?\bsrc\s*=\s*["']([^"']+)["']"""
-SOCIAL = r"""(?i)"(?:video_url|playable_url|contentUrl|browser_native_hd_url)"\s*:\s*"([^"]+)\""""
-HREF = r"""href="([^"]+)\""""
-
-
-def links(pages: DataFrame, patterns=((SOURCE, 1), (VIDEO, 1), (SOCIAL, 1), (MANIFEST, 1)), least_length: int = 0, fallback=(), excluded: str = "add_to_home") -> DataFrame:
-    """(page_id, ord, url, format): urls of each pattern in turn, first occurrence on a page only; fallback patterns for pages
-    that have none. A page is one row, so its order and its distinct urls are array work, without a shuffle."""
-
-    def found(of) -> Column:
-        parts = [F.coalesce(F.regexp_extract_all("html", F.lit(p), F.lit(g)), F.array().cast("array<string>")) for p, g in of]
-        urls = F.transform(F.concat(*parts), lambda u: S.absolute_url(F.col("url"), S.plain_url(u)))
-        return F.array_distinct(F.filter(urls, lambda u: ~u.contains(excluded)))
-
-    rows = pages.filter(F.length("html") > least_length).withColumn("urls", found(patterns))
-    if fallback:
-        rows = rows.withColumn("urls", F.when(F.size("urls") > 0, F.col("urls")).otherwise(found(fallback)))
-    out = rows.select("page_id", F.posexplode("urls").alias("pos", "link"))
-    return out.select("page_id", (F.col("pos") + 1).alias("ord"), F.col("link").alias("url"), S.url_format(F.col("link")).alias("format"))
-
-
 # --- timelines
 
 
@@ -94,6 +51,12 @@ def segments(items: DataFrame, length: float = 15.0, gap: float = 45.0) -> DataF
     return rows.select("item_id", "seg_idx", "start_s", F.least(F.col("start_s") + length, F.col("duration_s")).alias("end_s"))
 
 
+def sub_clip(frames: DataFrame, start: float, end: float | None = None) -> DataFrame:
+    """Of frames (t, duration_s) those from start, before the end of the clip or of the whole."""
+    last = F.col("duration_s") if end is None else F.least(F.lit(end), F.col("duration_s"))
+    return frames.filter((F.col("t") >= start) & (F.col("t") < last))
+
+
 def gapped_window(seconds: Column, length: float, gap: float) -> Column:
     """The number of the window that holds a time, null in the gaps; windows begin at each multiple of gap."""
     k = F.floor(seconds / gap)
@@ -113,16 +76,71 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 
 def compress_summary(rows: DataFrame) -> DataFrame:
+    """Counts by status; what was saved and how well, of those that succeeded. The mean SSIM only where no VMAF is known."""
     ok = F.col("status") == "ok"
+    of = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("double")
+    vmaf, ssim = F.avg(F.when(ok, of("vmaf"))), F.avg(F.when(ok, of("ssim")))
     return rows.agg(
         F.count_if(ok).alias("n_ok"),
         F.count_if(F.col("status") == "skipped").alias("n_skipped"),
         F.count_if(F.col("status") == "error").alias("n_error"),
         F.sum(F.when(ok, F.col("orig_size") - F.col("new_size"))).alias("saved"),
         F.avg(F.when(ok, savings_pct(F.col("orig_size"), F.col("new_size")))).alias("avg_savings_pct"),
+        vmaf.alias("avg_vmaf"),
+        F.when(vmaf.isNull(), ssim).alias("avg_ssim"),
+    )
+
+
+def recompress_summary(rows: DataFrame) -> DataFrame:
+    """In place: what was skipped or failed keeps its size in the final total."""
+    ok = F.col("status") == "ok"
+    final = F.when(ok, F.col("new_size")).otherwise(F.col("orig_size"))
+    saved = F.coalesce(F.sum(F.when(ok, F.col("orig_size") - F.col("new_size"))), F.lit(0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(ok).alias("compressed"),
+        F.count_if(F.col("status") == "skipped").alias("skipped"),
+        F.count_if(F.col("status") == "error").alias("failed"),
+        F.sum("orig_size").alias("orig_total"),
+        F.sum(final).alias("final_total"),
+        saved.alias("saved"),
+        F.when(F.sum("orig_size") > 0, saved / F.sum("orig_size") * 100).alias("saved_pct"),
     )
 
 
+def throughput(n: Column, seconds: Column) -> Column:
+    """Pieces a second, 0 if no time has passed."""
+    return F.when(seconds > 0, n / seconds).otherwise(F.lit(0.0))
+
+
+def run_summary(rows: DataFrame, elapsed: Column | None = None) -> DataFrame:
+    """total, succeeded, failed of rows (success); with elapsed seconds, also the rate."""
+    ok = F.coalesce("success", F.lit(False))
+    total = F.count(F.lit(1))
+    parts = [total.alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")]
+    return rows.agg(*parts, *([] if elapsed is None else [throughput(total, F.max(elapsed)).alias("rate")]))
+
+
+def conversion_summary(rows: DataFrame, longest: float = 15.0) -> DataFrame:
+    """Of rows (success, duration_s, source_deleted, size): only sources of up to `longest` seconds were to be deleted."""
+    ok = F.coalesce("success", F.lit(False))
+    gone = F.coalesce("source_deleted", F.lit(False))
+    short = ok & (F.col("duration_s") <= longest)
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(ok).alias("succeeded"),
+        F.count_if(~ok).alias("failed"),
+        F.count_if(short & gone).alias("deleted"),
+        F.count_if(short & ~gone).alias("not_deleted"),
+        F.coalesce(F.sum(F.when(short & gone, F.col("size"))), F.lit(0)).alias("freed"),
+    )
+
+
+def sample_mean(rows: DataFrame, value: str, order: list[str], n: int = 3) -> DataFrame:
+    """mean of the first n rows in order: a rough guess, as it is meant to be."""
+    return rows.orderBy(*order).limit(n).agg(F.avg(value).alias("mean"))
+
+
 def convert_summary(rows: DataFrame) -> DataFrame:
     """Originals of all tries against conversions that succeeded, as reported, and of the same files, as is true."""
     ok = F.col("status") == "ok"

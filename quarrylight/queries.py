@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import rules as R
@@ -11,32 +11,15 @@ from quarrylight.functions import strings as S
 from quarrylight.functions import vectors as V
 from quarrylight.operators import cluster as C
 from quarrylight.operators import dedup as D
+from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
 from quarrylight.operators.pairs import all_pairs
+from quarrylight.plans import files as P
+from quarrylight.registry import ORACLES, QUERIES, query, r6, read
 from quarrylight.storage import written
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c):
-    return F.round(c, 6)
-
+__all__ = ["ORACLES", "QUERIES"]
 
 def text_items(spark, d) -> DataFrame:
     """Documents as items: content hash of the text, size in characters."""
@@ -113,32 +96,45 @@ def dup_move_plan(spark, d):
     items = text_items(spark, d)
     groups = D.duplicate_groups(items).join(items.select("item_id", "size"), "item_id")
     rows = D.ranked(groups, F.desc("size")).withColumn("name", F.format_string("doc_%d.txt", F.col("item_id") % 10))
-    return D.move_plan(rows)
+    return P.move_plan(rows)
 
 
 def _frames(spark, d) -> DataFrame:
-    """Documents as clips: up to 8 lines spread over the text are frames, each by the first 15 hex digits of its MD5; n_chars / 100 is the duration."""
-    rows = read(spark, d, "documents").filter("text is not null").withColumn("lines", F.split("text", "\n"))
-    rows = rows.withColumn("at", V.sample_indices(F.size("lines")))
-    frames = F.transform("at", lambda i: F.conv(F.substring(F.md5(F.get("lines", i)), 1, 15), 16, 10).cast("long"))
-    return rows.select(F.col("doc_id").alias("item_id"), F.sha2("text", 256).alias("sha256"), frames.alias("frame_hashes"), (F.col("n_chars") / 100).alias("duration_s"), "at")
+    """Documents as clips: the whole text in up to 8 consecutive chunks is the frames, each by its SimHash; n_chars / 100 is the duration."""
+    rows = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("item_id"), "text", (F.col("n_chars") / 100).alias("duration_s"))
+    return written(D.chunk_signatures(rows).select("item_id", "frame_hashes", "duration_s"), "frames")
+
 
+def _votes_sql(keys: str, source: str) -> str:
+    return f"(select {keys}, {', '.join(_bit(k) for k in range(64))} from {source} group by {keys})"
 
-FRAME_SQL = """rows as (select doc_id, n_chars / 100 as dur, string_split(text, chr(10)) as lines from documents where text is not null),
-spots as (select *, case when least(8, len(lines)) <= 1 then [0] else list_sort(list_distinct(list_transform(range(0, least(8, len(lines))), lambda i: round_even(i * (len(lines) - 1) / (least(8, len(lines)) - 1), 0)::int))) end as spot from rows),
-clips as (select doc_id as item_id, dur, spot, list_transform(spot, lambda i: cast('0x' || substr(md5(lines[i + 1]), 1, 15) as bigint)) as f from spots)"""
 
+_SIG = " + ".join(f"coalesce(case when b{k} > 0 then {'(-9223372036854775807 - 1)' if k == 63 else 1 << k}::bigint end, 0)" for k in range(63, -1, -1))
+FRAME_SQL = f"""ws as (select doc_id, n_chars / 100 as dur, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') as ws from documents where text is not null),
+parts as (select doc_id, i * least(8, len(ws)) // len(ws) as chunk, ws[i + 1] as w from (select *, unnest(range(0, len(ws))) as i from ws)),
+signed as (select doc_id, chunk, {_SIG} as sig from {_votes_sql('doc_id, chunk', 'parts')}),
+clips as (select doc_id as item_id, any_value(dur) as dur, coalesce(list(sig order by chunk) filter (sig is not null), []) as f from ws left join signed using (doc_id) group by doc_id)"""
+PAIR_SQL = """select i, j, round(d, 6) as d from (select a.item_id as i, b.item_id as j, list_sum(list_transform(range(1, least(len(a.f), len(b.f)) + 1), lambda k: bit_count(xor(a.f[k], b.f[k]))::double)) / least(len(a.f), len(b.f)) as d
+  from clips a join clips b on a.item_id < b.item_id and {}) where d <= 8"""
 
-@query("with " + FRAME_SQL + """, p as (select a.item_id as i, b.item_id as j, list_sum(list_transform(range(1, least(len(a.f), len(b.f)) + 1), lambda k: bit_count(xor(a.f[k], b.f[k]))::double)) / least(len(a.f), len(b.f)) as d
-  from clips a join clips b on round_even(a.dur / 3, 0) = round_even(b.dur / 3, 0) and a.item_id < b.item_id where abs(a.dur - b.dur) <= greatest(2.0, 0.05 * greatest(a.dur, b.dur)))
-select i, j, round(d, 6) as d from p where d <= 8""")
+
+@query("with " + FRAME_SQL + " " + PAIR_SQL.format("round_even(a.dur / 3, 0) = round_even(b.dur / 3, 0) and abs(a.dur - b.dur) <= greatest(2.0, 0.05 * greatest(a.dur, b.dur))"))
 def frame_signature_pairs(spark, d):
     return D.blocked_pairs(_frames(spark, d), D.DedupSpec.timed_frames()).select("i", "j", r6("d").alias("d"))
 
 
-@query("with " + FRAME_SQL + " select item_id, unnest(spot)::int as frame from clips")
+@query("with " + FRAME_SQL + " " + PAIR_SQL.format("coalesce((a.f[1] >> 56) & 255, -1) = coalesce((b.f[1] >> 56) & 255, -1)"))
+def frame_block_pairs(spark, d):
+    """Clips in blocks of their first frame's first bits, whatever their duration."""
+    return D.blocked_pairs(_frames(spark, d), D.DedupSpec.frames()).select("i", "j", r6("d").alias("d"))
+
+
+@query("""with n as (select doc_id, len(string_split(text, chr(10))) as n from documents where text is not null)
+select doc_id as item_id, unnest(case when n <= 1 then [0] else list_sort(list_distinct(list_transform(range(0, least(8, n)), lambda i: round_even(i * (n - 1) / (least(8, n) - 1), 0)::int))) end)::int as frame from n""")
 def sample_frames(spark, d):
-    return _frames(spark, d).select("item_id", F.explode("at").alias("frame"))
+    """The lines of a document that would be looked at as frames."""
+    rows = read(spark, d, "documents").filter("text is not null").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    return rows.select(F.col("doc_id").alias("item_id"), F.explode(V.sample_indices(F.col("n"))).alias("frame"))
 
 
 def _vectors(spark, d):
@@ -147,29 +143,10 @@ def _vectors(spark, d):
 
 @query("select a.vec_id as i, b.vec_id as j, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.40")
 def vector_all_pairs(spark, d):
-    """All pairs by blocks of rows: a block meets a block in one matrix product, in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
-    rows = _vectors(spark, d).select("item_id", "emb")
-    n = 8  # blocks; a pair of blocks is one task, so memory is bounded by the rows of two blocks
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int")
-    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(part["low"].iat[0]), int(part["high"].iat[0])
-        a, b = part[part["own"] == low], part[part["own"] == high]
-        x, y = (np.stack(p["emb"].to_numpy()).astype(np.float64) if len(p) else np.zeros((0, 1)) for p in (a, b))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"i": [], "j": [], "score": []}).astype({"i": "int64", "j": "int64"})
-        i, j = np.nonzero(x @ y.T >= 0.40)
-        left, right = a["item_id"].to_numpy()[i], b["item_id"].to_numpy()[j]
-        s = (x[i] * y[j]).sum(axis=1)
-        keep = left < right if low == high else left != right
-        return pd.DataFrame({"i": np.minimum(left, right)[keep], "j": np.maximum(left, right)[keep], "score": s[keep]})
-
-    return rows.groupBy("low", "high").applyInPandas(pairs, "i long, j long, score double").select("i", "j", r6("score").alias("score"))
+    """All pairs by blocks of rows, as many as the rows ask for: a slice of a block meets a block in one matrix product."""
+    dots = lambda a, b: np.stack(a["emb"]).astype(np.float64) @ np.stack(b["emb"]).astype(np.float64).T
+    found = all_pairs(_vectors(spark, d).select("item_id", "emb"), dots, keep=lambda x: x >= 0.40)
+    return found.select("i", "j", r6("d").alias("score"))
 
 
 HASH_SQL = "hashes as (select vec_id, list_reduce(list_transform(range(1, 65), lambda k: case when embedding[k] > 0 then (case when k = 1 then -9223372036854775808 else (1::bigint << (64 - k)) end)::bigint else 0::bigint end), lambda a, b: a + b) as h from embeddings)"
@@ -211,7 +188,14 @@ def reference_gates(spark, d):
     return M.gates(faces.withColumn("det_score", F.when(F.abs("area") % 1 >= 0.3, 1.0).otherwise(0.0))).select("image_id", "face_id")
 
 
-@query()
+@query("with recursive " + """refs as (select 'p' || label as person, label as o, embedding::double[] as e from embeddings where vec_id < 50),
+f as (select vec_id // 4 as image_id, (vec_id % 4)::int as face_ord, embedding::double[] as e from embeddings where vec_id >= 50),
+sc as (select image_id, face_ord, person, o, max(list_inner_product(f.e, r.e) / (sqrt(list_inner_product(f.e, f.e)) * sqrt(list_inner_product(r.e, r.e)) + 1e-8)) as s from f, refs r group by all),
+cand as (select image_id, face_ord, list({'p': person, 's': s} order by s desc, o) as c from sc where s >= 0.2 group by all),
+step as (select distinct image_id, -1 as face_ord, [''] as taken, null::struct(p varchar, s double) as got from cand
+  union all select image_id, k, case when g is null then taken else list_append(taken, g.p) end, g from (
+    select step.image_id, step.face_ord + 1 as k, taken, list_filter(coalesce(c, []), lambda x: not list_contains(taken, x.p))[1] as g from step left join cand on cand.image_id = step.image_id and cand.face_ord = step.face_ord + 1 where step.face_ord < 3))
+select image_id, face_ord, got.p as person, round(got.s, 6) as score from step where got is not null""")
 def greedy_match(spark, d):
     faces = _vectors(spark, d).filter("item_id >= 50").select(F.floor(F.col("item_id") / 4).alias("image_id"), (F.col("item_id") % 4).cast("int").alias("face_ord"), "emb")
     return M.greedy_match(faces, _references(spark, d), 0.20).select("image_id", "face_ord", "person", r6("score").alias("score"))
@@ -248,7 +232,7 @@ s as (select vec_id, m, case when vec_id % 7 <> 0 then list_transform(a, lambda
 t as (select x.vec_id as i, y.vec_id as j, case when x.face is null or y.face is null then 0.68 else (1 - greatest(-1, least(1, list_sum(list_transform(range(1, 33), lambda k: x.face[k] * y.face[k]))))) / 2 end as f,
   case when x.clip is null or y.clip is null then 0.60 else (1 - greatest(-1, least(1, list_sum(list_transform(range(1, 33), lambda k: x.clip[k] * y.clip[k]))))) / 2 end as c,
   case when x.bg is null or y.bg is null then 0.70 else greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, 17), lambda k: (x.bg[k] - y.bg[k]) * (x.bg[k] - y.bg[k]) / (x.bg[k] + y.bg[k] + 1e-10))))) end as g,
-  1 - exp(-abs(x.m - y.m) / 3600 / 72) as t, (x.face is not null)::int + (y.face is not null)::int as two, abs(x.n - y.n) as gap from s x join s y on x.vec_id // 50 = y.vec_id // 50 and x.vec_id < y.vec_id),
+  1 - exp(-abs(x.m - y.m) / 3600 / 72) as t, (x.face is not null)::int + (y.face is not null)::int as two, abs(x.n - y.n) as gap from s x join s y on x.vec_id < y.vec_id),
 u as (select *, 0.40 * f + 0.28 * c + 0.17 * g + 0.15 * t as d from t),
 v as (select *, case when two = 2 and f < 0.22 then greatest(0, least(1, d - 0.08)) when two = 1 then greatest(0, least(1, d + 0.04)) else d end as e from u),
 w as (select i, j, greatest(0, least(1, e + case when gap = 0 then 0 when gap = 1 then 0.20 else 0.35 end)) as d from v)"""
@@ -256,46 +240,62 @@ w as (select i, j, greatest(0, least(1, e + case when gap = 0 then 0 when gap =
 
 @query("with " + SIGNAL_SQL + " select i, j, round(d, 6) as d from w")
 def signal_distance(spark, d):
-    """All pairs by blocks. The SQL above still compares only ids of the same fifty; see README."""
+    """All pairs by blocks."""
     return C.all_signal_distances(_signals(spark, d)).select("i", "j", r6("d").alias("d"))
 
 
-NEAR = 0.28  #: the survey's threshold for these tables
+NEAR = 0.28  #: two clusters merge below this mean distance
 
 
-def _clusters(spark, d):
-    items = _signals(spark, d)
+def _clusters(spark, d) -> DataFrame:
+    """Items with their clusters."""
+    items = written(_signals(spark, d), "signals")
     edges = written(C.all_signal_distances(items, NEAR), "near")
-    found = written(C.clusters(items, edges, NEAR), "clusters")
-    return items, found.join(items.select("item_id", "mtime"), "item_id")
+    return items.join(written(C.clusters(items, edges, NEAR), "clusters"), "item_id")
 
 
-def _inside(items: DataFrame, members: DataFrame) -> DataFrame:
-    """Distances of all pairs within a cluster, near or not."""
-    a, b = (members.select("cluster", F.col("item_id").alias(k)) for k in "ij")
-    return C.signal_distance(items, a.join(b, "cluster").filter("i < j"))
+UPGMA_SQL = "with recursive " + SIGNAL_SQL + """,
+dist as materialized (select i, j, d from w),
+merge as (select 0 as n, list(vec_id order by vec_id) as ids, list(vec_id order by vec_id) as lab from s
+  union all select n + 1, ids, list_transform(lab, lambda x: case when x = b then a else x end) from (
+    select n, ids, lab, best.a as a, best.b as b from (
+      select any_value(m.n) as n, any_value(m.ids) as ids, any_value(m.lab) as lab, arg_min({'a': a, 'b': b, 'd': d}, (d, a, b)) as best from merge m,
+        lateral (select least(x.l, y.l) as a, greatest(x.l, y.l) as b, avg(dist.d) as d from dist
+          join (select unnest(m.ids) as id, unnest(m.lab) as l) x on x.id = dist.i join (select unnest(m.ids) as id, unnest(m.lab) as l) y on y.id = dist.j where x.l <> y.l group by 1, 2) t)
+    where best.d < 0.28)),
+final as (select unnest(ids) as item_id, unnest(lab) as cluster from (select ids, lab from merge order by n desc limit 1))"""
 
 
-@query()
+@query(UPGMA_SQL + " select item_id, cluster from final")
 def upgma_clusters(spark, d):
-    return _clusters(spark, d)[1].select("item_id", "cluster")
+    return _clusters(spark, d).select("item_id", "cluster")
+
+
+ORDER_SQL = UPGMA_SQL + """,
+mem as materialized (select cluster, item_id, m, count(*) over (partition by cluster) as size from final join s on vec_id = item_id),
+sides as materialized (select i, j, d from dist union all select j, i, d from dist),
+walk as (select cluster, 1 as seq, arg_min(item_id, (m, item_id)) as item_id, [arg_min(item_id, (m, item_id))] as done from mem where size > 2 group by cluster
+  union all select cluster, seq + 1, best, list_append(done, best) from (
+    select walk.cluster, any_value(walk.seq) as seq, any_value(done) as done, arg_min(mem.item_id, (d + 0.05 * least(abs(mem.m - own.m) / (30 * 86400), 1.0), abs(mem.m - own.m), mem.item_id)) as best
+    from walk join mem on mem.cluster = walk.cluster and not list_contains(walk.done, mem.item_id) join mem own on own.item_id = walk.item_id join sides on i = walk.item_id and j = mem.item_id group by walk.cluster)),
+ordered as (select cluster, item_id, seq::bigint as seq from walk union all select cluster, item_id, row_number() over (partition by cluster order by m, item_id) from mem where size <= 2)"""
 
 
-@query()
+@query(ORDER_SQL + " select cluster, item_id, seq from ordered")
 def cluster_order(spark, d):
-    items, members = _clusters(spark, d)
-    return C.cluster_order(members, _inside(items, members))
+    return C.cluster_order(_clusters(spark, d))
 
 
-@query()
+@query(ORDER_SQL + """, firsts as (select cluster, row_number() over (order by min(m), cluster) as series from mem group by cluster)
+select item_id, series, seq, printf('IMG_%03d_%03d', series, seq) as name from ordered join firsts using (cluster)""")
 def series_names(spark, d):
-    items, members = _clusters(spark, d)
-    return C.series_names(C.cluster_order(members, _inside(items, members)), members)
+    members = written(_clusters(spark, d), "members")
+    return C.series_names(C.cluster_order(members), members)
 
 
-@query("""select user_id, event_id as i, next_id as j, round(1 - exp(-abs(gap) / 3600 / 72), 6) as d from (select user_id, event_id, lead(event_id) over w as next_id, (epoch_us(lead(ts) over w) - epoch_us(ts)) / 1e6 as gap from events window w as (partition by user_id order by ts, event_id)) where next_id is not null""")
+@query("""select a.user_id, a.event_id as i, b.event_id as j, round(1 - exp(-abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) / 3600 / 72), 6) as d from events a join events b on a.user_id is not distinct from b.user_id and (a.ts, a.event_id) < (b.ts, b.event_id)""")
 def time_decay(spark, d):
-    """All pairs of a user's events, the earlier one first. The SQL above still has only each event and the next; see README."""
+    """All pairs of a user's events, the earlier one first."""
     e = read(spark, d, "events").select("user_id", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id")).alias("at"))
     later = e.select(F.col("user_id").alias("same"), F.col("at").alias("b"))
     both = e.withColumnRenamed("at", "a").join(later, F.col("user_id").eqNullSafe(F.col("same"))).filter(F.col("a") < F.col("b"))
@@ -308,9 +308,9 @@ MOST_KINDS = 1000  #: event types of a histogram; more is an error, not a cut
 
 @query("""with kinds as (select list(distinct event_type order by event_type) as ks from events), c as (select user_id, event_type, count(*) as n from events group by all),
 h as (select user_id, list_transform(ks, lambda k: coalesce(m[k], 0)::double / t) as h from (select user_id, map(list(event_type), list(n)) as m, sum(n)::double as t from c group by user_id), kinds)
-select a.user_id as i, b.user_id as j, round(greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, len(a.h) + 1), lambda k: (a.h[k] - b.h[k]) * (a.h[k] - b.h[k]) / (a.h[k] + b.h[k] + 1e-10))))), 6) as d from h a join h b on a.user_id < b.user_id and a.user_id % 10 = b.user_id % 10""")
+select a.user_id as i, b.user_id as j, round(greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, len(a.h) + 1), lambda k: (a.h[k] - b.h[k]) * (a.h[k] - b.h[k]) / (a.h[k] + b.h[k] + 1e-10))))), 6) as d from h a join h b on a.user_id < b.user_id""")
 def chi_square_pairs(spark, d):
-    """All pairs by blocks. The SQL above still compares only users of the same last digit; see README."""
+    """All pairs by blocks."""
     e = read(spark, d, "events")
     kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(MOST_KINDS + 1).collect()]
     if len(kinds) > MOST_KINDS:
@@ -362,7 +362,7 @@ def tag_summary(spark, d):
 
 @query("with " + TAG_SQL + " select item_id, name as src_path, group_key || printf('_%04d', row_number() over (partition by group_key order by item_id)) || '.jpg' as dst_path from keyed where error is null")
 def rename_plan(spark, d):
-    return T.rename_plan(_tags(spark, d))
+    return P.rename_plan(_tags(spark, d))
 
 
 FOLDER_SQL = TAG_SQL + """, f as (select *, case when scene_score >= 0.20 and theme_score >= 0.20 then scene || '/' || theme else '_unclassified' end as folder from keyed where error is null)"""
@@ -370,12 +370,12 @@ FOLDER_SQL = TAG_SQL + """, f as (select *, case when scene_score >= 0.20 and th
 
 @query("with " + FOLDER_SQL + " select item_id, folder, folder || '/' || case when k = 0 then name else replace(name, '.JPG', '') || '_' || k || '.jpg' end as dst_path from (select *, row_number() over (partition by folder, name order by item_id) - 1 as k from f)")
 def group_plan(spark, d):
-    return T.group_plan(_tags(spark, d))
+    return P.group_plan(_tags(spark, d))
 
 
 @query("with " + FOLDER_SQL + " select folder, count(*)::bigint as n from f group by folder")
 def group_preview(spark, d):
-    return T.group_plan(_tags(spark, d)).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    return P.group_plan(_tags(spark, d)).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""with y as (select vec_id, embedding[1]::double + 0.3 as sh, embedding[2]::double + 0.45 as hi, case when vec_id % 5 <> 0 then embedding[3]::double + 0.6 end as kn, case when vec_id % 4 <> 0 then embedding[4]::double + 0.7 end as an, embedding[5]::double + 0.5 as wr from embeddings)
@@ -392,18 +392,13 @@ f as (select page_id, url, min(o) as o from l where not contains(url, 'add_to_ho
 select page_id, row_number() over (partition by page_id order by o)::int as ord, url from f""")
 def link_extract(spark, d):
     pages = read(spark, d, "pages").select("page_id", "html")
-    urls = F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit(T.HREF), F.lit(1)), lambda u: ~u.contains("add_to_home")))
+    urls = F.array_distinct(F.filter(F.regexp_extract_all("html", F.lit(L.HREF), F.lit(1)), lambda u: ~u.contains("add_to_home")))
     return pages.select("page_id", F.posexplode(urls).alias("pos", "url")).select("page_id", (F.col("pos") + 1).alias("ord"), "url")
 
 
-@query()
-def video_links(spark, d):
-    return T.links(read(spark, d, "pages"), fallback=((T.HREF, 1),))
-
-
 @query("select page_id, length(html)::int as n from pages where length(html) > 1000")
 def page_length_gate(spark, d):
-    return read(spark, d, "pages").select("page_id", F.length("html").alias("n")).filter("n > 1000")
+    return L.long_enough(read(spark, d, "pages")).select("page_id", F.length("html").alias("n"))
 
 
 @query("""with u as (select user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as dur from events group by user_id)
@@ -513,3 +508,6 @@ def cache_delta(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").cast("double").alias("mtime"))
     cached = read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") + F.col("toxic") * 2.0).alias("mtime"), F.col("quality").alias("value"))
     return T.cache_delta(docs, cached).select("doc_id", "hit")
+
+
+from quarrylight import tool_queries  # noqa: E402, F401  the rest of the queries

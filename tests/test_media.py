@@ -11,8 +11,10 @@ from quarrylight.functions import strings as S
 from quarrylight.functions import vectors as V
 from quarrylight.operators import cluster as C
 from quarrylight.operators import dedup as D
+from quarrylight.operators import links as L
 from quarrylight.operators import tables as T
 from quarrylight.operators.components import connected_components
+from quarrylight.plans import files as P
 
 MEDIA = "item_id long, sha256 string, sig long, size long"
 
@@ -70,6 +72,25 @@ def test_blocks_hide_pairs(spark):
     assert {(r["i"], r["j"], r["d"]) for r in found} == {(1, 3, 2.0), (4, 5, 1.0)}
 
 
+@pytest.mark.parametrize("threshold", [0, 3, 8, 20])
+def test_near_groups_against_all_pairs(spark, threshold):
+    """Bands and spanning links give the pairs and groups that all pairs of a block would."""
+    rnd = random.Random(threshold)
+    centres = [rnd.getrandbits(64) for _ in range(5)]
+    sigs = [c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(14))) for c in centres for _ in range(40)] + [centres[0]] * 5
+    rows = [(i, str(i), s - (1 << 64) if s >> 63 else s, 1) for i, s in enumerate(sigs)]
+    items, spec = spark.createDataFrame(rows, MEDIA), D.DedupSpec.stills(threshold)
+    near = {(i, j): float((a ^ b).bit_count()) for i, a in enumerate(sigs) for j, b in enumerate(sigs) if i < j and a >> 56 == b >> 56 and (a ^ b).bit_count() <= threshold}
+    found = [tuple(r) for r in D.blocked_pairs(items, spec).collect()]
+    assert len(found) == len(near) and {(i, j): d for i, j, d in found} == near
+    up = list(range(len(sigs)))
+    for _ in sigs:
+        for i, j in near:
+            up[i] = up[j] = min(up[i], up[j])
+    want = {i: g for i, g in enumerate(up) if up.count(g) > 1}
+    assert {r["item_id"]: r["group_id"] for r in D.duplicate_groups(items, spec).collect()} == want
+
+
 def test_frames(spark):
     schema = "item_id long, sha256 string, frame_hashes array<long>, duration_s double"
     rows = [(1, None, [1, 2, 3], 9.0), (2, None, [1, 2], 9.2), (3, None, [], 9.0), (4, None, [1, 2, 3], 30.0)]
@@ -79,7 +100,7 @@ def test_frames(spark):
 
 def test_move_plan(spark):
     rows = [(1, "a/photo.jpg", True, 1), (2, "photo.jpg", False, 1), (3, "photo.jpg", False, 1), (4, "photo.jpg", False, 1)]
-    found = D.move_plan(spark.createDataFrame(rows, "item_id long, name string, primary boolean, group_id long")).orderBy("item_id").collect()
+    found = P.move_plan(spark.createDataFrame(rows, "item_id long, name string, primary boolean, group_id long")).orderBy("item_id").collect()
     assert [r["dst_path"] for r in found] == ["Duplicate/photo_dup.jpg", "Duplicate/photo_dup1.jpg", "Duplicate/photo_dup2.jpg"]
 
 
@@ -127,10 +148,41 @@ def test_segments(spark):
 
 
 def test_links(spark):
-    rows = [(1, "http://a/b/", '<video src="x.mp4"></video> http://c/d.MP4?q=1 <source src="x.mp4">'), (2, "http://a/", '<a href="y">'), (3, "http://a/", "")]
+    """Literal pages, one for each kind of link, and one without."""
+    rows = [
+        (1, "http://h/p/q", '<div>Cat\n clip<video src="/a.mp4"><source src="b.webm" type="video/webm" data-quality="hd"><source src="add_to_home.mp4"></video><script>x</script></div><source src="no.mp4"><VIDEO><source src="c.mp4"></VIDEO>'),
+        (2, "http://h/", """x "http://c/d.MP4" http://c/e.mkv?x=1 'http://c/a b.avi' http://c/add_to_home.mp4"""),
+        (3, "http://h/", r'"hd_src":"http:\/\/f\/v" "sd_src":"http://f/w" "video_url": "http://i/add_to_home" "playAddr": "http://t?a\u0026b"'),
+        (4, "http://h/", 'http://s/l.M3U8?x "http://s/a b.m3u8" http://s/m.mpd'),
+        (5, "http://h/", '<a href="y"><a href="z">' + '<a href="y">' * 12),
+        (6, None, None),
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    found = sorted((r["page_id"], r["ord"], r["url"]) for r in T.links(pages, fallback=((T.HREF, 1),)).collect())
-    assert found == [(1, 1, "http://a/b/x.mp4"), (1, 2, "http://c/d.MP4?q=1"), (2, 1, "http://a/y")]
+    found = sorted(tuple(r) for r in L.video_links(pages, lambda html: L.listed(L.anchors(html))).collect())
+    assert found == [
+        (1, 1, "http://h/a.mp4", "Video 1", "mp4", "unknown"),
+        (1, 2, "http://h/p/b.webm", "Cat", "webm", "hd"),
+        (1, 3, "http://h/p/c.mp4", "Cat", "mp4", "unknown"),
+        (2, 1, "http://c/d.MP4", "Embedded Video 1", "mp4", "unknown"),
+        (2, 2, "http://c/e.mkv", "Embedded Video 2", "mkv", "unknown"),
+        (2, 3, "http://c/a b.avi", "Embedded Video 4", "avi", "unknown"),
+        (3, 1, "http://f/v", "Facebook Video", "mp4", "unknown"),
+        (3, 2, "http://f/w", "Facebook Video", "mp4", "unknown"),
+        (3, 3, "http://i/add_to_home", "Instagram Video", "mp4", "unknown"),
+        (3, 4, "http://t?a&b", "Tiktok Video", "mp4", "unknown"),
+        (4, 1, "http://s/l.M3U8?x", "Streaming Video (DASH)", "dash", "adaptive"),
+        (4, 2, "http://s/m.mpd", "Streaming Video (DASH)", "dash", "adaptive"),
+        (4, 3, "http://s/a b.m3u8", "Streaming Video (HLS)", "hls", "adaptive"),
+        (5, 1, "y", "Link", "unknown", "unknown"),
+        (5, 2, "z", "Link", "unknown", "unknown"),
+    ]
+    assert [r["page_id"] for r in L.video_links(pages).filter("page_id > 4").collect()] == []
+
+
+def test_titles_of_videos():
+    title = lambda text: L.tagged_videos(f"<p>{text}<video><source src='a'></video></p>", "http://h")[0][1]
+    assert title("a b<br>c") == "a bc" and title("x" * 99) == "x" * 50 and title("x" * 100) == "Video 1" and title("<style>y</style> ") == "Video 1"
+    assert L.tagged_videos("<div>t<video><p>in<source src='a'></div><source src='b'>", "http://h") == [("http://h/a", "tin", "mp4", "unknown")]
 
 
 def slow_linkage(d, t):
