@@ -141,12 +141,12 @@ def first_score(log: Column) -> Column:
     """The score of a quality log: the first `"mean": x`, else `VMAF score: x`; 3 decimals, null without one."""
     a = F.regexp_extract(log, r'"mean"\s*:\s*([0-9.]+)', 1)
     b = F.regexp_extract(log, r"VMAF score\s*[:=]\s*([0-9.]+)", 1)
-    return F.round(F.coalesce(F.when(a != "", a), F.when(b != "", b)).cast("double"), 3)
+    return F.round(F.coalesce(F.when(a != "", a), F.when(b != "", b)).try_cast("double"), 3)
 
 
 def last_value(log: Column, name: str) -> Column:
     """The number after the last `name:` of a log."""
-    return F.try_element_at(F.regexp_extract_all(log, F.lit(name + r":\s*([0-9.]+)"), F.lit(1)), F.lit(-1)).cast("double")
+    return F.try_element_at(F.regexp_extract_all(log, F.lit(name + r":\s*([0-9.]+)"), F.lit(1)), F.lit(-1)).try_cast("double")
 
 
 def stream_fields(probe: Column) -> Column:
@@ -157,5 +157,5 @@ def stream_fields(probe: Column) -> Column:
         F.coalesce(first["codec_name"], F.lit("unknown")).alias("codec"),
         F.coalesce(first["width"], F.lit(0)).alias("width"),
         F.coalesce(first["height"], F.lit(0)).alias("height"),
-        F.coalesce(first["bit_rate"].cast("long"), F.lit(0)).alias("bitrate"),
+        F.coalesce(first["bit_rate"].try_cast("long"), F.lit(0)).alias("bitrate"),
     )
