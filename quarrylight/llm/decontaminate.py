@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ASCII_LOWER, ASCII_UPPER, table
+from quarrylight.functions.arrays import bound
+from quarrylight.llm.common import ASCII_LOWER, ASCII_UPPER, matches, replaced, table
 from quarrylight.storage import cut, fits, small
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"  #: a word of a text as it is, in either case
 BREAKS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -63,7 +65,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, broa
     a row for each document. hits: array of [from, to) in words.
 
     Nulls: a null text has no words; a null doc_id is a row of its own; a null item_id counts as ''. Repeated rows give
-    one row; the same doc_id with other text gives another. Empty tables give no rows, or no hits. Other columns are ignored.
+    one row; the same doc_id with other text gives another. Empty tables give no rows, or no hits. Other columns are ignored,
+    whatever their names. A very long text is blocks of words like any other; those that match none leave their task at once.
     """
     items = _items(benchmark, window)
     # at most `window` different lengths
@@ -112,12 +115,32 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, broa
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_rows: int = 500_000) -> DataFrame:
-    """docs without the contaminated documents, all columns and repeated rows kept. Null ids and texts stay."""
+    """docs without the contaminated documents, all columns and repeated rows kept. Null ids and texts stay; an empty table
+    gives none, an empty benchmark removes nothing; columns of any name stay. `remove_spans` cuts passages out instead."""
     bad = find_benchmark(docs, benchmark, window, broadcast_rows).filter("contaminated").select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"))
     bad = cut(bad)
     return docs.join(small(bad, 2_000_000), F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_hash")), "left_anti")
 
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_rows: int = 500_000) -> DataFrame:
+    """docs, same columns, without the passages that occur in the benchmark, from the first letter of their first word to the
+    last of their last; every document stays, what is around a passage too. n_chars, if there, follows.
+
+    Nulls: null ids and texts stay. Repeated rows are all kept; an empty table gives none; columns of any name stay. Only
+    documents with a passage are cut, in n log n of their words.
+    """
+    found = find_benchmark(docs, benchmark, window, broadcast_rows).filter(F.size("hits") > 0)
+    found = cut(found.select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"), F.col("hits").alias("__ql_hits")))
+    rows = docs.join(small(found, 2_000_000), F.col("doc_id").eqNullSafe(F.col("__ql_id")) & (F.xxhash64("text") == F.col("__ql_hash")), "left")
+    place = lambda words: F.transform("__ql_hits", lambda x: F.struct(F.get(words, x["from"])["s"].alias("s"), F.get(words, x["to"] - 1)["e"].alias("e")))
+    clean = bound(bound(matches(F.col("text"), WORD), place), lambda spans: replaced(F.col("text"), spans, lambda x: F.lit("")))
+    hit = F.col("__ql_hits").isNotNull()
+    out = rows.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = find_benchmark(docs, table(spark, sf_dir, "benchmark"))
