@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import among, ship, table
+from quarrylight.llm.common import among, table
 from quarrylight.llm.tokens import encoder, wide
+from quarrylight.shipping import ship
 from quarrylight.storage import shared_dir, small, written
 
 MAGIC, HEAD, ENTRY = b"QLT1", struct.Struct("<4sB3x8sI"), struct.Struct("<qB7xQII")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import bound, part, sums, table, wide
+from quarrylight.functions.arrays import bound
+from quarrylight.llm.common import part, sums, table, wide
 
 #: The template: [INST:role] text </s>. A text holds neither bracket nor angle: \ < [ stand as \s \l \b inside it.
 OPEN, CLOSE, END = "[INST:", "]", "</s>"

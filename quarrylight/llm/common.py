@@ -1,14 +1,12 @@
-"""What the operators share: row keys, shipping of this package to Python workers, spans of regular expressions."""
+"""What the operators share: samples by hash, spans of regular expressions, texts cut and put together by place."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions.arrays import bound
+
 SPAN = "array<struct<s:int,e:int,m:string>>"
 SHARE = 1 << 63  #: hashes, taken without their sign bit, lie below
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,27 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession, rows: int = 1000) -> None:
-    """Makes this package importable in the Python workers and bounds the rows and the bytes of an Arrow batch.
-
-    Both are settings of the session, which are lowered but never raised."""
-    context = spark.sparkContext
-    if not getattr(context, "_quarrylight_shipped", False):  # the folder is read by the driver alone, which sends the file
-        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = f"{tempfile.mkdtemp(prefix='quarrylight-')}/quarrylight_package.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for folder, _, names in os.walk(top):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        out.write(full, os.path.relpath(full, os.path.dirname(top)))
-        context.addPyFile(path)
-        context._quarrylight_shipped = True
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 16 << 20)):
-        if not 0 < int(spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")) <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
-
-
 def among(key: Column, sample: int, n: int) -> Column:
     """Whether the hash `key` is among about `sample` of n different ones. The bound is a whole number of 63 bits, never 0."""
     return F.shiftrightunsigned(key, 1) < F.lit(min(SHARE - 1, max(1, SHARE * sample // max(n, 1))))
@@ -49,11 +26,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ASCII_UPPER, ASCII_LOWER)).otherwise(F.lower(text))
 
 
-def bound(value: Column, f) -> Column:
-    """f(value), with value worked out once however often f looks at it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def running(values: Column, both) -> Column:
     """Running results of an array of integers under both(a, b), such as sums or maxima. Each step lets every place take in
     the one 1, 2, 4, ... before it, so n values cost n log n, and no array grows by one."""

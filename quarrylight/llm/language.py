@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import SHARE, ship, table
+from quarrylight.llm.common import SHARE, table
+from quarrylight.shipping import ship
 from quarrylight.storage import written
 
 DIMENSIONS = 4096

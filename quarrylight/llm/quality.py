@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import among, ship, table
+from quarrylight.llm.common import among, table
+from quarrylight.shipping import ship
 from quarrylight.storage import small
 
 SYMBOLS = b"#*$%&|<>"

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import ship, table
+from quarrylight.llm.common import table
+from quarrylight.operators import hamming
 from quarrylight.operators.components import connected_components
+from quarrylight.shipping import ship
 from quarrylight.storage import cut, small, written
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -20,7 +22,7 @@ PARTS = ((0, 25, 1), (25, 25, 1), (50, 14, 0))
 CODE = 15  #: the first 15 bits of a part at distance 1 are covered by the perfect Hamming(15, 11) code, radius 1; the others by themselves
 PIECES = 5  #: of the bits outside a part, one more than THRESHOLD, so that two fingerprints at 4 bits or less agree in one of them
 FINE = 200_000_000  #: different fingerprints beyond which an anchor is divided by these pieces: more replicas, far fewer comparisons
-BUCKET = 20_000  #: an anchor with more fingerprints is compared in pairs of chunks of about half that size
+BUCKET = hamming.BUCKET
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -96,107 +98,22 @@ def anchors(fp: np.ndarray, fine: bool = False) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(at), np.concatenate(out)
 
 
-class _Forest:
-    """Union-find over fingerprints; keeps the links that joined two trees."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def link(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
-
-
-def _compare(fp: np.ndarray, key: np.ndarray, forest: _Forest) -> None:
-    """Links all fingerprints at THRESHOLD bits or less under the same key; rows are sorted by key.
-
-    Small groups are compared at once for all groups. In a large one, what is linked to a fingerprint leaves the group
-    before the next is compared, so a dense group costs little more than its size.
-    """
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    small_rows = np.repeat(sizes <= 64, sizes)
-    f, k = fp[small_rows], key[small_rows]
-    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        near = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(f[d:] ^ f[:-d]) <= THRESHOLD))
-        for a, b in zip(f[near].tolist(), f[near + d].tolist()):
-            forest.link(a, b)
-    for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        left = np.unique(fp[s : s + n])
-        while len(left):
-            seeds, left = [left[0]], left[1:]
-            while seeds and len(left):
-                x = seeds.pop()
-                near = np.bitwise_count(left ^ x) <= THRESHOLD
-                if near.any():
-                    found = left[near]
-                    left = left[~near]
-                    for y in found.tolist():
-                        forest.link(int(x), y)
-                    seeds.extend(found)
-
-
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning links of each part of the rows (fp, key...), sorted by key; a key's rows may lie in several batches."""
-    rest, forest = None, _Forest()
-
-    def out(forest: _Forest) -> pd.DataFrame:
-        return pd.DataFrame(forest.links, columns=["src", "dst"], dtype=np.uint64).astype(np.int64) if forest.links else pd.DataFrame({"src": np.array([], np.int64), "dst": np.array([], np.int64)})
-
-    for batch in batches:
-        now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        k = now["key"].to_numpy()
-        last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-        rest = now.iloc[last:]
-        if last:
-            _compare(now["fp"].to_numpy().astype(np.int64).view(np.uint64)[:last], k[:last], forest)
-        if len(forest.up) > 500_000:
-            yield out(forest)
-            forest = _Forest()
-    if rest is not None and len(rest):
-        _compare(rest["fp"].to_numpy().astype(np.int64).view(np.uint64), rest["key"].to_numpy(), forest)
-    yield out(forest)
-
-
 def links(distinct: DataFrame, bucket: int = BUCKET, fine: bool | None = None) -> DataFrame:
     """(src, dst): links that connect all different fingerprints (column fp) as all links at THRESHOLD or less would.
 
-    fine: whether anchors are divided; None decides by the number of fingerprints. The links are as whole either way. Each fingerprint goes to its anchors; an anchor's fingerprints are compared in one task, or, where there are more
-    than `bucket`, in a task for each pair of chunks, so memory is bounded and no link is lost.
+    fine: whether anchors are divided; None decides by the number of fingerprints. The links are as whole either way. Each fingerprint
+    goes to its anchors, and the fingerprints of an anchor are compared, those of one with more than `bucket` in chunks.
     """
+    ship(distinct.sparkSession)
     divided = distinct.count() > FINE if fine is None else fine
 
     def replicated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = batch["fp"].to_numpy().astype(np.int64)
             at, anchor = anchors(fp.view(np.uint64), divided)
-            yield pd.DataFrame({"fp": fp[at], "anchor": anchor.astype(np.int64)})
+            yield pd.DataFrame({"sig": fp[at], "anchor": anchor.astype(np.int64)})
 
-    spread = distinct.select("fp").mapInPandas(replicated, "fp long, anchor long")
-    large = cut(spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
-    if large.isEmpty():
-        keyed = spread.withColumn("key", F.col("anchor"))
-        keys = ["key"]
-    else:
-        pairs = spread.join(small(large, 200_000), "anchor", "left").withColumn("chunks", F.ceil(2 * F.coalesce("n", F.lit(0)) / bucket))
-        mine = F.pmod(F.xxhash64("fp"), F.greatest("chunks", F.lit(1)))
-        pairs = pairs.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("chunks", F.lit(1)) - 1)))
-        keyed = pairs.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-        # a key of one column for the comparison; two chunk pairs that share it would only be compared more
-        keyed = keyed.withColumn("key", F.when(F.col("chunks") > 1, F.xxhash64("anchor", "low", "high")).otherwise(F.col("anchor")))
-        keys = ["key"]
-    dealt = keyed.select("fp", "key").repartition(*keys).sortWithinPartitions("key")
-    return dealt.mapInPandas(_links, "src long, dst long")
+    return hamming.links(distinct.select("fp").mapInPandas(replicated, "sig long, anchor long"), THRESHOLD, bucket)
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
