@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylight.llm import binary, chat, decontaminate, language, packing, personal, quality, secrets, simhash, token_counts
+from quarrylight.llm import binary, chat, common, decontaminate, language, packing, personal, quality, secrets, simhash, token_counts
 from quarrylight.llm.trigrams import holds, query, trigrams
 
 P = pytest.importorskip("public_tokenizers")
@@ -128,7 +129,7 @@ def noise(rnd, alphabet, n):
 def test_personal_against_brute_force(spark):
     rnd = random.Random(4)
     texts = [noise(rnd, "a@.b_1-😀 ", 30) for _ in range(400)] + [noise(rnd, "0123456789.- +()", 60) for _ in range(400)] + [noise(rnd, "12. ", 40) for _ in range(300)]
-    texts += ["4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "001.2.3.04", "256.1.1.1", "a@b.c_d@e.f", None, "é x+y@z.de +1 (555) 555-1234.", "1 " * 3000]
+    texts += ["4111 1111 1111 1111", "1.2.3.4.5.6.7.8", "001.2.3.04", "10.0.0.1", "0.0.0.0", "000.00.0.256", "99999999999.1.1.1", "256.1.1.1", "a@b.c_d@e.f", None, "é x+y@z.de +1 (555) 555-1234.", "1 " * 3000]
     found = personal.find_personal(docs(spark, texts)).collect()
     got = {(r["doc_id"]): [(x["s"], x["rank"], x["e"], x["kind"]) for x in r["base"]] for r in found}
     assert got == {i: direct(t) for i, t in enumerate(texts)}
@@ -362,3 +363,184 @@ def test_repeated_rows_count_once(spark):
     marks = lambda d: {r["doc_id"]: (r["base"], r["terms"]) for r in personal.find_personal(d, 0.1).collect()}
     found = marks(once)
     assert found[0][1] and marks(once.unionByName(once.filter("doc_id < 9")).unionByName(once.filter("doc_id in (0, 6)"))) == found
+
+
+def test_samples_of_any_size(spark):
+    """A share is never nothing, however many rows there are, and is about what was asked."""
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("k"))
+    count = lambda sample, n: keys.filter(common.among(F.col("k"), sample, n)).count()
+    assert 800 < count(1000, 20_000) < 1200 and count(5, 3) == 20_000 and count(1, 10**12) <= 1
+    least = common.among(F.lit(0).cast("long"), 1, 10**30)
+    assert spark.range(1).select(least.alias("x")).first()["x"]
+
+
+def test_a_million_matches(spark):
+    """Places of a million matches in one text in seconds, and texts put together again as fast."""
+    n = 1_000_000
+    big = docs(spark, ["token=abcdef12; " * n])
+    start = time.time()
+    row = secrets.scan(big).select(F.size("__ql_found").alias("n"), F.element_at("__ql_found", -1).alias("last")).first()
+    assert row["n"] == n and (row["last"]["s"], row["last"]["e"]) == (16 * n - 16, 16 * n - 2)
+    row = secrets.redact(big).select(F.length("text").alias("n"), F.expr("right(text, 17)").alias("end")).first()
+    assert row["n"] == 17 * n and row["end"] == "[SECRET:assign]; "
+    people = docs(spark, ["a@b.co, " * (n // 5)])
+    row = personal.find_personal(people).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).first()
+    assert row["n"] == n // 5 and row["last"]["e"] == 8 * n // 5 - 2
+    assert personal.sanitise(people).select(F.length("text")).first()[0] == 9 * n // 5
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("hi [there]").alias("text"))
+    back = chat.read_back(chat.render(chat.reconstruct(chat.as_events(turns)))).select(F.size("turns"), F.length("loss_text")).first()
+    assert tuple(back) == (n, 5 * n)
+    assert time.time() - start < 200
+
+
+def test_running_results(spark):
+    rnd = random.Random(3)
+    for n in (0, 1, 2, 3, 7, 64, 65, 300):
+        x = [rnd.randrange(100) for _ in range(n)]
+        row = spark.createDataFrame([(x,)], "x array<int>").select(common.sums(F.col("x")).alias("s"), common.running(F.col("x"), F.greatest).alias("m")).first()
+        assert row["s"] == [sum(x[: i + 1]) for i in range(n)] and row["m"] == [max(x[: i + 1]) for i in range(n)]
+
+
+def test_texts_put_together(spark):
+    rnd = random.Random(4)
+    for _ in range(40):
+        text = "".join(rnd.choice("ab😀\ufeffé\n") for _ in range(rnd.randrange(1, 30)))
+        spans = sorted((s, s + rnd.randrange(1, 6)) for s in (rnd.randrange(len(text)) for _ in range(rnd.randrange(6))))
+        spans = [(s, min(e, len(text)), str(i)) for i, (s, e) in enumerate(spans)]
+        out, at = [], 0
+        for s, e, by in spans:
+            if s >= at:
+                out += [text[at:s], by]
+            at = max(at, e)
+        row = spark.createDataFrame([(text, spans)], "text string, spans array<struct<s:int,e:int,by:string>>")
+        assert row.select(common.replaced(F.col("text"), F.col("spans"), lambda x: x["x"]["by"])).first()[0] == "".join(out) + text[at:]
+
+
+def test_terms_against_brute_force(spark):
+    """Marks of disclosing words beside plain PMI over the same contexts."""
+    rnd = random.Random(12)
+    names = ["ann.12@corp.org", "bob@corp.org", "eve@else.net", "10.0.7.1", "10.0.7.9", "4111 1111 1111 1111", "+49 30 1234567"]
+    near_words = {0: "hydrology", 2: "zeppelin", 3: "rackmount", 6: "switchboard"}
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "straße", "of", "an"]
+    texts = []
+    for _ in range(160):
+        parts = [rnd.choice(words) for _ in range(rnd.randrange(5, 40))]
+        for k in rnd.sample(range(len(names)), rnd.choice([0, 0, 1, 2])):
+            at = rnd.randrange(len(parts))
+            parts[at:at] = [rnd.choice(words), near_words.get(k, rnd.choice(words)), names[k] + " ,", rnd.choice(words)]
+        texts.append(" ".join(parts))
+    texts += texts[:3] + [None, ""]
+    width, disclosure, support = 30, 0.6, 2
+
+    def contexts(text):
+        """(protected, context, [(term, s, e)]) of each entity."""
+        spans = direct(text)
+        blank = list(text or "")
+        for s, _, e, _ in spans:
+            blank[s:e] = " " * (e - s)
+        blank = "".join(blank)
+        out = []
+        for s, _, e, kind in spans:
+            value = text[s:e].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[s:e])
+            group = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:3]), "card": value[:6], "phone": value[: max(len(value) - 4, 1)]}[kind]
+            found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", blank) if (s - width <= m.start() and m.end() <= s) or (e <= m.start() and m.end() <= e + width)]
+            out.append(((f"{kind} = {value}", f"{kind} of {group}", kind), tuple(x[0] for x in found), found))
+        return out
+
+    n = len(texts)
+    with_term, with_entity, together, shapes = Counter(), Counter(), Counter(), {}
+    for t in texts:
+        with_term.update({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t or "")})
+        with_entity.update({p for ps, _, _ in contexts(t) for p in ps})
+        together.update({(w, p) for ps, _, found in contexts(t) for p in ps for w, _, _ in found})
+        for ps, context, found in contexts(t):
+            for p in ps:
+                for w, _, _ in found:
+                    shapes.setdefault((w, p), set()).add(context)
+    share = {}
+    for (w, p), k in together.items():
+        if len(shapes[w, p]) >= support and with_entity[p] < n:
+            share[w, p] = np.log(n * k / (with_term[w] * with_entity[p])) / np.log(n / with_entity[p])
+    want = {}
+    for i, t in enumerate(texts):
+        best = {}
+        for ps, _, found in contexts(t):
+            for w, s, e in found:
+                own = max((share.get((w, p), 0) for p in ps), default=0)
+                if own >= disclosure:
+                    best[s, e] = max(best.get((s, e), 0), own)
+        want[i] = [(s, e, round(x, 6)) for (s, e), x in sorted(best.items())]
+    found = {r["doc_id"]: [(x["s"], x["e"], round(x["share"], 6)) for x in r["terms"]] for r in personal.find_personal(docs(spark, texts), disclosure, support, near=width).collect()}
+    assert found == want
+    marked = {texts[i][s:e] for i, x in want.items() for s, e, _ in x}
+    assert {"hydrology", "zeppelin", "switchboard"} <= marked and not marked & {"alpha", "beta"}
+
+
+def test_passages_cut_out(spark):
+    item = " ".join(f"item{i}" for i in range(14))
+    texts = [f"Before, {item.upper()}! After.", item, "nothing here", f"{item} mid {item}", None, ""]
+    rows = docs(spark, texts)
+    out = {r["doc_id"]: r for r in decontaminate.remove_spans(rows, benchmark(spark, item, None)).collect()}
+    assert [out[i]["text"] for i in range(6)] == ["Before, ! After.", "", "nothing here", " mid ", None, ""]
+    assert out[0]["n_chars"] == 16 and out[0]["found"] == 1 and decontaminate.remove_spans(rows, benchmark(spark, item)).columns == rows.columns
+    assert sorted(map(tuple, decontaminate.remove_spans(rows, benchmark(spark).limit(0)).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_other_columns_stay(spark, awkward):
+    """Columns of users with the names of results are not touched."""
+    labels = spark.createDataFrame([], LABELS)
+    for out in (secrets.scan(awkward), quality.judge(awkward, labels), personal.sanitise(awkward), secrets.redact(awkward), language.identify(awkward, language.fit(awkward, ~language.held_out()))):
+        assert {(r["found"], r["n"], r["text_hash"], r["__x"]) for r in out.collect() if r["doc_id"] is not None} == {(1, 2, 5, "x")}
+    log = chat.as_events(spark.createDataFrame([(1, 0, "user", LONG, 5), (1, 1, "assistant", LONG, 5), (2, None, None, None, 5)], "conv_id long, turn long, role string, text string, seq int"))
+    back = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.reconstruct(log)).withColumn("turns", F.lit(1)).drop("turns")).collect()}
+    assert back[1]["loss_text"] == LONG and [x["text"] for x in back[1]["turns"]] == [LONG, LONG] and [tuple(x) for x in back[2]["turns"]] == [("", "")]
+
+
+def test_random_logs_against_brute_force(spark):
+    rnd = random.Random(5)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate", "delete", "odd"]
+    log = [(c, s, rnd.randrange(4), rnd.choice(kinds), rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b\ufeff", "[", None])) for c in range(30) for s in range(rnd.randrange(1, 25))]
+    want = {}
+    for c, s, slot, kind, role, text in sorted(log, key=lambda x: x[:2]):
+        m = want.setdefault((c, slot), {"seq": s, "role": "", "text": "", "there": True})
+        m["role"] = role or m["role"]
+        if kind == "delta":
+            m["text"] += text or ""
+            m["there"] = True
+        elif kind in ("message", "edit"):
+            m.update(text=text or "", there=True)
+        elif kind == "regenerate":
+            m.update(text="", there=True)
+        elif kind == "delete":
+            m.update(text="", there=False)
+    rnd.shuffle(log)
+    found = chat.reconstruct(spark.createDataFrame(log, "conv_id long, seq long, slot long, kind string, role string, text string"))
+    rows = {(r["conv_id"], r["slot"]): (r["seq"], r["role"], r["text"]) for r in found.collect()}
+    assert rows == {k: (m["seq"], m["role"], m["text"]) for k, m in want.items() if m["there"]}
+    for r in chat.read_back(chat.render(found)).collect():
+        own = sorted((m["seq"], k[1], m["role"], m["text"]) for k, m in want.items() if k[0] == r["conv_id"] and m["there"])
+        assert [(x["role"], x["text"]) for x in r["turns"]] == [x[2:] for x in own] and r["loss_text"] == "".join(x[3] for x in own if x[2] == "assistant")
+
+
+@pytest.mark.parametrize("long, batch", [(0, 1), (3, 64), (40, 1 << 18)])
+def test_counts_of_parts(long, batch):
+    import sentencepiece
+
+    rnd = random.Random(long)
+    alphabet = [*"ab cdé.,!? \n\t'0 9ÀΣſ中 文　\x85\xa0▁<>|ﬁ́İ  ß", "</s>", " the", "\r\n", "…", " x", "\u0301", "\u200b"]
+    texts = [noise(rnd, alphabet, 60) for _ in range(3000)] + AWKWARD
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert token_counts.counts(texts, P.path("piece_bpe_32k.model"), batch, long) == [len(sp.encode(t or "")) for t in texts]
+
+
+def test_languages_with_copies(spark):
+    """A text with many copies is one; a language of few texts is still learned; a model has no more texts than asked."""
+    rnd = random.Random(2)
+    words = {"en": "the of and thing house there".split(), "de": "der die und straße häuser nicht".split(), "es": "el los que niño mañana está".split()}
+    text = lambda k: " ".join(rnd.choice(words[k]) for _ in range(30))
+    rows = [(i, text("en"), "en") for i in range(300)] + [(1000 + i, "el los que niño", "es") for i in range(400)] + [(2000, text("de"), "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = language._chosen(d, 20).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in chosen} == {"en": 20, "es": 1, "de": 1}
+    model = language.fit(d, F.lit(True), 20)
+    assert model.languages == ("de", "en", "es") and model.predict("die häuser und nicht")[0] == "de" and model.predict("los niño mañana el que")[0] == "es"
