@@ -14,8 +14,8 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that are remembered at most, at about 250 bytes. The newer half becomes the older one when it is full; a word that
-#: is met again moves to the newer half, so that frequent words stay and words met once go.
+#: Words that are remembered at most, at about 250 bytes. The first three quarters stay: frequent words are met early. The last
+#: quarter takes what comes later and is emptied when it is full, so that other words than the first ones are remembered too.
 MEMO = 200_000
 
 
@@ -37,15 +37,20 @@ ONE_DIGIT, DIGITS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+"), re.compile(r"[A-Za-z
 class _Memo(dict):
     """word -> its ids as little-endian bytes. lead: the byte-level character of the space before it, if it keeps one."""
 
-    def __init__(self, tokenizer, lead: str, code: str, pattern: re.Pattern):
-        self.tokenizer, self.lead, self.code, self.pattern = tokenizer, lead, code, pattern
+    def __init__(self, tokenizer, lead: str, code: str, pattern: re.Pattern, most: int):
+        self.tokenizer, self.lead, self.code, self.pattern, self.most = tokenizer, lead, code, pattern, most
         self.bpe = tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
-    def age(self) -> None:
-        self.older = dict(self)
-        self.clear()
+    def _keep(self, word: str, out: bytes) -> None:
+        if len(word) <= 64:
+            if len(self) < self.most * 3 // 4:
+                self[word] = out
+            else:
+                if len(self.later) >= self.most // 4:
+                    self.later.clear()
+                self.later[word] = out
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -66,17 +71,27 @@ class _Memo(dict):
         return b"".join(map(out.__getitem__, pieces))
 
     def __missing__(self, word: str) -> bytes:
-        out = self.older.get(word)
-        if out is None:
+        later = self.later
+        if word in later:
+            return later[word]
+        stem = word.rstrip(MARKS)
+        if not (stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem))):
             out = self._ids(word)
-        if len(word) <= 64:
-            self[word] = out
+        elif len(stem) == len(word):
+            out = self._piece(self.lead, word)
+        else:
+            own = self.get(stem) or later.get(stem)
+            tail = self.parts.get(word[len(stem) :]) or self._parts([word[len(stem) :]])
+            if own is None:  # a stem met for the first time is remembered, with its marks only from the second time on
+                own = self._piece(self.lead, stem)
+                self._keep(stem, own)
+                return own + tail
+            out = own + tail
+        self._keep(word, out)
         return out
 
     def _ids(self, word: str) -> bytes:
-        stem = word.rstrip(MARKS)
-        if stem.isalpha() and (stem.isascii() or LETTERS.fullmatch(stem)):
-            return self._piece(self.lead, word) if len(stem) == len(word) else self[stem] + self._parts([word[len(stem) :]])
+        """Ids of a word that is more than letters and marks after them."""
         if word and word.isascii() and word.isprintable() and " " not in word and "'" not in word:
             first, *more = self.pattern.findall(word)
             return self._piece(self.lead, first) + self._parts(more)
@@ -99,7 +114,6 @@ class Encoder:
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
-        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         state = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])]
@@ -110,8 +124,9 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         self.special = [x["content"] for x in state["added_tokens"]]
         pattern = ONE_DIGIT if self.dropped else DIGITS
-        self.first = _Memo(self.tokenizer, "", self.code, pattern)
-        self.after = _Memo(self.tokenizer, BYTES[32], self.code, pattern)
+        # of texts whose spaces are kept, only the first word of a line stands without one
+        self.first = _Memo(self.tokenizer, "", self.code, pattern, memo if self.dropped else memo // 4)
+        self.after = _Memo(self.tokenizer, BYTES[32], self.code, pattern, 0 if self.dropped else memo * 3 // 4)
         self.newline = self.first._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -120,9 +135,6 @@ class Encoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self.first) + len(self.after) > self.memo // 2:
-            self.first.age()
-            self.after.age()
         if any(x in text for x in self.special):
             return self._whole(text)
         if self.dropped:
