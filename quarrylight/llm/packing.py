@@ -16,7 +16,7 @@ from quarrylight.shipping import ship
 from quarrylight.storage import written
 
 WINDOW, END_ID = 4096, 2
-BUCKET = 20_000  #: pieces of one length, about, that are numbered in one task; a frequent length has many
+BUCKET = 500  #: pieces of one length, about, that are numbered in one task; a frequent length has many
 MOST_BUCKETS = 2_000_000  #: beyond so many buckets, their pieces grow instead: what the driver holds stays bounded
 FREQUENT, TRIPLES, QUADS = 24, 24, 2  #: lengths that count as frequent; combinations kept for each largest length
 WAYS = ((4, 0), (3, 0), (2, 16), (2, 0))  #: (lengths of a combination, ids that a pair may leave free)
@@ -97,9 +97,17 @@ def plan(histogram: np.ndarray, window: int = WINDOW) -> pd.DataFrame:
     """Where the pieces go: (length, low, repeats, sequence, offset, solved); the pieces of a length numbered low..low +
     repeats - 1 lie at offset in sequences sequence, sequence + 1, ...; solved: by least squares, not by the greedy rest.
     Its size is bounded by the window, not by the data. Deeper combinations use up short pieces that long ones may need, so
-    of a few depths the one with the fewest sequences is taken, the deepest of equals."""
-    ways = [_plan(histogram, window, depth, slack) for depth, slack in WAYS]
-    return min(ways, key=lambda p: int((p["sequence"] + p["repeats"]).max()) if len(p) else 0)
+    of a few depths the one with the fewest sequences is taken, the deepest of equals; none is tried once the bound is met."""
+    least = -(-int((histogram * np.arange(len(histogram))).sum()) // window)  # no plan has fewer
+    best, fewest = None, 0
+    for depth, slack in WAYS:
+        way = _plan(histogram, window, depth, slack)
+        n = int((way["sequence"] + way["repeats"]).max()) if len(way) else 0
+        if best is None or n < fewest:
+            best, fewest = way, n
+        if fewest <= least:
+            break
+    return best
 
 
 def _plan(histogram: np.ndarray, window: int, depth: int, slack: int) -> pd.DataFrame:
