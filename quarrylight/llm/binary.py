@@ -35,7 +35,7 @@ SLICE = 1 << 14  #: characters of each of them, from a place that its hash choos
 DICTIONARY = 64 << 10  #: bytes of the dictionary, at most
 BLOCK = 4 << 20  #: bytes of frames after which a block is closed
 RANGES = 12  #: least ranges of doc_id that are sorted apart; sessions with more shuffle partitions use as many
-WORDS = 800_000  #: words whose ids a worker remembers, at most
+WORDS = 400_000  #: words whose ids a worker remembers, at most
 
 
 def digest(dictionary: bytes) -> bytes:
@@ -79,14 +79,14 @@ def dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, slice_: in
     if n > 2 * sample:
         rows = rows.filter(among(key, 2 * sample, n))
     place = F.pmod(F.xxhash64(key), F.greatest(F.length("text") - slice_, F.lit(0)) + 1).cast("int") + 1
-    rows = rows.select(key.alias("key"), F.substring("text", place, F.lit(slice_)).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
+    rows = rows.select(key.alias("key"), F.substring("text", place, F.lit(slice_)).alias("text"))
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer, WORDS)
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "ids": [encode(t) for t in batch["text"].tolist()]})
 
-    found = rows.mapInPandas(ids, "key long, ids binary").orderBy("key").limit(sample).collect()
+    found = rows.mapInPandas(ids, "key long, ids binary").groupBy("key").agg(F.min("ids").alias("ids")).orderBy("key").limit(sample).collect()
     return train([bytes(r[1]) for r in found])
 
 
