@@ -14,10 +14,10 @@ from quarrylight.operators import dedup as D
 from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
-from quarrylight.operators.pairs import all_pairs
+from quarrylight.operators.pairs import BLOCK, all_pairs
 from quarrylight.plans import files as P
 from quarrylight.registry import ORACLES, QUERIES, query, r6, read
-from quarrylight.storage import written
+from quarrylight.storage import small, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -295,10 +295,15 @@ def series_names(spark, d):
 
 @query("""select a.user_id, a.event_id as i, b.event_id as j, round(1 - exp(-abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) / 3600 / 72), 6) as d from events a join events b on a.user_id is not distinct from b.user_id and (a.ts, a.event_id) < (b.ts, b.event_id)""")
 def time_decay(spark, d):
-    """All pairs of a user's events, the earlier one first."""
-    e = read(spark, d, "events").select("user_id", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id")).alias("at"))
-    later = e.select(F.col("user_id").alias("same"), F.col("at").alias("b"))
-    both = e.withColumnRenamed("at", "a").join(later, F.col("user_id").eqNullSafe(F.col("same"))).filter(F.col("a") < F.col("b"))
+    """All pairs of a user's events, the earlier one first. Events of a user meet in chunks, so that the pairs of a busy user
+    are made by many tasks."""
+    at = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
+    e = read(spark, d, "events").select("user_id", at.alias("at"))
+    per = e.groupBy(F.col("user_id").alias("same")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    e = e.join(small(per, 500_000), F.col("user_id").eqNullSafe(F.col("same"))).drop("same")
+    a = e.select("user_id", F.col("at").alias("a"), F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int").alias("chunk"))
+    b = e.select(F.col("user_id").alias("same"), F.col("at").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("of"))
+    both = a.join(b, F.col("user_id").eqNullSafe(F.col("same")) & (F.col("chunk") == F.col("of"))).filter(F.col("a") < F.col("b"))
     gap = (F.col("b.us") - F.col("a.us")) / 1e6
     return both.select("user_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), r6(V.time_distance(gap / 3600, 72.0)).alias("d"))
 

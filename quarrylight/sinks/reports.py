@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import strings as S
 from quarrylight.operators.matching import category_order
 from quarrylight.operators.numbering import numbered
-from quarrylight.storage import remove
+from quarrylight.storage import remove, written
 
 ALL = {"ignoreNullFields": "false"}  #: a log says what is missing, too
 STYLE = "body{font-family:sans-serif}section{margin:1em 0}.card{display:inline-block;margin:.4em;padding:.4em;border:1px solid #999}.primary{border-color:#080}"
@@ -58,6 +58,7 @@ def sorted_groups(groups: DataFrame) -> DataFrame:
 def duplicate_report(groups: DataFrame, title: str = "Duplicates") -> DataFrame:
     """Lines of a report of rows (group_id, item_id, match_type, primary, name, size): totals, then exact and near groups, the
     larger first, the primary member first in each. A section without groups is left out."""
+    groups = written(groups.select("group_id", "item_id", "match_type", "primary", "name", "size"), "report")
     t = duplicate_totals(groups)
     head = F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{title}</title><style>{STYLE}</style></head><body><h1>{title}</h1><p>"), F.col("groups").cast("string"), F.lit(" groups, "), F.col("redundant").cast("string"), F.lit(" duplicates ("), F.col("redundant_exact").cast("string"), F.lit(" exact, "), F.col("redundant_near").cast("string"), F.lit(" near), "), S.format_size(F.col("recoverable")), F.lit(" recoverable</p>"))
     zero = F.lit(0)
@@ -77,6 +78,7 @@ def duplicate_report(groups: DataFrame, title: str = "Duplicates") -> DataFrame:
 def match_report(found: DataFrame, title: str = "Matches") -> DataFrame:
     """Lines of a report of rows (item_id, name, person, score): a section for each person by name, then Group, then Others;
     in each the best scores first."""
+    found = written(found.select("item_id", "name", "person", "score"), "report")
     zero = F.lit(0)
     per = found.groupBy("person").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", category_order(F.col("person")))
     places = numbered(per, [], ["rank", "person"], "place")
@@ -99,12 +101,12 @@ def write_html(lines: DataFrame, path: str, one_file: bool = False) -> None:
 
 def match_log(found: DataFrame) -> DataFrame:
     """(json) of each match (item_id, name, person, score, face_count): a line of a JSON log; scores to 4 decimals."""
-    return found.select("item_id", F.to_json(F.struct("item_id", F.col("name").alias("path"), "person", F.round("score", 4).alias("score"), "face_count"), ALL).alias("json"))
+    return found.select("item_id", F.to_json(F.struct("item_id", F.col("name").alias("path"), "person", F.round("score", 4).cast("decimal(10,4)").alias("score"), "face_count"), ALL).alias("json"))
 
 
 def tag_log(tags: DataFrame) -> DataFrame:
     """(json) of each tagged item, rows with an error included: what failed is part of the log."""
-    label = lambda x: F.struct(F.col(x).alias("label"), F.col(f"{x}_score").alias("score"), F.col(f"{x}_ok").alias("accepted"))
+    label = lambda x: F.struct(F.col(x).alias("label"), F.col(f"{x}_score").cast("decimal(10,4)").alias("score"), F.col(f"{x}_ok").alias("accepted"))
     good = lambda c: F.when(F.col("error").isNull(), c)
     row = F.struct("item_id", F.col("name").alias("file"), good(label("scene")).alias("scene"), good(label("theme")).alias("theme"), good(F.col("posture")).alias("posture"), good(F.col("group_key")).alias("group_key"), "error")
     return tags.select("item_id", F.to_json(row, ALL).alias("json"))

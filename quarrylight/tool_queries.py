@@ -233,10 +233,11 @@ def scalar_distances(spark, d):
     return Q._vectors(spark, d).select("item_id", r6(cosine).alias("cosine"), r6(chi).alias("chi"), V.area(k % 9 - 2, F.lit(5).cast("long")).alias("area"))
 
 
-@query("select doc_id, case when doc_id % 7 = 0 then '' else to_base64(encode(text)) end as thumb from documents where n_chars < 200")
+@query("select doc_id, length(t)::int as n, sha256(t) as sha256 from (select doc_id, case when doc_id % 7 = 0 or text is null then '' else to_base64(encode(text)) end as t from documents)")
 def thumbnails(spark, d):
-    rows = read(spark, d, "documents").filter("n_chars < 200")
-    return rows.select("doc_id", S.thumbnail(F.when(F.col("doc_id") % 7 != 0, F.encode("text", "UTF-8"))).alias("thumb"))
+    """Texts as picture bytes; a seventh has none."""
+    rows = read(spark, d, "documents").select("doc_id", S.thumbnail(F.when(F.col("doc_id") % 7 != 0, F.encode("text", "UTF-8"))).alias("thumb"))
+    return rows.select("doc_id", F.length("thumb").alias("n"), F.sha2("thumb", 256).alias("sha256"))
 
 
 @query("with " + FILE_SQL + r""" select k, regexp_replace(path, '([^/])\.[^./]+$', '\1') || '.jpg' as jpg, regexp_replace(path, '([^/])\.[^./]+$', '\1') || '_compressed.mp4' as video, regexp_replace(path, '([^/])\.[^./]+$', '\1') || printf('_%03d', k % 1000) || '.mp4' as part from named""")
@@ -393,14 +394,14 @@ def person_plan(spark, d):
     return P.person_plan(_found(spark, d).withColumn("name", F.format_string("i%d.JPG", F.col("item_id") % 40)))
 
 
-@query("""with n as (select p_partkey as item_id, 'old_' || p_partkey || '.PNG' as path, 'IMG_' || p_partkey as name from part where p_partkey % 2 = 0),
+@query("""with n as (select p_partkey as item_id, 'old_' || p_partkey || '.PNG' as path, 'IMG_' || p_partkey as name from part),
 t as (select 'IMG_' || p_partkey || '.png' as path from part where p_partkey % 3 = 0 union all select 'IMG_' || p_partkey || '(1).png' from part where p_partkey % 6 = 0 union all select 'IMG_' || p_partkey || '(2).png' from part where p_partkey % 4 = 0)
 select item_id, path as src_path, name || case when item_id % 3 <> 0 then '' when item_id % 6 <> 0 then '(1)' when item_id % 4 <> 0 then '(2)' else '(3)' end || '.png' as dst_path from n""")
 def series_plan(spark, d):
     """Names of a series where some files bear such names already."""
     k = F.col("p_partkey")
     part = read(spark, d, "part")
-    named = part.filter(k % 2 == 0).select(k.alias("item_id"), F.format_string("old_%d.PNG", k).alias("path"), F.format_string("IMG_%d", k).alias("name"))
+    named = part.select(k.alias("item_id"), F.format_string("old_%d.PNG", k).alias("path"), F.format_string("IMG_%d", k).alias("name"))
     there = [part.filter(k % n == 0).select(F.format_string(f"IMG_%d{tail}.png", k).alias("path")) for n, tail in ((3, ""), (6, "(1)"), (4, "(2)"))]
     return P.series_plan(named, reduce(DataFrame.unionByName, there))
 
@@ -425,14 +426,13 @@ tagged as (select page_id, i * 10 as o, site || s as url, 'Video ' || i as title
   (select page_id, site, unnest(m) as s, unnest(range(1, len(m) + 1)) as i from (select page_id, site, regexp_extract_all(html, '<(?:video|source) src="([^"]+)"', 1) as m from h))),
 em as (select page_id, list_filter(list_concat(list_concat(regexp_extract_all(html, '(?i)https?://[^\s"''>]+\.(?:mp4|avi|mov|wmv|flv|webm|mkv|m4v)'), regexp_extract_all(html, '(?i)"(https?://[^"]+\.(?:mp4|avi|mov|wmv|flv|webm|mkv|m4v))"', 1)), regexp_extract_all(html, '(?i)''(https?://[^'']+\.(?:mp4|avi|mov|wmv|flv|webm|mkv|m4v))''', 1)), lambda x: not contains(x, 'add_to_home')) as m from h),
 embedded as (select page_id, 1000000 + i as o, s as url, 'Embedded Video ' || i as title, lower(split_part(string_split(s, '.')[-1], '?', 1)) as format, 'unknown' as quality from (select page_id, unnest(m) as s, unnest(range(1, len(m) + 1)) as i from em)),
-so as (select page_id, 2000000 + k * 100000 as o, name, regexp_extract_all(html, p, 1) as m from h, (values (0, 'Facebook'), (1, 'Instagram'), (2, 'Tiktok')) t(k, name), lateral (select case k when 0 then '' else '' end as x) z, lateral (select case name when 'Facebook' then html else html end as y) y, lateral (select 1) q(one), lateral (select ['"(?:hd_src|sd_src)":\s*"([^"]+)"', '"video_url":\s*"([^"]+)"', '"playAddr":\s*"([^"]+)"'][k + 1] as p) w),
+so as (select page_id, 2000000 + k * 100000 as o, name, regexp_extract_all(html, p, 1) as m from h, (values (0, 'Facebook'), (1, 'Instagram'), (2, 'Tiktok')) t(k, name), lateral (select ['"(?:hd_src|sd_src)":\s*"([^"]+)"', '"video_url":\s*"([^"]+)"', '"playAddr":\s*"([^"]+)"'][k + 1] as p) w),
 social as (select page_id, o + i as o, replace(replace(s, '\/', '/'), '\u0026', '&') as url, name || ' Video' as title, 'mp4' as format, 'unknown' as quality from (select page_id, o, name, unnest(m) as s, unnest(range(1, len(m) + 1)) as i from so)),
 st as (select page_id, list_concat(list_concat(regexp_extract_all(html, '(?i)https?://[^\s"''>]+\.m3u8[^\s"''>]*'), regexp_extract_all(html, '(?i)https?://[^\s"''>]+\.mpd[^\s"''>]*')), list_concat(regexp_extract_all(html, '(?i)"(https?://[^"]+\.m3u8[^"]*)"', 1), regexp_extract_all(html, '(?i)"(https?://[^"]+\.mpd[^"]*)"', 1))) as m from h),
 streaming as (select page_id, 3000000 + i as o, s as url, 'Streaming Video (' || case when contains(s, '.m3u8') then 'HLS' else 'DASH' end || ')' as title, case when contains(s, '.m3u8') then 'hls' else 'dash' end as format, 'adaptive' as quality from (select page_id, unnest(m) as s, unnest(range(1, len(m) + 1)) as i from st)),
 all_links as (select * from tagged union all select * from embedded union all select * from social union all select * from streaming),
 firsts as (select *, row_number() over (partition by page_id, url order by o) as r from all_links),
 fallback as (select page_id, i as o, s as url, 'Link' as title, 'unknown' as format, 'unknown' as quality, row_number() over (partition by page_id, s order by i) as r from (select page_id, unnest(m) as s, unnest(range(1, len(m) + 1)) as i from (select page_id, regexp_extract_all(html, 'href="([^"]+)"', 1)[1:10] as m from h where page_id not in (select page_id from all_links))))"""
-LINK_SQL = LINK_SQL.replace(""", lateral (select case k when 0 then '' else '' end as x) z, lateral (select case name when 'Facebook' then html else html end as y) y, lateral (select 1) q(one)""", "")
 
 
 def _video_pages(spark, d) -> DataFrame:
@@ -486,14 +486,14 @@ def match_report(spark, d):
     return reports.match_report(_found(spark, d))
 
 
-@query(CATEGORY_SQL + """ select item_id, '{"item_id":' || item_id || ',"path":"' || name || '","person":"' || person || '","score":' || round(score, 4) || ',"face_count":' || (item_id % 3) || '}' as json from found where score > 0.01""")
+@query(CATEGORY_SQL + """ select item_id, '{"item_id":' || item_id || ',"path":"' || name || '","person":"' || person || '","score":' || printf('%.4f', round(score, 4)) || ',"face_count":' || (item_id % 3) || '}' as json from found""")
 def match_log(spark, d):
-    return reports.match_log(_found(spark, d).filter("score > 0.01").withColumn("face_count", F.col("item_id") % 3))
+    return reports.match_log(_found(spark, d).withColumn("face_count", F.col("item_id") % 3))
 
 
-@query("with " + Q.TAG_SQL + """ select item_id, '{"item_id":' || item_id || ',"file":"' || name || '",' || case when error is null then '"scene":{"label":"' || scene || '","score":' || scene_score || ',"accepted":' || (scene_score >= 0.20) || '},"theme":{"label":"' || theme || '","score":' || theme_score || ',"accepted":' || (theme_score >= 0.20) || '},"posture":' || coalesce('"' || posture || '"', 'null') || ',"group_key":"' || group_key || '","error":null}' else '"scene":null,"theme":null,"posture":null,"group_key":null,"error":"' || error || '"}' end as json from keyed where scene_score >= 0.001 and theme_score >= 0.001""")
+@query("with " + Q.TAG_SQL + """ select item_id, '{"item_id":' || item_id || ',"file":"' || name || '",' || case when error is null then '"scene":{"label":"' || scene || '","score":' || printf('%.4f', scene_score) || ',"accepted":' || (scene_score >= 0.20) || '},"theme":{"label":"' || theme || '","score":' || printf('%.4f', theme_score) || ',"accepted":' || (theme_score >= 0.20) || '},"posture":' || coalesce('"' || posture || '"', 'null') || ',"group_key":"' || group_key || '","error":null}' else '"scene":null,"theme":null,"posture":null,"group_key":null,"error":"' || error || '"}' end as json from keyed""")
 def tag_log(spark, d):
-    return reports.tag_log(Q._tags(spark, d).filter("scene_score >= 0.001 and theme_score >= 0.001"))
+    return reports.tag_log(Q._tags(spark, d))
 
 
 @query("""with x as (select 'f' || l_orderkey || '_' || l_linenumber as file, l_orderkey as orig, l_orderkey - l_linenumber + 2 as new, case when l_linenumber = 7 then 'failed' end as err from lineitem)
