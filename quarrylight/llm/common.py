@@ -21,11 +21,6 @@ def among(key: Column, sample: int, n: int) -> Column:
     return F.shiftrightunsigned(key, 1) < F.lit(min(SHARE - 1, max(1, SHARE * sample // max(n, 1))))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lowered and nothing else. Plain ASCII takes the fast path, as lower() is the same there."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, ASCII_UPPER, ASCII_LOWER)).otherwise(F.lower(text))
-
-
 def running(values: Column, both) -> Column:
     """Running results of an array of integers under both(a, b), such as sums or maxima. Each step lets every place take in
     the one 1, 2, 4, ... before it, so n values cost n log n, and no array grows by one."""
