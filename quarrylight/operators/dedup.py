@@ -49,14 +49,18 @@ def words(text: str = "text") -> Column:
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sig) of rows (keys, w): 64-bit SimHash of the words of a key, by the first 16 hex digits of their MD5; a bit is
-    set if more words set it than not. Votes are partial sums in generated code, one row a key and task shuffled."""
-    half = lambda at: F.conv(F.substring(F.md5("w"), at, 8), 16, 10).cast("long")
-    rows = rows.select(*keys, half(1).alias("high"), half(9).alias("low"))
-    vote = lambda k: F.sum(F.shiftright(F.col("high" if k >= 32 else "low"), k % 32).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{k}")
-    votes = rows.groupBy(*keys).agg(*map(vote, range(64)))
+    set if more words set it than not. Votes are partial sums in generated code, two counters a sum, as no key has 2^31
+    words; one row a key and task is shuffled."""
+    digits = F.substring(F.md5("w"), 1, 16)
+    hashed = rows.select(*keys, digits.alias("x"))
+    top = F.instr(F.lit("0123456789abcdef"), F.substring("x", 1, 1)) - 1
+    rows = hashed.select(*keys, F.shiftleft(top.cast("long"), 60).bitwiseOR(F.conv(F.substring("x", 2, 15), 16, 10).cast("long")).alias("h"))
+    pair = F.lit(1 << 32 | 1).cast("long")
+    votes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"c{k}") for k in range(32)))
     sig = F.lit(0).cast("long")
     for k in range(64):
-        sig = sig.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+        count = F.shiftrightunsigned(f"c{k % 32}", 32) if k >= 32 else F.col(f"c{k}").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+        sig = sig.bitwiseOR(F.when(2 * count > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
     return votes.select(*keys, sig.alias("sig"))
 
 
@@ -71,11 +75,12 @@ def text_signatures(items: DataFrame) -> DataFrame:
 def chunk_signatures(items: DataFrame, chunks: int = 8) -> DataFrame:
     """items (item_id, text) with frame_hashes: the whole text in at most `chunks` consecutive parts of about equally many
     words, the SimHash of each, in order; empty without words."""
-    rows = items.select("item_id", F.size(words()).alias("n"), F.posexplode(words()).alias("pos", "w"))
+    counted = items.select("item_id", words().alias("ws")).withColumn("n", F.size("ws"))  # before the rows are made: those carry no text
+    rows = counted.select("item_id", "n", F.posexplode("ws").alias("pos", "w"))
     rows = rows.withColumn("chunk", F.floor(F.col("pos") * F.least(F.lit(chunks), F.col("n")) / F.col("n")).cast("int"))
     signed = simhash(rows, ["item_id", "chunk"]).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "sig"))).alias("parts"))
     hashes = signed.select("item_id", F.transform("parts", lambda x: x["sig"]).alias("frame_hashes"))
-    return items.join(hashes, "item_id", "left").withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<long>")))
+    return items.drop("text").join(hashes, "item_id", "left").withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<long>")))
 
 
 def exact_edges(items: DataFrame, content: str = "sha256") -> DataFrame:
