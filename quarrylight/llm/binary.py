@@ -30,12 +30,12 @@ from quarrylight.shipping import ship
 from quarrylight.storage import shared_dir, small, written
 
 MAGIC, HEAD, ENTRY = b"QLT1", struct.Struct("<4sB3x8sI"), struct.Struct("<qB7xQII")
-SAMPLE = 1500  #: different documents, at most, that the dictionary is trained on: those with the least hashes of id and text
+SAMPLE = 1500  #: different documents, at most, that the dictionary is trained on: those with the least hashes of doc_id
 SLICE = 1 << 14  #: characters of each of them, from a place that its hash chooses
 DICTIONARY = 64 << 10  #: bytes of the dictionary, at most
 BLOCK = 4 << 20  #: bytes of frames after which a block is closed
 RANGES = 12  #: least ranges of doc_id that are sorted apart; sessions with more shuffle partitions use as many
-WORDS = 400_000  #: words whose ids a worker remembers, at most
+WORDS = 600_000  #: words whose ids a worker remembers, at most
 
 
 def digest(dictionary: bytes) -> bytes:
@@ -71,11 +71,11 @@ def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
 def dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, slice_: int = SLICE) -> bytes:
     """A dictionary trained on slices of `sample` different documents. It changes the size of the files, never their ids.
 
-    Documents are chosen by hash: first about twice as many as needed, copies met as one, then exactly those with the least
-    hashes, so that neither the order of rows nor a document with many copies matters. Only their ids reach the driver."""
-    key = F.xxhash64("doc_id", "text")
+    Documents are chosen by a hash of doc_id: first about twice as many as needed, then, rows of one id met as one, exactly
+    those with the least hashes, so that neither the order of rows nor an id with many matters. Only their ids reach the driver."""
+    key = F.xxhash64("doc_id")
     rows = docs.filter("text is not null")
-    n = rows.agg(F.approx_count_distinct(key)).first()[0]
+    n = docs.agg(F.approx_count_distinct(key)).first()[0]
     if n > 2 * sample:
         rows = rows.filter(among(key, 2 * sample, n))
     place = F.pmod(F.xxhash64(key), F.greatest(F.length("text") - slice_, F.lit(0)) + 1).cast("int") + 1

@@ -17,6 +17,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Words that are remembered at most, at about 250 bytes. The first three quarters stay: frequent words are met early. The last
 #: quarter takes what comes later and is emptied when it is full, so that other words than the first ones are remembered too.
 MEMO = 200_000
+MARKED = 1 << 22  #: marks of words that have been met
 
 
 def _byte_characters() -> dict[int, str]:
@@ -42,9 +43,17 @@ class _Memo(dict):
         self.bpe = tokenizer.model.tokenize
         self.parts: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.met, self.marked = bytearray(MARKED), 0
 
     def _keep(self, word: str, out: bytes) -> None:
-        if len(word) <= 64:
+        """Remembers a word that has been met before, as far as marks of hashes can tell; most words are met once."""
+        mark = hash(word) % MARKED
+        if not self.met[mark]:
+            self.met[mark] = 1
+            self.marked += 1
+            if self.marked > MARKED // 2:
+                self.met, self.marked = bytearray(MARKED), 0
+        elif len(word) <= 64:
             if len(self) < self.most * 3 // 4:
                 self[word] = out
             else:
@@ -57,7 +66,11 @@ class _Memo(dict):
 
     def _piece(self, lead: str, piece: str) -> bytes:
         """Ids of one pre-token."""
-        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+        plain = piece
+        if not piece.isascii():
+            plain = piece.encode().decode("latin-1")
+            if not plain.isprintable():  # printable characters stand for their own bytes
+                plain = plain.translate(BYTES)
         return array(self.code, [t.id for t in self.bpe(lead + plain)]).tobytes()
 
     def _parts(self, pieces: list[str]) -> bytes:
