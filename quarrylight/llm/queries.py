@@ -6,7 +6,7 @@ op10 (learned), op6, op8 and op9 (tokenizers).
 
 from __future__ import annotations
 
-from quarrylight.llm import binary, chat, decontaminate, language, packing, personal, quality, secrets, simhash, token_counts
+from quarrylight.llm import binary, chat, decontaminate, language, nested_schema, packing, personal, quality, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -19,5 +19,11 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_token_files": binary.op9,
     "op10_language": language.op10,
+    "op11_nested_schema": nested_schema.op11,
+}
+ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op5_secrets": secrets.op5_sql(),
+    "op7_chat": chat.OP7_SQL,
+    "op11_nested_schema": nested_schema.OP11_SQL,
 }
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_secrets": secrets.op5_sql(), "op7_chat": chat.OP7_SQL}

@@ -42,9 +42,9 @@ def sha(text):
 def test_same_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "clicks"):
         con.sql(f"create view {t} as select * from '{HERE}/{t}.parquet'")
-    rows = lambda df: (sorted(df.columns), sorted(map(tuple, df[sorted(df.columns)].values.tolist()), key=repr))
+    rows = lambda df: (sorted(df.columns), sorted(map(tuple, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()), key=repr))
     assert rows(queries.QUERIES[name](spark, HERE).toPandas()) == rows(con.sql(queries.ORACLES[name]).df())
 
 
