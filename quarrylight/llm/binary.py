@@ -35,6 +35,7 @@ SLICE = 1 << 14  #: characters of each of them, from a place that its hash choos
 DICTIONARY = 64 << 10  #: bytes of the dictionary, at most
 BLOCK = 4 << 20  #: bytes of frames after which a block is closed
 RANGES = 12  #: least ranges of doc_id that are sorted apart; sessions with more shuffle partitions use as many
+RANGE_IDS = 50_000_000  #: ids of a range, about, where there are more
 WORDS = 600_000  #: words whose ids a worker remembers, at most
 
 
@@ -121,7 +122,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
     """Writes the ids of docs, each document's with end_id, as blocks in ascending doc_id; returns the folder.
 
     Texts are encoded and compressed where they are read; only compressed frames are sorted by ranges of doc_id, and kept
-    in the shared folder first, so a lost executor costs its own part.
+    in the shared folder first, so a lost executor costs its own part. There are as many ranges as the ids ask for.
 
     Nulls: a null text is empty, its only id is end_id; null doc_ids come first. Repeated ids stand by the hash of their
     ids and are all kept. An empty table gives a folder without blocks. Other columns are ignored, whatever their names. A
@@ -146,8 +147,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frames, "doc_id long, n long, check long, frame binary")
     rows = written(rows, "frames")
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "check", "n", "frame")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_IDS))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("check").asc(), F.col("n").asc())  # rows of one id, or without any, are no one range
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "frame")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width, key = encoder(tokenizer, WORDS).width, digest(sent.value)

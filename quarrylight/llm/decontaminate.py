@@ -29,14 +29,15 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def _item_blocks(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, window, block, item_around): all runs of b words, b the largest for which a window holds a whole one of
-    the blocks that a text is cut into, wherever it lies; with the words that a window around it can hold, null beyond the ends."""
+    """Different (item_id, window, block, item_around): all runs of b words, b the largest for which a window holds a whole one
+    of the blocks that a text is cut into, wherever it lies; with the words that a window around it can hold, null beyond the
+    ends. A run that an item repeats between the same words is one row, so repeated words do not multiply."""
     b = (window + 1) // 2
     edge = F.array_repeat(F.lit(None).cast("string"), window - b)
     padded = F.concat(edge, F.col("w"), edge)
     own = items.filter(F.col("window") == window).select("item_id", "window", "w", padded.alias("padded"), F.explode(F.sequence(F.lit(1), F.col("n") - b + 1)).alias("i"))
     block = F.concat(F.array_join(F.slice("w", F.col("i"), b), " "), F.lit(" "))
-    return own.select("item_id", "window", block.alias("block"), F.slice("padded", F.col("i"), 2 * window - b).alias("item_around"))
+    return own.select("item_id", "window", block.alias("block"), F.slice("padded", F.col("i"), 2 * window - b).alias("item_around")).distinct()
 
 
 def _blocks(window: int) -> Column:
@@ -61,8 +62,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, broa
     A window is that many consecutive words of an item, or all words of a shorter one; items without words have none.
     Documents are cut into blocks so long that each window holds a whole one; a block whose hash is in the set of all
     blocks of the benchmark is verified word by word, and the run of equal words around it is a hit if a window fits.
-    The set is broadcast up to broadcast_rows rows and shuffled beyond. One scan, one shuffle of matching blocks and of
-    a row for each document. hits: array of [from, to) in words.
+    The set is broadcast with its words up to broadcast_rows rows; beyond, its hashes alone are, 16 times as many, so that only
+    blocks which they know are shuffled to the words; and where those do not fit either, all blocks are. One scan, one shuffle
+    of matching blocks and of a row for each document. hits: array of [from, to) in words.
 
     Nulls: a null text has no words; a null doc_id is a row of its own; a null item_id counts as ''. Repeated rows give
     one row; the same doc_id with other text gives another. Empty tables give no rows, or no hits. Other columns are ignored,
@@ -84,7 +86,11 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, broa
         for n in lengths[1:]:
             grams = grams.unionByName(_item_blocks(items, n))
         grams = grams.select("window", F.xxhash64("block").alias("h"), "item_id", "item_around")
-        grams = F.broadcast(grams) if fits(grams, broadcast_rows) else grams
+        if fits(grams, broadcast_rows):
+            grams = F.broadcast(grams)
+        else:
+            known = small(grams.select("window", "h").distinct().withColumn("known", F.lit(True)), 16 * broadcast_rows)
+            rows = rows.join(known, ["window", "h"], "left").filter("known or at < 0").drop("known")
         found = rows.join(grams, ["window", "h"], "left").filter("item_id is not null or at < 0")
     else:
         found = rows.withColumn("item_id", none).withColumn("item_around", F.array(none))

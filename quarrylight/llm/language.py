@@ -101,7 +101,7 @@ def _chosen(rows: DataFrame, sample: int) -> DataFrame:
     times as many; copies of a text are one, before any leaves its task; then the least are taken exactly."""
     key = F.xxhash64("text")
     keyed = rows.select("lang", key.alias("key"), F.shiftrightunsigned(key, 1).alias("place"), "text")
-    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min("place").alias("least")).collect()  # one row a language
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"), F.min("place").alias("least")).limit(MOST_LANGUAGES + 1).collect()  # one row a language
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: a label like this is no language")
     most = rows.sparkSession.createDataFrame([(r["lang"], max(r["least"], min(SHARE - 1, SHARE * 3 * sample // max(r["n"], 1)))) for r in sizes], "own string, most long")
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __ql_l: struct (lang, score, accepted) from the whole text, and nothing but the text.
 
     Nulls: a null text, or one without a letter, is `und` with score 0. Repeated rows are predicted each; an empty table
-    gives none. A model of no languages gives `und`. Other columns stay, whatever their names. A very long text is counted
+    gives none. A model of no languages gives `und`. Equal cosines go to the language that is first by code point. Other columns stay, whatever their names. A very long text is counted
     in parts of a quarter of a megabyte.
     """
     ship(docs.sparkSession)

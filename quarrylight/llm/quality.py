@@ -145,14 +145,16 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, precisio
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **settings) -> list[Rule]:
     """Rules from about `sample` labelled documents, chosen by a hash of doc_id; fewer labels are all used. Rows without a
-    label or text, ids with labels of both kinds, and documents that the base rules reject anyway teach nothing. Without
-    both kinds there are no rules."""
+    label or text, ids with labels of both kinds, and documents that the base rules reject anyway teach nothing. An id with
+    several texts teaches by the one with the least statistics, so no more rows than ids reach the driver. Of conditions that
+    are worth the same the first feature's, and of a feature's the first threshold, is taken. Without both kinds there are no rules."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
     n = marks.count()
     if n > sample:
         marks = marks.filter(among(F.xxhash64("doc_id"), sample, n))
     own = with_statistics(docs.filter("text is not null").select("doc_id", "text").join(small(marks, 4 * sample), "doc_id"))
-    rows = own.filter(~base_failed()).select("doc_id", "low", *(c.alias(name) for name, c in features().items())).toPandas()
+    rows = own.filter(~base_failed()).select("doc_id", F.struct("low", *(c.alias(name) for name, c in features().items())).alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", "x.*").toPandas()
     rows = rows.sort_values(["doc_id", *features()], kind="stable", ignore_index=True)
     bad = rows["low"].to_numpy() == 0
     if not bad.any() or bad.all():

@@ -544,3 +544,48 @@ def test_languages_with_copies(spark):
     assert {r["lang"]: r["count"] for r in chosen} == {"en": 20, "es": 1, "de": 1}
     model = language.fit(d, F.lit(True), 20)
     assert model.languages == ("de", "en", "es") and model.predict("die häuser und nicht")[0] == "de" and model.predict("los niño mañana el que")[0] == "es"
+
+
+def test_repeated_words_do_not_multiply(spark):
+    """An item of 3,000 equal words and a document of 30,000: 13 different surroundings of a block, not 3,000."""
+    rows = docs(spark, ["ha " * 30_000, "ho ha ha ha ho"])
+    item = benchmark(spark, "ha " * 3_000)
+    start = time.time()
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"], r["contaminated"]) for r in decontaminate.find_benchmark(rows, item).collect()}
+    assert found == {0: (30_000, 30_000, True), 1: (5, 0, False)} and time.time() - start < 60
+
+
+def test_benchmark_beyond_the_broadcast(spark, monkeypatch):
+    """The words of the benchmark too many to broadcast, their hashes not; and neither."""
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abcdefg")
+    items = [" ".join(word() for _ in range(20)) for _ in range(5)]
+    rows = docs(spark, [" ".join([word() for _ in range(30)] + items[k % 5].split()[2:17] + [word()]) for k in range(12)] + ["no words of these"])
+    plain = sorted(map(repr, decontaminate.find_benchmark(rows, benchmark(spark, *items)).collect()))
+    assert sorted(map(repr, decontaminate.find_benchmark(rows, benchmark(spark, *items), broadcast_rows=20).collect())) == plain
+    assert sorted(map(repr, decontaminate.find_benchmark(rows, benchmark(spark, *items), broadcast_rows=0).collect())) == plain
+
+
+def test_one_id_with_many_texts_teaches_once(spark, monkeypatch):
+    """What learns is at most a row for each labelled id, whatever the number of rows with it."""
+    taught = []
+    monkeypatch.setattr(quality, "learn", lambda x, bad, prune, **kw: taught.append(len(bad)) or [])
+    rows = docs(spark, [" ".join(f"w{i}x{k}" for k in range(60 + i)) for i in range(20)] * 5).withColumn("doc_id", F.col("doc_id") % 20)
+    quality.learn_rules(rows, spark.createDataFrame([(i, i % 2, 0) for i in range(20)], LABELS))
+    assert taught == [20]
+
+
+def test_null_ids_are_many_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "BLOCK", 1 << 12)
+    rows = docs(spark, [f"text number {i} {'x' * (i % 50)}" for i in range(3000)]).withColumn("doc_id", F.lit(None).cast("long"))
+    path = binary.write_ids(rows, P.path("byte_bpe_50k.json"), f"{tmp_path}/ids")
+    parts = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("documents").alias("n")).collect()
+    assert len(parts) >= 6 and max(r["n"] for r in parts) < 1500
+    got = binary.read_ids(spark, path).orderBy("start").collect()
+    assert len(got) == 3000 and [r["start"] for r in got] == list(np.cumsum([0] + [r["n_tokens"] for r in got[:-1]]))
+
+
+def test_labels_that_are_no_languages(spark):
+    rows = docs(spark, ["some words"] * 2).crossJoin(spark.range(3000)).withColumn("lang", F.col("id").cast("string"))
+    with pytest.raises(ValueError, match="languages"):
+        language.fit(rows, F.lit(True))
