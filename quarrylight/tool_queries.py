@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from quarrylight.plans import files as P
 from quarrylight.registry import query, r6, read
 from quarrylight.sinks import reports
 from quarrylight.sources import files as src
+from quarrylight.sources import heads as H
 from quarrylight.storage import shared_dir
 
 # --- sources: parts as files
@@ -75,6 +77,29 @@ def animated_files(spark, d):
     return files.filter(src.is_animated(F.col("ext"), head)).select("k", "path")
 
 
+@query("""select s_suppkey as k, s_nationkey::varchar || '/' || s_suppkey || (['.png', '.mp4', '.webp'])[(s_suppkey % 3 + 1)::int] as path, (['png', 'mp4', 'webp'])[(s_suppkey % 3 + 1)::int] as kind, (s_suppkey % 3 = 2)::boolean as animated,
+  case s_suppkey % 3 when 1 then null else s_suppkey % 500 + 1 end as width, case s_suppkey % 3 when 1 then 0 else (s_suppkey % 500 + 1) * (s_nationkey + 1) end as pixels, case when s_suppkey % 3 = 1 then (s_suppkey * 250)::bigint end as duration_ms,
+  case s_suppkey % 3 when 0 then 33 when 1 then 44 + s_suppkey % 997 * 100 else 30 end::bigint as size, s_suppkey % 3 <> 1 or s_suppkey % 997 > 0 as partial from supplier""")
+def probed_files(spark, d):
+    """A file for each supplier, pictures and films, written by Spark under the shared folder; read back by their first 32 bytes."""
+    k, kind = F.col("s_suppkey"), F.col("s_suppkey") % 3
+    four = lambda c: F.lpad(F.hex(c), 8, "0")
+    little = lambda c: F.concat(F.substring(four(c), 7, 2), F.substring(four(c), 5, 2), F.lit("00"))
+    width, height = k % 500 + 1, F.col("s_nationkey") + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four(width), four(height), F.lit("080200000000000000"))
+    webp = F.concat(F.lit("5249464600000000574542505650385802000000") , F.lit("02000000"), little(width - 1), little(height - 1))
+    # the films' data stand before the box that says how long they are
+    moov = F.concat(F.lit("000000246D6F6F760000001C6D766864" + "00" * 12), four(F.lit(1000)), four(k * 250))
+    data = k % 997 * 100
+    mp4 = F.concat(four(data + 8), F.lit("6D646174"), F.repeat(F.lit("00"), data.cast("int")), moov)
+    rows = read(spark, d, "supplier").withColumn("path", F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), k.cast("string"), F.get(F.array(*map(F.lit, (".png", ".mp4", ".webp"))), kind.cast("int"))))
+    folder = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    H.write_files(rows.select("path", F.unhex(F.when(kind == 0, png).when(kind == 1, mp4).otherwise(webp)).alias("content")), folder)
+    found = H.probed(H.heads(spark, folder, src.Listing((".png", ".mp4", ".webp")), n=32))
+    key = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
+    return found.select(key.alias("k"), "path", "probe.kind", F.coalesce("probe.animated", F.lit(False)).alias("animated"), "probe.width", "probe.pixels", "probe.duration_ms", "size", (F.col("n_read") < F.col("size") + 32).alias("partial"))
+
+
 @query("with " + FILE_SQL + f""" select path, case when ext not in ({', '.join(repr(e) for e in src.IMAGES)}) then 'extension' when size <= 0 then 'empty' when size > 52428800 then 'too large' when k % 13 = 0 then 'unreadable' else 'ok' end as state from named""")
 def file_validation(spark, d):
     good, bad = src.validated(_files(spark, d), readable=F.col("k") % 13 != 0)
