@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vectors as V
 from quarrylight.operators.components import connected_components
+from quarrylight.operators.frame_lists import list_links
 from quarrylight.operators.hamming import bands, first_band, links
 from quarrylight.storage import written
 
@@ -24,6 +25,7 @@ class DedupSpec:
     threshold: float = 8
     band: object = None  # (a, b) -> Column, on whole rows: checked before the distance
     bits: int = 0  # the low bits outside the block, if signatures are longs and the distance is Hamming's
+    lists: bool = False  # signatures are lists of longs, the distance is Hamming's mean by position, a band that of durations
 
     @staticmethod
     def stills(threshold: int = 8) -> DedupSpec:
@@ -34,13 +36,13 @@ class DedupSpec:
     def frames(threshold: float = 8) -> DedupSpec:
         """Lists of signatures in blocks of the first frame's first 8 bits; without frames in a block of their own."""
         first = F.get("frame_hashes", F.lit(0))
-        return DedupSpec(V.mean_hamming, F.when(first.isNull(), F.lit(-1).cast("long")).otherwise(F.shiftrightunsigned(first, 56)), "frame_hashes", threshold=threshold)
+        return DedupSpec(V.mean_hamming, F.when(first.isNull(), F.lit(-1).cast("long")).otherwise(F.shiftrightunsigned(first, 56)), "frame_hashes", threshold=threshold, lists=True)
 
     @staticmethod
     def timed_frames(threshold: float = 8) -> DedupSpec:
         """Lists of signatures in blocks of about 3 seconds of duration, durations within 2 s or 5 % of the longer."""
         near = lambda a, b: F.abs(a("duration_s") - b("duration_s")) <= F.greatest(F.lit(2.0), 0.05 * F.greatest(a("duration_s"), b("duration_s")))
-        return DedupSpec(V.mean_hamming, F.bround(F.col("duration_s") / 3, 0).cast("long"), "frame_hashes", threshold=threshold, band=near)
+        return DedupSpec(V.mean_hamming, F.bround(F.col("duration_s") / 3, 0).cast("long"), "frame_hashes", threshold=threshold, band=near, lists=True)
 
 
 def words(text: str = "text") -> Column:
@@ -115,9 +117,12 @@ def blocked_pairs(items: DataFrame, spec: DedupSpec) -> DataFrame:
 
 def near_edges(items: DataFrame, spec: DedupSpec) -> DataFrame:
     """Links of near items, which connect them as all near pairs would. Equal signatures are one representative in the pair
-    join, so copies do not multiply pairs; of signatures of bits, a spanning tree of each group is given, not its pairs."""
+    join, so copies do not multiply pairs; of signatures of bits, and of lists of them, a spanning tree of each group is given,
+    not its pairs. An empty list, and a list without a duration where that counts, is near none, not even its equals."""
     keys = [spec.signature] + (["duration_s"] if spec.band else [])
     rows = items.filter(F.col(spec.signature).isNotNull())
+    if spec.lists:
+        rows = rows.filter((F.size(spec.signature) > 0) & (F.col("duration_s").isNotNull() if spec.band else F.lit(True)))
     first = rows.groupBy(*keys).agg(F.min("item_id").alias("src"))
     own = rows.join(first, keys).filter("item_id != src").select("src", F.col("item_id").alias("dst"))
     if spec.threshold < 0:
@@ -130,6 +135,9 @@ def near_edges(items: DataFrame, spec: DedupSpec) -> DataFrame:
         name = lambda side: first.select(F.col(spec.signature).alias(f"{side}_sig"), F.col("src").alias(side))
         pairs = found.join(name("a"), F.col("x") == F.col("a_sig")).join(name("b"), F.col("y") == F.col("b_sig"))
         return own.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("kind", F.lit("near"))
+    if spec.lists and spec.threshold >= 0:
+        lists = first.select(F.col("src").alias("item_id"), F.col(spec.signature).alias("frames"), spec.block.alias("block"), *keys[1:])
+        return own.unionByName(list_links(written(lists.filter("block is not null"), "lists"), spec.threshold, spec.band is not None)).withColumn("kind", F.lit("near"))
     pairs = blocked_pairs(first.select(F.col("src").alias("item_id"), *keys), spec).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return own.unionByName(pairs).withColumn("kind", F.lit("near"))
 

@@ -16,7 +16,7 @@ BUCKET = 20_000  #: a key with more signatures is compared in pairs of chunks of
 NODES = 500_000  #: signatures whose trees a task holds before it gives out its links
 
 
-class _Forest:
+class Forest:
     """Union-find over signatures; keeps the links that joined two trees."""
 
     def __init__(self):
@@ -41,7 +41,7 @@ class _Forest:
         return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
 
-def _compare(sig: np.ndarray, key: np.ndarray, threshold: int, forest: _Forest) -> None:
+def _compare(sig: np.ndarray, key: np.ndarray, threshold: int, forest: Forest) -> None:
     """Links all signatures at threshold bits or less under the same key; rows are sorted by key.
 
     Small groups are compared at once for all groups. In a large one, what is linked to a signature leaves the group
@@ -70,6 +70,20 @@ def _compare(sig: np.ndarray, key: np.ndarray, threshold: int, forest: _Forest)
                     seeds.extend(found)
 
 
+def dealt(spread: DataFrame, bucket: int, by: str) -> DataFrame:
+    """spread (anchor, ...) with key, by which it is compared: the anchor, or, where an anchor has more than `bucket` rows, one
+    key for each pair of chunks of about half that size, by the column `by`."""
+    large = cut(spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
+    if large.isEmpty():
+        return spread.withColumn("key", F.col("anchor"))
+    pairs = spread.join(small(large, 200_000), "anchor", "left").withColumn("chunks", F.ceil(2 * F.coalesce("n", F.lit(0)) / bucket))
+    mine = F.pmod(F.xxhash64(by), F.greatest("chunks", F.lit(1)))
+    pairs = pairs.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("chunks", F.lit(1)) - 1)))
+    keyed = pairs.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    # a key of one column for the comparison; two chunk pairs that share it would only be compared more
+    return keyed.withColumn("key", F.when(F.col("chunks") > 1, F.xxhash64("anchor", "low", "high")).otherwise(F.col("anchor")))
+
+
 def links(spread: DataFrame, threshold: int, bucket: int = BUCKET) -> DataFrame:
     """(src, dst) of rows (sig, anchor): links that connect signatures as all links at threshold bits or less under the same
     anchor would. Not all links are given: of a group, a spanning tree, so copies and dense groups do not multiply.
@@ -78,20 +92,11 @@ def links(spread: DataFrame, threshold: int, bucket: int = BUCKET) -> DataFrame:
     chunks, so memory is bounded and no link is lost.
     """
     ship(spread.sparkSession)
-    large = cut(spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket))
-    if large.isEmpty():
-        keyed = spread.withColumn("key", F.col("anchor"))
-    else:
-        pairs = spread.join(small(large, 200_000), "anchor", "left").withColumn("chunks", F.ceil(2 * F.coalesce("n", F.lit(0)) / bucket))
-        mine = F.pmod(F.xxhash64("sig"), F.greatest("chunks", F.lit(1)))
-        pairs = pairs.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("chunks", F.lit(1)) - 1)))
-        keyed = pairs.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-        # a key of one column for the comparison; two chunk pairs that share it would only be compared more
-        keyed = keyed.withColumn("key", F.when(F.col("chunks") > 1, F.xxhash64("anchor", "low", "high")).otherwise(F.col("anchor")))
+    keyed = dealt(spread, bucket, "sig")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by key; a key's rows may lie in several batches."""
-        rest, forest = None, _Forest()
+        rest, forest = None, Forest()
         unsigned = lambda x: x["sig"].to_numpy().astype(np.int64).view(np.uint64)
         for batch in batches:
             now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -102,7 +107,7 @@ def links(spread: DataFrame, threshold: int, bucket: int = BUCKET) -> DataFrame:
                 _compare(unsigned(now)[:last], k[:last], threshold, forest)
             if len(forest.up) > NODES:
                 yield forest.frame()
-                forest = _Forest()
+                forest = Forest()
         if rest is not None and len(rest):
             _compare(unsigned(rest), rest["key"].to_numpy(), threshold, forest)
         yield forest.frame()

@@ -129,6 +129,21 @@ def frame_block_pairs(spark, d):
     return D.blocked_pairs(_frames(spark, d), D.DedupSpec.frames()).select("i", "j", r6("d").alias("d"))
 
 
+@query("with recursive " + FRAME_SQL + """,
+shas as (select doc_id as item_id, sha256(text) as sha256 from documents where text is not null),
+near as (""" + PAIR_SQL.format("round_even(a.dur / 3, 0) = round_even(b.dur / 3, 0) and abs(a.dur - b.dur) <= greatest(2.0, 0.05 * greatest(a.dur, b.dur))") + """),
+sym as (select i as a, j as b from near union select j, i from near union select x.item_id, y.item_id from shas x join shas y on x.sha256 = y.sha256 and x.item_id <> y.item_id),
+reach(a, b) as (select a, b from sym union select r.a, s.b from reach r join sym s on r.b = s.a),
+comp as (select a as item_id, least(a, min(b)) as group_id from reach group by a),
+twice as (select sha256 from shas group by sha256 having count(*) > 1)
+select group_id, item_id, case when bool_and(twice.sha256 is not null) over (partition by group_id) then 'exact' else 'near' end as match_type from comp join shas using (item_id) left join twice on shas.sha256 = twice.sha256""")
+def frame_groups(spark, d):
+    """Groups of clips of about the same duration whose frames are near, by links that span each group, not by its pairs."""
+    rows = read(spark, d, "documents").filter("text is not null")
+    rows = rows.select(F.col("doc_id").alias("item_id"), "text", (F.col("n_chars") / 100).alias("duration_s"), F.sha2("text", 256).alias("sha256"))
+    return D.duplicate_groups(written(D.chunk_signatures(rows), "clips"), D.DedupSpec.timed_frames())
+
+
 @query("""with n as (select doc_id, len(string_split(text, chr(10))) as n from documents where text is not null)
 select doc_id as item_id, unnest(case when n <= 1 then [0] else list_sort(list_distinct(list_transform(range(0, least(8, n)), lambda i: round_even(i * (n - 1) / (least(8, n) - 1), 0)::int))) end)::int as frame from n""")
 def sample_frames(spark, d):
