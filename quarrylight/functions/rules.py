@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Hardware encoders in the order in which they are tried.
-HARDWARE = ("nvenc", "qsv", "amf", "videotoolbox")
-
 
 def optimal_fps(duration: Column, size_mb: Column, width: Column) -> Column:
     """10 frames a second, scaled by length, size and width; within 5 and 15."""
@@ -26,12 +23,6 @@ def folder_format(files: Column, mean_mb: Column) -> Column:
     return F.when(files > 10, "webp").when(mean_mb > 50, "webp").otherwise("gif")
 
 
-def encoder(mode: Column, available: Column, software: str) -> Column:
-    """cpu: the software encoder; auto: the first available hardware; a name: that, if available, else software."""
-    first = F.coalesce(*(F.when(F.array_contains(available, h), h) for h in HARDWARE), F.lit(software))
-    return F.when(mode == "cpu", software).when(mode == "auto", first).when(F.array_contains(available, mode), mode).otherwise(software)
-
-
 def trim(duration: Column, longest: float = 15.0) -> Column:
     """What is longer is clipped and its source kept; the rest is converted whole and its source may go."""
     long = duration > longest

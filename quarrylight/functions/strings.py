@@ -138,10 +138,15 @@ def absolute_url(base: Column, url: Column) -> Column:
 
 
 def first_score(log: Column) -> Column:
-    """The score of a quality log: the first `"mean": x`, else `VMAF score: x`; 3 decimals, null without one."""
+    """The score of a quality log: the first `"mean": x`, else `VMAF score: x`, else that of the JSON object in it, its pooled
+    mean or, where that is missing or 0, its `VMAF score`, written as text; 3 decimals, null without one."""
     a = F.regexp_extract(log, r'"mean"\s*:\s*([0-9.]+)', 1)
     b = F.regexp_extract(log, r"VMAF score\s*[:=]\s*([0-9.]+)", 1)
-    return F.round(F.coalesce(F.when(a != "", a), F.when(b != "", b)).try_cast("double"), 3)
+    whole = F.coalesce(*(F.when(x != "", x) for x in (F.regexp_extract(log, r'(?s)(\{"version".*\})', 1), F.regexp_extract(log, r'(?s)(\{"VMAF.*\})', 1))))
+    inside = lambda path: F.get_json_object(whole, path).try_cast("double")
+    pooled, score = inside("$.pooled_metrics.vmaf.mean"), inside("$['VMAF score']")
+    text = lambda x: F.when(x != "", x).try_cast("double")
+    return F.round(F.coalesce(text(a), text(b), F.when(pooled != 0, pooled), score), 3)
 
 
 def last_value(log: Column, name: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import vectors as V
@@ -174,16 +174,22 @@ def merges(items: DataFrame, spec: DedupSpec) -> DataFrame:
 
 
 def ranked(groups: DataFrame, *order: Column) -> DataFrame:
-    """groups with `primary`: true for the first of a group by order, then item_id."""
-    w = Window.partitionBy("group_id").orderBy(*order, F.col("item_id"))
-    return groups.withColumn("primary", F.row_number().over(w) == 1)
+    """groups with `primary`: true for the first of a group by order, all ascending and nulls last, then item_id.
+
+    The first of a group is a minimum, of which tasks have partial ones, so no group is sorted; it meets the rows by item_id,
+    which has no groups. An item is in one group."""
+    groups = written(groups, "groups")
+    keys = [F.struct(c.isNull(), c).alias(f"key{k}") for k, c in enumerate(order)]
+    first = groups.groupBy("group_id").agg(F.min(F.struct(*keys, "item_id")).alias("key"))
+    first = first.select(F.col("key.item_id").alias("__first"), F.lit(True).alias("primary"))
+    return groups.join(first, F.col("item_id") == F.col("__first"), "left").withColumn("primary", F.coalesce("primary", F.lit(False))).drop("__first")
 
 
 def by_pixels(*more: str) -> list[Column]:
     """The order in which a still's best copy comes first: fewest votes for a mark, most pixels; then `more`, such as the most
     frames or the longest, largest first; then the smallest file. What is missing counts as 0."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return [zero("votes"), zero("pixels").desc(), *(zero(c).desc() for c in more), zero("size")]
+    return [zero("votes"), -zero("pixels"), *(-zero(c) for c in more), zero("size")]
 
 
 def compared_pixels(items: DataFrame, step: int = 20) -> DataFrame:

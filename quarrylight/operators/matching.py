@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from quarrylight.functions.strings import person_key, stem
+from quarrylight.operators.numbering import numbered
 from quarrylight.operators.pairs import across
 from quarrylight.shipping import ship
-from quarrylight.storage import fits
+from quarrylight.storage import fits, small
 
 LARGEST_REFERENCES = 20_000  #: references that are sent to every task; more meet the vectors by blocks
 
@@ -32,8 +33,8 @@ def load_references(faces: DataFrame) -> DataFrame:
     there = faces.filter("emb is not null")
     best = there.groupBy("path").agg(F.max_by("emb", F.struct("area", "emb")).alias("emb"))
     named = best.select(person_key(stem(F.element_at(F.split("path", "/"), -1))).alias("person"), "path", "emb")
-    order = named.select("person").distinct().withColumn("person_ord", F.row_number().over(Window.orderBy("person")).cast("long"))  # a curated set
-    return named.join(F.broadcast(order), "person").select("person", "person_ord", "path", "emb")
+    order = numbered(named.select("person").distinct(), [], ["person"], "person_ord")
+    return named.join(small(order, LARGEST_REFERENCES), "person").select("person", "person_ord", "path", "emb")
 
 
 def _matrix(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:

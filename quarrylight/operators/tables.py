@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quarrylight.operators.matching import scores
+from quarrylight.operators.matching import LARGEST_REFERENCES
+from quarrylight.operators.pairs import across
+from quarrylight.shipping import ship
+from quarrylight.storage import fits
 
 # --- labels
 
@@ -14,14 +22,44 @@ def zero_shot(vectors: DataFrame, labels: DataFrame, scale: float = 100.0, thres
     """(item_id, label, score, accepted, top array of (label, score)): softmax of scaled cosines over labels (label, ord,
     label_emb); a label may have several vectors, the nearest counts.
 
-    Scores are rounded to 4 decimals before the threshold; ties go by the labels' order. Cosines are matrix products; only
-    an item's few best labels and its two sums are shuffled, in partial form, if the labels are too many for one call.
+    Scores are rounded to 4 decimals before the threshold; ties go by the labels' order. Cosines are matrix products, and a
+    call gives an item's `top` best labels, their largest cosine and the sum of what it saw. Labels that fit are sent to every
+    task, and nothing is shuffled; more meet the items in blocks, all vectors of a label in one, and only these few numbers
+    of each block are put together.
     """
-    refs = labels.select(F.col("label").alias("person"), F.col("ord").alias("person_ord"), F.col("label_emb").alias("emb"))
-    x = scores(vectors, refs, ["item_id"]).select("item_id", F.col("person").alias("label"), F.col("person_ord").alias("ord"), (scale * F.col("score")).alias("x"))
-    rows = x.groupBy("item_id").agg(F.max("x").alias("high"), F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("down"), "ord", "label"))).alias("all"))
-    total = F.aggregate("all", F.lit(0.0), lambda a, r: a + F.exp(-r["down"] - F.col("high")))
-    best = rows.select("item_id", F.transform(F.slice("all", 1, top), lambda r: F.struct(r["label"].alias("label"), F.round(F.exp(-r["down"] - F.col("high")) / total, 4).alias("score"))).alias("top"))
+    ship(vectors.sparkSession)
+    items = vectors.filter("emb is not null").select("item_id", "emb")
+    own = labels.filter("label_emb is not null").groupBy("label", "ord").agg(F.collect_list("label_emb").alias("embs"))
+    kinds = StructType([items.schema["item_id"], *StructType.fromDDL("high double, total double, best array<struct<down:double,ord:bigint,label:string>>").fields])
+
+    def seen(part: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(names):
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in kinds})
+        names = names.sort_values(["ord", "label"], ignore_index=True)
+        y = np.stack([e for embs in names["embs"] for e in embs]).astype(np.float64)
+        x = np.stack(part["emb"].to_numpy()).astype(np.float64)
+        cosine = (x @ y.T) / (np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((y * y).sum(axis=1)) + 1e-8)
+        of = scale * np.maximum.reduceat(cosine, np.cumsum([0] + [len(e) for e in names["embs"]][:-1]), axis=1)
+        high = of.max(axis=1)
+        first = np.argsort(-of, axis=1, kind="stable")[:, :top]
+        best = [[{"down": -of[i, j], "ord": int(names["ord"][j]), "label": names["label"][j]} for j in row] for i, row in enumerate(first)]
+        return pd.DataFrame({"item_id": part["item_id"].to_numpy(), "high": high, "total": np.exp(of - high[:, None]).sum(axis=1), "best": best})
+
+    if fits(own, LARGEST_REFERENCES):
+        sent = items.sparkSession.sparkContext.broadcast(own.toPandas())
+
+        def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield seen(part, sent.value)
+
+        rows = items.mapInPandas(batches, kinds)
+    else:
+        parts = across(items, own, seen, kinds)
+        rows = parts.groupBy("item_id").agg(F.max("high").alias("all_high"), F.collect_list(F.struct("high", "total")).alias("sums"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
+        total = F.aggregate("sums", F.lit(0.0), lambda a, r: a + r["total"] * F.exp(r["high"] - F.col("all_high")))
+        rows = rows.select("item_id", F.col("all_high").alias("high"), total.alias("total"), "best")
+    score = lambda r: F.round(F.exp(-r["down"] - F.col("high")) / F.col("total"), 4)
+    best = rows.select("item_id", F.transform(F.slice("best", 1, top), lambda r: F.struct(r["label"].alias("label"), score(r).alias("score"))).alias("top"))
     first = F.get("top", F.lit(0))
     return best.select("item_id", first["label"].alias("label"), first["score"].alias("score"), (first["score"] >= threshold).alias("accepted"), "top")
 
@@ -153,10 +191,30 @@ def convert_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def first_under(candidates: DataFrame, target: str = "target") -> DataFrame:
-    """(item_id, step, size): of candidates (item_id, step, size, target) the first at or under the target, else the last."""
-    pick = F.coalesce(F.min_by(F.struct("step", "size"), F.when(F.col("size") <= F.col(target), F.col("step"))), F.max_by(F.struct("step", "size"), F.col("step")))
-    return candidates.groupBy("item_id").agg(pick.alias("p")).select("item_id", "p.step", "p.size")
+#: What is tried, in order, to bring a picture under a size: a quality, every n-th frame, a number of colours.
+PHASES = (("quality", (85, 75, 65, 55, 45, 35, 25)), ("frames", (2, 3, 4)), ("palette", (128, 64, 32, 16)))
+
+
+def search_steps(items: DataFrame, phases=PHASES) -> DataFrame:
+    """items (item_id, frames, ...) with phase, place and step: a row for each try. Each phase begins from the original, not from
+    what the one before has made of it. A try that would leave fewer than two frames is none."""
+    tries = F.flatten(F.array(*(F.array(*(F.struct(F.lit(name).alias("phase"), F.lit(100 * k + i).alias("place"), F.lit(step).alias("step")) for i, step in enumerate(steps))) for k, (name, steps) in enumerate(phases))))
+    rows = items.withColumn("try", F.explode(tries)).select(*items.columns, "try.*")
+    return rows.filter((F.col("phase") != "frames") | (F.ceil(F.col("frames") / F.col("step")) >= 2))
+
+
+def first_under(tries: DataFrame) -> DataFrame:
+    """(item_id, outcome, phase, step, size) of tries (item_id, original, target, phase, place, step, size): `unchanged` where the
+    original is at or under the target; `reduced`, with the first try in place that is; else `restored`. The size is that of
+    what is kept, so the original's but for `reduced`. A try without a size has failed and is passed over.
+
+    Tries of an item meet in partial minima, so the order of phases costs no sort."""
+    fits_in = F.col("size") <= F.col("target")
+    per = tries.groupBy("item_id").agg(F.first("original").alias("original"), F.first("target").alias("target"), F.min(F.when(fits_in, F.struct("place", "phase", "step", "size"))).alias("p"))
+    whole = F.col("original") <= F.col("target")
+    outcome = F.when(whole, "unchanged").when(F.col("p").isNotNull(), "reduced").otherwise("restored")
+    kept = lambda c: F.when(F.coalesce(~whole, F.lit(True)), F.col(f"p.{c}"))
+    return per.select("item_id", outcome.alias("outcome"), kept("phase").alias("phase"), kept("step").alias("step"), F.coalesce(kept("size"), "original").alias("size"))
 
 
 # --- caches

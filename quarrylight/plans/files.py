@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,21 @@ def person_plan(found: DataFrame) -> DataFrame:
     return rows.select("item_id", F.col("name").alias("src_path"), F.concat(F.col("person"), F.lit("/"), name).alias("dst_path"))
 
 
+def _series(prefix: str) -> str:
+    return "^" + re.escape(prefix) + r"_(\d+)_(\d+)$"
+
+
+def not_in_series(files: DataFrame, prefix: str) -> DataFrame:
+    """Of files (stem, ...) those that no series of the prefix has named: prefix, two numbers, nothing else, in the same case."""
+    return files.filter(~F.coalesce(F.col("stem").rlike(_series(prefix)), F.lit(False)))
+
+
+def last_series(files: DataFrame, prefix: str) -> DataFrame:
+    """One row (last, named): the highest number of a series of the prefix, 0 without one, and how many files have such a name."""
+    number = F.regexp_extract("stem", _series(prefix), 1)
+    return files.agg(F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(0)).alias("last"), F.count_if(number != "").alias("named"))
+
+
 def series_plan(named: DataFrame, there: DataFrame) -> DataFrame:
     """(item_id, src_path, dst_path) of rows (item_id, path, name): the name with the path's lower-cased extension, or, where
     `there` (path) has that already, the name with the first free (1), (2), ... before the extension.

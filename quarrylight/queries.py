@@ -11,6 +11,7 @@ from quarrylight.functions import strings as S
 from quarrylight.functions import vectors as V
 from quarrylight.operators import cluster as C
 from quarrylight.operators import dedup as D
+from quarrylight.operators import encoders as E
 from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
@@ -86,7 +87,7 @@ def near_merge_count(spark, d):
 @query(f"select group_id, item_id, match_type, row_number() over (partition by group_id order by size desc, item_id) = 1 as primary_item from ({GROUP_SQL}) join (select doc_id as item_id, n_chars as size from documents) using (item_id)")
 def dup_primary(spark, d):
     groups = D.duplicate_groups(signed_items(spark, d), D.DedupSpec.stills()).join(text_items(spark, d).select("item_id", "size"), "item_id")
-    return D.ranked(groups, F.desc("size")).select("group_id", "item_id", "match_type", F.col("primary").alias("primary_item"))
+    return D.ranked(groups, -F.col("size")).select("group_id", "item_id", "match_type", F.col("primary").alias("primary_item"))
 
 
 @query("""with g as (select doc_id, min(doc_id) over (partition by text) as group_id, count(*) over (partition by text) as n, row_number() over (partition by text order by n_chars desc, doc_id) as r, 'doc_' || (doc_id % 10) as stem from documents where text is not null),
@@ -95,7 +96,7 @@ select doc_id as item_id, stem || '.txt' as src_path, 'Duplicate/' || stem || ca
 def dup_move_plan(spark, d):
     items = text_items(spark, d)
     groups = D.duplicate_groups(items).join(items.select("item_id", "size"), "item_id")
-    rows = D.ranked(groups, F.desc("size")).withColumn("name", F.format_string("doc_%d.txt", F.col("item_id") % 10))
+    rows = D.ranked(groups, -F.col("size")).withColumn("name", F.format_string("doc_%d.txt", F.col("item_id") % 10))
     return P.move_plan(rows)
 
 
@@ -225,7 +226,7 @@ def categorise(spark, d):
     return M.categorise(hits).select("image_id", "category", r6("score").alias("score"))
 
 
-def _signals(spark, d, most: int | None = None) -> DataFrame:
+def _signals(spark, d) -> DataFrame:
     """Vectors as items: halves of a vector are two signals, some missing; the event of the same id gives the time."""
     e = read(spark, d, "events").select(F.col("event_id").alias("item_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     v = _vectors(spark, d).join(e, "item_id")
@@ -467,13 +468,28 @@ def format_recommend(spark, d):
     return read(spark, d, "part").select("p_partkey", R.file_format(F.col("p_retailprice") / 10, F.col("p_name")).alias("format"))
 
 
-@query("""with o as (select o_orderkey, (['cpu', 'auto', 'qsv'])[(o_orderkey % 3 + 1)::int] as mode, case when o_orderkey % 2 = 0 then ['qsv', 'amf'] else ['libx'] end as av from orders)
-select o_orderkey, case when mode = 'cpu' then 'software' when mode = 'auto' then case when list_contains(av, 'qsv') then 'qsv' else 'software' end when list_contains(av, mode) then mode else 'software' end as encoder from o""")
+_MODES, _CODECS = ("cpu", "auto", "nvenc", "qsv", "amf", "vtb", "other"), ("av1", "h265", "h264", "vp8")
+_ENCODERS = tuple(e for _, _, e in E.PROFILES)
+_listed = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""with have as (select distinct s_suppkey % 7 as host, upper(({_listed(_ENCODERS)})[(s_suppkey * 5 % {len(_ENCODERS)} + 1)::int]) as encoder from supplier where s_suppkey % 3 = 0),
+profiles as (select unnest({_listed(c for c, _, _ in E.PROFILES)}) as codec, unnest({_listed(m for _, m, _ in E.PROFILES)}) as mode, unnest({_listed(_ENCODERS)}) as encoder),
+place as (select unnest(['nvenc', 'qsv', 'amf', 'vtb']) as mode, unnest([1, 2, 3, 4]) as place),
+usable as (select host, codec, p.mode, p.encoder, place from have join profiles p on lower(have.encoder) = lower(p.encoder) join place using (mode)),
+o as (select o_orderkey, o_orderkey % 7 as host, ({_listed(_CODECS)})[(o_orderkey % 4 + 1)::int] as codec, ({_listed(_MODES)})[(o_orderkey // 4 % 7 + 1)::int] as mode from orders),
+auto as (select host, codec, arg_min(encoder, place) as encoder from usable group by 1, 2)
+select o_orderkey, coalesce(case o.mode when 'cpu' then null when 'auto' then auto.encoder else u.encoder end, s.encoder) as encoder,
+  case when s.encoder is not null then coalesce(o.mode <> 'cpu' and case o.mode when 'auto' then auto.encoder else u.encoder end is not null, false) end as hardware,
+  case when s.encoder is not null then o.mode not in ('cpu', 'auto') and u.encoder is null end as fell_back
+from o left join auto on auto.host = o.host and auto.codec = o.codec left join usable u on u.host = o.host and u.codec = o.codec and u.mode = o.mode left join profiles s on s.codec = o.codec and s.mode = 'soft'""")
 def encoder_choice(spark, d):
-    k = F.col("o_orderkey")
-    mode = F.when(k % 3 == 0, "cpu").when(k % 3 == 1, "auto").otherwise("qsv")
-    available = F.when(k % 2 == 0, F.array(F.lit("qsv"), F.lit("amf"))).otherwise(F.array(F.lit("libx")))
-    return read(spark, d, "orders").select("o_orderkey", R.encoder(mode, available, "software").alias("encoder"))
+    """The encoder of each order's codec and mode on its host, of which the suppliers say what it has."""
+    s, k = F.col("s_suppkey"), F.col("o_orderkey")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    have = read(spark, d, "supplier").filter(s % 3 == 0).select((s % 7).alias("host"), F.upper(pick(_ENCODERS, s * 5 % len(_ENCODERS))).alias("encoder"))
+    asked = read(spark, d, "orders").select("o_orderkey", (k % 7).alias("host"), pick(_CODECS, k % 4).alias("codec"), pick(_MODES, F.floor(k / 4) % 7).alias("mode"))
+    return E.choose_encoders(asked, have).select("o_orderkey", "encoder", "hardware", "fell_back")
 
 
 @query("select l_orderkey, l_linenumber, 0.0::double as start_s, least(l_quantity, 15.0)::double as end_s, case when l_quantity > 15 then 'keep' else 'delete' end as source from lineitem")
@@ -481,12 +497,18 @@ def trim_policy(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R.trim(F.col("l_quantity")).alias("t")).select("l_orderkey", "l_linenumber", "t.*")
 
 
-@query("""with c as (select p_partkey, k, p_retailprice * (85 - 10 * k) / 100 as size, 700.0 as target from part, (select unnest(range(0, 7)) as k))
-select p_partkey as item_id, coalesce(min(k) filter (size <= target), 6)::int as step from c group by p_partkey""")
+@query("""with p as (select p_partkey as item_id, p_retailprice::double as original, p_size % 9 as frames, (p_partkey % 10 * 100)::double as target from part),
+s as (select 'quality' as phase, 0 as phase_no, unnest([85, 75, 65, 55, 45, 35, 25]) as step union all select 'frames', 1, unnest([2, 3, 4]) union all select 'palette', 2, unnest([128, 64, 32, 16])),
+c as (select *, case phase when 'quality' then original * (step + 10) / 100 when 'frames' then original * 1.25 / step else original * (step + 96) / 256 end as size from p, s where phase <> 'frames' or (frames + step - 1) // step >= 2),
+f as (select item_id, arg_min({'phase': phase, 'step': step, 'size': size}, (phase_no, case when phase = 'frames' then step else -step end)) filter (size <= target) as p from c group by item_id)
+select item_id, case when original <= target then 'unchanged' when f.p is not null then 'reduced' else 'restored' end as outcome, case when original > target then f.p.phase end as phase, case when original > target then f.p.step end::int as step, round(case when original > target and f.p is not null then f.p.size else original end, 4) as size
+from p join f using (item_id)""")
 def size_ladder(spark, d):
-    c = read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("step"))
-    c = c.select("item_id", "step", (F.col("p_retailprice") * (85 - 10 * F.col("step")) / 100).alias("size"), F.lit(700.0).alias("target"))
-    return T.first_under(c).select("item_id", "step")
+    """What is tried to bring a part under a size: qualities, frames and colours in turn, each from the original."""
+    items = read(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_retailprice").cast("double").alias("original"), (F.col("p_size") % 9).alias("frames"), (F.col("p_partkey") % 10 * 100).cast("double").alias("target"))
+    step = F.col("step")
+    share = F.when(F.col("phase") == "quality", F.col("original") * (step + 10) / 100).when(F.col("phase") == "frames", F.col("original") * 1.25 / step).otherwise(F.col("original") * (step + 96) / 256)
+    return T.first_under(T.search_steps(items).withColumn("size", share)).select("item_id", "outcome", "phase", "step", F.round("size", 4).alias("size"))
 
 
 @query("""select o_orderkey, case when n < 1024 then printf('%.1fB', n::double) when n < 1048576 then printf('%.1fKB', n / 1024.0::double) when n < 1073741824 then printf('%.1fMB', n / 1048576.0::double) else printf('%.1fGB', n / 1073741824.0::double) end as size from (select o_orderkey, (o_orderkey * o_orderkey + 1)::bigint as n from orders)""")

@@ -6,6 +6,7 @@ never gathered on the driver. `one_file` gathers it in one task, for reports tha
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +29,11 @@ def escaped(text: Column) -> Column:
     return out
 
 
-def _card(kind: Column, *rows: Column) -> Column:
+def _card(kind: Column, *rows: Column, thumb: Column | None = None) -> Column:
+    """thumb: a JPEG in base64; without one, or where it is null, the card has no picture."""
     lines = [F.concat(F.lit("<div>"), escaped(x), F.lit("</div>")) for x in rows]
-    return F.concat(F.lit('<div class="card '), F.lower(kind), F.lit('"><b>'), kind, F.lit("</b>"), *lines, F.lit("</div>"))
+    picture = [] if thumb is None else [F.when(thumb.isNotNull(), F.concat(F.lit('<img src="data:image/jpeg;base64,'), escaped(thumb), F.lit('">'))).otherwise("")]
+    return F.concat(F.lit('<div class="card '), F.lower(kind), F.lit('"><b>'), kind, F.lit("</b>"), *picture, *lines, F.lit("</div>"))
 
 
 def _line(section, place, part, html) -> list[Column]:
@@ -55,12 +58,19 @@ def sorted_groups(groups: DataFrame) -> DataFrame:
     return numbered(per, [], ["fewer", "group_id"], "place").drop("fewer")
 
 
-def duplicate_report(groups: DataFrame, title: str = "Duplicates") -> DataFrame:
-    """Lines of a report of rows (group_id, item_id, match_type, primary, name, size): totals, then exact and near groups, the
-    larger first, the primary member first in each. A section without groups is left out."""
-    groups = written(groups.select("group_id", "item_id", "match_type", "primary", "name", "size"), "report")
+def duplicate_report(groups: DataFrame, title: str = "Duplicates", executed: bool = False, threshold: float | None = None, source: str | None = None) -> DataFrame:
+    """Lines of a report of rows (group_id, item_id, match_type, primary, name, size): whether files were moved, totals, then
+    exact and near groups, the larger first, the primary member first in each. A section without groups is left out.
+
+    executed: whether the plan was carried out, as the report says in its first line. Rows may have `meta`, a line about the
+    item that stands in place of its size, and `thumb`, a picture in base64; either may be null. threshold and source are
+    told where they are given."""
+    more = [c for c in ("meta", "thumb") if c in groups.columns]
+    groups = written(groups.select("group_id", "item_id", "match_type", "primary", "name", "size", *more), "report")
     t = duplicate_totals(groups)
-    head = F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{title}</title><style>{STYLE}</style></head><body><h1>{title}</h1><p>"), F.col("groups").cast("string"), F.lit(" groups, "), F.col("redundant").cast("string"), F.lit(" duplicates ("), F.col("redundant_exact").cast("string"), F.lit(" exact, "), F.col("redundant_near").cast("string"), F.lit(" near), "), S.format_size(F.col("recoverable")), F.lit(" recoverable</p>"))
+    facts = [f"{name} {value:g}" if isinstance(value, float) else f"{name} {value}" for name, value in (("threshold", threshold), ("source", source)) if value is not None]
+    told = F.concat(F.lit("<p>"), escaped(F.lit(", ".join(facts))), F.lit("</p>")) if facts else F.lit("")
+    head = F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{title}</title><style>{STYLE}</style></head><body><h1>{title}</h1><p class=\"mode\">{'EXECUTED: files were moved' if executed else 'DRY RUN: no files were moved'}</p>"), told, F.lit("<p>"), F.col("groups").cast("string"), F.lit(" groups, "), F.col("redundant").cast("string"), F.lit(" duplicates ("), F.col("redundant_exact").cast("string"), F.lit(" exact, "), F.col("redundant_near").cast("string"), F.lit(" near), "), S.format_size(F.col("recoverable")), F.lit(" recoverable</p>"))
     zero = F.lit(0)
     out = t.select(*_line(0, zero, zero, head)).unionByName(t.select(*_line(9, zero, zero, F.lit("</body></html>"))))
     kind = F.when(F.col("match_type") == "exact", 1).otherwise(2)
@@ -71,7 +81,8 @@ def duplicate_report(groups: DataFrame, title: str = "Duplicates") -> DataFrame:
     opened = F.concat(F.lit("<section><h3>Group of "), F.col("members").cast("string"), F.lit("</h3>"))
     out = out.unionByName(places.select(*_line(kind, F.col("place"), zero, opened))).unionByName(places.select(*_line(kind, F.col("place"), F.lit((1 << 62)), F.lit("</section>"))))
     cards = numbered(groups.withColumn("later", F.when(F.col("primary"), 0).otherwise(1)), ["group_id"], ["later", "item_id"]).join(places.select("group_id", "place"), "group_id")
-    card = _card(F.when(F.col("primary"), "PRIMARY").otherwise("DUP"), F.col("name"), S.format_size(F.col("size")))
+    line = F.coalesce("meta", S.format_size(F.col("size"))) if "meta" in more else S.format_size(F.col("size"))
+    card = _card(F.when(F.col("primary"), "PRIMARY").otherwise("DUP"), F.col("name"), line, thumb=F.col("thumb") if "thumb" in more else None)
     return out.unionByName(cards.select(*_line(kind, F.col("place"), F.col("number"), card)))
 
 
@@ -112,6 +123,17 @@ def tag_log(tags: DataFrame) -> DataFrame:
     return tags.select("item_id", F.to_json(row, ALL).alias("json"))
 
 
+def tag_document(tags: DataFrame, **meta) -> DataFrame:
+    """(place, json): lines which, in order of place, are one JSON object: `meta` with what is given and total_images, then
+    `images`, an object of `tag_log` a line in order of item_id, so that the document is written by all tasks."""
+    logged = written(tag_log(tags), "tags")
+    n = logged.count()
+    rows = numbered(logged, [], ["item_id"], "place").select("place", F.concat("json", F.when(F.col("place") < n, ",").otherwise("")).alias("json"))
+    head = json.dumps({"meta": {**meta, "total_images": n}}, ensure_ascii=False)[:-1] + ', "images": ['
+    ends = tags.sparkSession.createDataFrame([(0, head), (n + 1, "]}")], "place long, json string")
+    return rows.unionByName(ends)
+
+
 def outcome_log(rows: DataFrame, **run) -> DataFrame:
     """(json) of each outcome (file, status, error, orig_size, new_size), with the settings of the run."""
     settings = [F.lit(v).alias(k) for k, v in run.items()]

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from quarrylight.functions import strings as S
 from quarrylight.operators.numbering import numbered
+from quarrylight.shipping import ship
 
 #: Extensions and folders of each kind of listing.
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tiff", ".gif")
@@ -30,7 +31,7 @@ class Listing:
 
     extensions: tuple[str, ...] = ()
     without: tuple[str, ...] = ()
-    order: tuple[str, ...] = ("path",)
+    order: tuple[str, ...] = ("parts",)
 
 
 LISTINGS = {
@@ -48,9 +49,11 @@ LISTINGS = {
 
 
 def named(files: DataFrame) -> DataFrame:
-    """files (path, ...) with name, stem, ext (lower-cased) and lower_name."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumns({"name": name, "stem": S.stem(name), "ext": S.suffix(name), "lower_name": F.lower(name)})
+    """files (path, ...) with name, stem, ext (lower-cased), lower_name and parts, by which paths are ordered: a folder's files
+    stand together, so a/b comes before a-b."""
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    return files.withColumns({"name": name, "stem": S.stem(name), "ext": S.suffix(name), "lower_name": F.lower(name), "parts": parts})
 
 
 def select_files(files: DataFrame, listing: Listing, recursive: bool = True, subtree: str | None = None) -> DataFrame:
@@ -86,9 +89,10 @@ def listed(spark: SparkSession, folder: str, listing: Listing, recursive: bool =
 
 
 def ordered(files: DataFrame, listing: Listing) -> DataFrame:
-    """files in a listing's order, by path as a tie."""
-    rows = files.withColumn("lower_name", F.lower("name")).orderBy(*listing.order, *(() if "path" in listing.order else ("path",)))
-    return rows if "lower_name" in files.columns else rows.drop("lower_name")
+    """files in a listing's order, by the parts of their paths as a tie."""
+    keys = {"lower_name": F.lower("name"), "parts": F.split("path", "/")}
+    rows = files.withColumns(keys).orderBy(*dict.fromkeys((*listing.order, "parts")))
+    return rows.drop(*(k for k in keys if k not in files.columns))
 
 
 def file_or_folder(spark: SparkSession, path: str, listing: Listing) -> DataFrame:
@@ -146,6 +150,7 @@ def animated_webp(data: bytes | None) -> bool:
 
 def is_animated(ext: Column, head: Column) -> Column:
     """Whether a file of the `animated` listing is: each GIF, and a WebP whose first bytes say so. Others are not read."""
+    ship(SparkSession.active())
 
     @F.pandas_udf("boolean")
     def animated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

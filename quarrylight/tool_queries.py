@@ -49,7 +49,7 @@ def _listing_sql(name: str, x: src.Listing) -> str:
     where = [f"ext in ({', '.join(repr(e) for e in x.extensions)})"] if x.extensions else []
     where += [f"not list_has_any(string_split(path, '/')[:-2], {_sql_list(x.without)})"] if x.without else []
     where += ["not starts_with(path, 'refs/')"] if name == "faces" else []
-    order = ", ".join({"lower_name": "lower(name)"}.get(c, c) for c in (*x.order, "path"))
+    order = ", ".join({"lower_name": "lower(name)", "parts": "string_split(path, '/')"}.get(c, c) for c in dict.fromkeys((*x.order, "parts")))
     return f"select '{name}' as listing, path, row_number() over (order by {order}) as place from named{' where ' + ' and '.join(where) if where else ''}"
 
 
@@ -57,7 +57,7 @@ def _listing_sql(name: str, x: src.Listing) -> str:
 def file_listings(spark, d):
     """What each kind of listing takes, in its order."""
     files = _files(spark, d)
-    parts = [numbered(src.select_files(files, x, subtree="refs" if n == "faces" else None), [], [*dict.fromkeys((*x.order, "path"))], "place").select(F.lit(n).alias("listing"), "path", "place") for n, x in src.LISTINGS.items()]
+    parts = [numbered(src.select_files(files, x, subtree="refs" if n == "faces" else None), [], [*dict.fromkeys((*x.order, "parts"))], "place").select(F.lit(n).alias("listing"), "path", "place") for n, x in src.LISTINGS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -223,11 +223,13 @@ def metadata_lines(spark, d):
     return read(spark, d, "part").select("p_partkey", S.minutes_seconds(F.col("p_retailprice")).alias("clock"), line.alias("line"), quality.alias("quality"))
 
 
-@query("select p_partkey, case when p_partkey % 3 < 2 then round(p_size + 0.1235, 3) end as vmaf, case when p_partkey % 4 > 0 then p_size / 64 end as ssim from part")
+@query("select p_partkey, case when p_partkey % 3 < 2 or p_partkey % 6 = 5 then round(p_size + 0.1235, 3) end as vmaf, case when p_partkey % 4 > 0 then p_size / 64 end as ssim from part")
 def quality_logs(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     score = F.format_string("%.4f", s + 0.1235)
-    vmaf = F.when(k % 3 == 0, F.concat(F.lit('{"pooled": {"mean": '), score, F.lit(', "x": {"mean": 1.0}}}'))).when(k % 3 == 1, F.concat(F.lit("[x] VMAF score: "), score)).otherwise("none")
+    vmaf = F.when(k % 3 == 0, F.concat(F.lit('{"pooled": {"mean": '), score, F.lit(', "x": {"mean": 1.0}}}'))).when(k % 3 == 1, F.concat(F.lit("[x] VMAF score: "), score))
+    vmaf = vmaf.when(k % 12 == 5, F.concat(F.lit('log {"version": "2",\n"pooled_metrics": {"vmaf": {"mean": "'), score, F.lit('"}}} end')))
+    vmaf = vmaf.when(k % 12 == 11, F.concat(F.lit('{"VMAF x": 1, "pooled_metrics": {"vmaf": {"mean": "0"}}, "VMAF score": "'), score, F.lit('"}'))).otherwise("none")
     ssim = F.when(k % 4 > 0, F.concat(F.lit("SSIM All:0.5 (3.0)\nSSIM All:"), F.format_string("%.6f", s / 64), F.lit(" (9.1)"))).otherwise("no such line")
     return read(spark, d, "part").select("p_partkey", S.first_score(vmaf).alias("vmaf"), S.last_value(ssim, "All").alias("ssim"))
 
@@ -278,10 +280,25 @@ def sub_clips(spark, d):
     return T.sub_clip(frames, 5, 20).select("event_id", "user_id")
 
 
-@query(r"select c_custkey, c_name from customer where not regexp_matches(c_name, '^Customer#0*\d*[05]$')")
+STEM_SQL = "stems as (select c_custkey, (['IMG_', 'IMG_', 'img_', 'IMG.'])[(c_custkey % 4 + 1)::int] || lpad(c_nationkey::varchar, 3, '0') || case when c_custkey % 7 = 0 then '' else '_' || c_custkey end || case when c_custkey % 11 = 0 then 'b' else '' end as stem from customer)"
+
+
+def _stems(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    first = F.get(F.array(*map(F.lit, ("IMG_", "IMG_", "img_", "IMG."))), (k % 4).cast("int"))
+    tail = F.concat(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("_"), k.cast("string"))), F.when(k % 11 == 0, "b").otherwise(""))
+    return read(spark, d, "customer").select("c_custkey", F.concat(first, F.lpad(F.col("c_nationkey").cast("string"), 3, "0"), tail).alias("stem"))
+
+
+@query("with " + STEM_SQL + r" select c_custkey, stem from stems where not regexp_full_match(stem, 'IMG_\d+_\d+')")
 def not_yet_named(spark, d):
     """What a series has named already is left alone."""
-    return read(spark, d, "customer").filter(~F.col("c_name").rlike(r"^Customer#0*\d*[05]$")).select("c_custkey", "c_name")
+    return P.not_in_series(_stems(spark, d), "IMG").select("c_custkey", "stem")
+
+
+@query("with " + STEM_SQL + r" select max(try_cast(regexp_extract(stem, '^IMG_(\d+)_(\d+)$', 1) as bigint)) as last, count(*) filter (regexp_full_match(stem, 'IMG_\d+_\d+'))::bigint as named from stems")
+def last_series(spark, d):
+    return P.last_series(_stems(spark, d), "IMG")
 
 
 # --- survivors
@@ -492,15 +509,17 @@ _LAST = str(1 << 62)
 
 
 @query("with g as (select doc_id as item_id, n_chars as size, min(doc_id) over (partition by text) as group_id, count(*) over (partition by text) as n, row_number() over (partition by text order by n_chars desc, doc_id) as r from documents where text is not null), m as (select * from g where n > 1), p as (select group_id, any_value(n) as n, row_number() over (order by any_value(n) desc, group_id) as place from m group by group_id)"
-    + f""" select 0::int as section, 0::bigint as place, 0::bigint as part, '{_head("Duplicates")}<p>' || count(*) filter (r = 1) || ' groups, ' || count(*) filter (r > 1) || ' duplicates (' || count(*) filter (r > 1) || ' exact, 0 near), ' || {_SIZE.format("coalesce(sum(size) filter (r > 1), 0)")} || ' recoverable</p>' as html from m
+    + f""" select 0::int as section, 0::bigint as place, 0::bigint as part, '{_head("Duplicates")}<p class="mode">DRY RUN: no files were moved</p><p>threshold 8, source a &amp; b</p><p>' || count(*) filter (r = 1) || ' groups, ' || count(*) filter (r > 1) || ' duplicates (' || count(*) filter (r > 1) || ' exact, 0 near), ' || {_SIZE.format("coalesce(sum(size) filter (r > 1), 0)")} || ' recoverable</p>' as html from m
 union all select 9, 0, 0, '</body></html>' union all select 1, 0, 0, '<h2>Exact duplicates</h2>' where exists (select 1 from m)
 union all select 1, place, 0, '<section><h3>Group of ' || n || '</h3>' from p union all select 1, place, {_LAST}, '</section>' from p
-union all select 1, place, r, '<div class="card ' || case when r = 1 then 'primary' else 'dup' end || '"><b>' || case when r = 1 then 'PRIMARY' else 'DUP' end || '</b><div>doc &amp; ' || item_id || '</div><div>' || {_SIZE.format("size")} || '</div></div>' from m join p using (group_id)""")
+union all select 1, place, r, '<div class="card ' || case when r = 1 then 'primary' else 'dup' end || '"><b>' || case when r = 1 then 'PRIMARY' else 'DUP' end || '</b>' || case when item_id % 3 = 0 then '<img src="data:image/jpeg;base64,' || base64(encode('t' || item_id)) || '">' else '' end || '<div>doc &amp; ' || item_id || '</div><div>' || case when item_id % 2 = 0 then size || ' characters' else {_SIZE.format("size")} end || '</div></div>' from m join p using (group_id)""")
 def duplicate_report(spark, d):
     """The lines of the report on exact copies."""
     items = Q.text_items(spark, d).select("item_id", "sha256", "size")
-    rows = D.ranked(D.duplicate_groups(items).join(items.select("item_id", "size"), "item_id"), F.desc("size"))
-    return reports.duplicate_report(rows.withColumn("name", F.format_string("doc & %d", "item_id")))
+    rows = D.ranked(D.duplicate_groups(items).join(items.select("item_id", "size"), "item_id"), -F.col("size"))
+    k = F.col("item_id")
+    more = {"name": F.format_string("doc & %d", k), "meta": F.when(k % 2 == 0, F.format_string("%d characters", "size")), "thumb": F.when(k % 3 == 0, F.base64(F.encode(F.format_string("t%d", k), "UTF-8")))}
+    return reports.duplicate_report(rows.withColumns(more), threshold=8.0, source="a & b")
 
 
 @query(CATEGORY_SQL + f""", p as (select person, count(*) as n, row_number() over (order by case person when 'Others' then 2 when 'Group' then 1 else 0 end, person) as place from found group by person)
@@ -521,6 +540,14 @@ def tag_log(spark, d):
     return reports.tag_log(Q._tags(spark, d))
 
 
+@query("with " + Q.TAG_SQL + """, n as (select *, row_number() over (order by item_id) as place, count(*) over () as n from keyed)
+select 0::bigint as place, '{"meta": {"version": "1.0", "threshold": 0.2, "total_images": ' || count(*) || '}, "images": [' as json from keyed union all select count(*) + 1, ']}' from keyed
+union all select place, '{"item_id":' || item_id || ',"file":"' || name || '",' || case when error is null then '"scene":{"label":"' || scene || '","score":' || printf('%.4f', scene_score) || ',"accepted":' || (scene_score >= 0.20) || '},"theme":{"label":"' || theme || '","score":' || printf('%.4f', theme_score) || ',"accepted":' || (theme_score >= 0.20) || '},"posture":' || coalesce('"' || posture || '"', 'null') || ',"group_key":"' || group_key || '","error":null}' else '"scene":null,"theme":null,"posture":null,"group_key":null,"error":"' || error || '"}' end || case when place < n then ',' else '' end from n""")
+def tag_document(spark, d):
+    """The tags as one document, a line a picture."""
+    return reports.tag_document(Q._tags(spark, d), version="1.0", threshold=0.2)
+
+
 @query("""with x as (select 'f' || l_orderkey || '_' || l_linenumber as file, l_orderkey as orig, l_orderkey - l_linenumber + 2 as new, case when l_linenumber = 7 then 'failed' end as err from lineitem)
 select file, '{"crf":24,"preset":"slow","file":"' || file || '","status":"' || case when err is not null then 'error' when new >= orig then 'skipped' else 'ok' end || '","error":' || coalesce('"' || err || '"', 'null') || ',"orig_size":' || orig || ',"new_size":' || new || '}' as json from x""")
 def outcome_log(spark, d):

@@ -139,7 +139,6 @@ def test_vectors(spark):
 def test_rules(spark):
     assert one(spark, R.optimal_fps(F.lit(40), F.lit(5), F.lit(900))) == 5
     assert one(spark, R.trim(F.lit(15.0)))["source"] == "delete" and one(spark, R.trim(F.lit(15.1)))["source"] == "keep"
-    assert one(spark, R.encoder(F.lit("auto"), F.array(F.lit("amf"), F.lit("qsv")), "soft")) == "qsv"
 
 
 def test_segments(spark):
