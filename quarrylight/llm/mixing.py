@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]++"
 CLOSE = 1e-10  #: share of its target by which a source may miss it before copies are whole
 ROUNDS = 200
 BROADCAST = 500_000
+NUMBERED = 1_000  #: documents of one size of a source; with more, all are numbered in ranges of about equally many
 
 
 def target_sizes(sources: DataFrame, most: int) -> DataFrame:
@@ -127,13 +128,14 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int =
     weighed = sizes.groupBy("rank", "size").agg(F.sum(F.col("n") * F.col("rows")).alias("weight"))
     tilt = tilts(weighed, sources, most)
     rate = F.when(F.col("tilt") == float("inf"), F.lit(float(most))).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean"), most))
-    rate = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(rate)
+    # sums of doubles differ in their last digits with the order of their terms; copies follow from rates without these
+    rate = F.round(F.when(F.col("size") == 0, F.lit(0.0)).otherwise(rate), 9)
     planned = sizes.join(small(tilt, BROADCAST), "rank").join(small(sources.select("rank", "target"), BROADCAST), "rank")
     planned = written(planned.select("rank", "size", "rows", "n", "target", rate.alias("rate"), (F.col("size") * F.col("rows")).alias("unit")), "rates")
     whole = planned.groupBy("rank").applyInPandas(_rounded(most), "rank long, size long, rows long, total long")
     whole = written(whole.join(planned.select("rank", "size", "rows", "n", "rate"), ["rank", "size", "rows"]), "copies")
     order = found.withColumn("key", F.xxhash64("doc_id", "text_hash"))
-    order = numbered(order, ["rank", "size", "rows"], ["key", "doc_id", "text_hash"])
+    order = numbered(order, ["rank", "size", "rows"], ["key", "doc_id", "text_hash"], most=NUMBERED)
     out = order.join(small(whole, BROADCAST), ["rank", "size", "rows"])
     copies = F.expr("total div n") + (F.col("number") <= F.col("total") % F.col("n")).cast("long")
     return out.select("doc_id", "source", "text_hash", "rows", "size", "source_size", "target", "rate", copies.alias("copies"))

@@ -68,7 +68,7 @@ def test_terminals_are_n_log_n(spark):
 
 def test_long_words_and_chains(spark):
     long = "x" * 50_000
-    words = {long: 9, long[1:]: 3, long + "y": 4, "a" + long: 2, "abcde": 1, "abcdf": 2, "abcff": 4, "abfff": 8, "affff": 16, "fffff": 16, "fffffz": 40}
+    words = {long: 9, long[1:]: 3, long + "y": 4, "a" + long: 2, "abcde": 1, "abcdf": 2, "abcff": 4, "abfff": 8, "affff": 16, "fffff": 32, "fffffz": 80}
     got = found(spark, words)
     assert got["abcde"] == ("abcdf", "fffffz", 1, 1, 2) and got["fffff"][:2] == ("fffffz", "fffffz")
     assert got[long[1:]] == (long, long, 3, 1, 9) and got[long] == (None, long, 9, 3, None) and got["a" + long][0] == long
