@@ -16,6 +16,9 @@ from quarrylight.shipping import ship
 from quarrylight.storage import cut, small, written
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
+WIDE = 5  #: words of the shingles whose sets are compared
+BANDS, ROWS = 16, 4
+MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 #: (first bit, bits, distance) of three parts of a fingerprint. Two fingerprints at 4 bits or less differ by at most 1
 #: in the first part, or at most 1 in the second, or not at all in the third: otherwise 2 + 2 + 1 bits would differ.
 PARTS = ((0, 25, 1), (25, 25, 1), (50, 14, 0))
@@ -25,18 +28,24 @@ FINE = 200_000_000  #: different fingerprints beyond which an anchor is divided
 BUCKET = hamming.BUCKET
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash of the XXH64 of shingles of so many words, repeats included; bit set if over half of the shingles set it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of each shingle of so many words; of a shorter text the hash of all its words, without words none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     join, digest = b" ".join, xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = np.array([digest(join(words), SEED)], "<u8")
-    else:
-        hashes = np.fromiter((digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))), "<u8", len(words) - shingle + 1)
+        return np.array([digest(join(words), SEED)], "<u8")
+    return np.fromiter((digest(join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)))), "<u8", len(words) - shingle + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the hashes of shingles, repeats included; a bit is set if over half of the shingles set it."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -116,8 +125,63 @@ def links(distinct: DataFrame, bucket: int = BUCKET, fine: bool | None = None) -
     return hamming.links(distinct.select("fp").mapInPandas(replicated, "sig long, anchor long"), THRESHOLD, bucket)
 
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id that chains of links reach.
+def bands_of(text: str | None, shingle: int = WIDE) -> list[int]:
+    """BANDS hashes, each of ROWS minima of the hashes of a text's shingles under different multipliers; none without words. A
+    band of two texts is equal with the probability similarity ** ROWS."""
+    import xxhash
+
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096, None] * MULTIPLIERS
+        least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE, wide: int = WIDE) -> DataFrame:
+    """(src, dst): fingerprints of texts whose sets of `wide` words in a row are at least `similar`, |A ∩ B| / |A ∪ B|.
+
+    Different texts meet by bands; in a band each is compared with three of those that share it, its centres: two by hashes
+    of their own and the least, so that a group of n gives 3 n candidates and not its pairs; texts that are near more than
+    these meet through the groups of other bands and through chains. Every candidate is verified on the whole sets. This adds to
+    the links of fingerprints and takes none away; recall is measured, not proven. What is broadcast is measured before.
+    """
+    ship(docs.sparkSession)
+
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            bands = [np.array(bands_of(t, wide), np.uint64).view(np.int64).tolist() for t in texts]
+            yield pd.DataFrame({"fp": fps, "bands": bands})
+
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, wide)).view(np.int64).tolist() for t in texts], dtype=object)
+
+    key = F.xxhash64("text").alias("key")
+    rows = docs.filter("text is not null").select(key, F.pandas_udf(sketch, "fp long, bands array<long>")("text").alias("x"))
+    texts = written(rows.groupBy("key").agg(F.first("x").alias("x")).select("key", "x.*"), "sketches")
+    held = texts.select("key", F.posexplode("bands").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("band"))
+    by = lambda seed: F.min_by("key", F.xxhash64("key", "band", F.lit(seed)))
+    centres = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.array(by(1), by(2), F.min("key")).alias("centres")).filter("n > 1").drop("n")
+    pairs = held.join(centres, "band").select("key", F.explode(F.array_distinct("centres")).alias("other")).filter("key != other")
+    pairs = written(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    found = docs.filter("text is not null").join(small(wanted, 2_000_000), F.xxhash64("text") == F.col("wanted"), "left_semi")
+    sets = found.select(key, F.pandas_udf(shingles, "array<long>")("text").alias("shingles")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets.join(texts.select("key", "fp"), "key"), "shingles")
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    whole = F.size("a_set") + F.size("b_set") - common
+    return both.filter((common >= similar * whole) & (F.col("a_fp") != F.col("b_fp"))).select(F.col("a_fp").alias("src"), F.col("b_fp").alias("dst")).distinct()
+
+
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id that chains of links reach. With
+    similar, `similar_links` are links too.
 
     Exact copies and equal fingerprints meet first, with partial minima, so that a group of copies is one fingerprint.
     Nulls: a null text has fingerprint 0; null doc_ids are never smallest unless all are null, then the component is null.
@@ -126,7 +190,10 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGL
     all_ = written(fingerprints(docs, shingle), "fingerprints")
     distinct = all_.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct = cut(distinct)
-    roots = connected_components(links(distinct, bucket)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    near = links(distinct, bucket)
+    if similar is not None:
+        near = near.unionByName(similar_links(docs, similar, shingle))
+    roots = connected_components(near).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     label = linked.join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
@@ -135,13 +202,14 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGL
     return all_.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, broadcast_rows: int = 2_000_000, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs for each component, the one with the smallest doc_id; all columns. Of repeated rows with that id, one.
+def keep_one(docs: DataFrame, broadcast_rows: int = 2_000_000, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
+    """One row of docs for each component of `near_duplicates`, the one with the smallest doc_id; all columns. Of repeated rows
+    with that id, one. A very long text is whole; its words and the set of its shingles are in a worker's memory.
 
     Nulls: texts that are null have fingerprint 0 and are one component with empty ones; a component of null ids only keeps
     one row for each different row of docs. An empty table gives none; columns of any name stay.
     """
-    near = near_duplicates(docs, shingle=shingle).select("doc_id", "component_id")
+    near = near_duplicates(docs, shingle=shingle, similar=similar).select("doc_id", "component_id")
     near = cut(near.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")))
     gone = near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__ql_gone")).distinct()
     twice = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("__ql_twice"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylight.llm import language, quality, queries, secrets, simhash
-from tests.llm.test_operators import components, direct, hits, near
+from tests.llm.test_operators import alike, components, direct, hits, near
 
 HERE = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(HERE), reason="no test tables")
@@ -209,7 +209,7 @@ def test_pipeline(spark, texts, items):
     rules = learned(spark, spark.read.parquet(f"{HERE}/documents.parquet"))
     left = {i: t for i, t in sorted(texts.items()) if judged(t, rules)}
     ids = list(left)
-    kept = {ids[k] for k in components(near(list(left.values())))}
+    kept = {ids[k] for k in alike(list(left.values()))}
     left = {i: t for i, t in left.items() if i in kept}
     counts = {i: hits_of(t, items) for i, t in left.items()}
     left = {i: t for i, t in left.items() if not (counts[i][1] > 0 and 20 * counts[i][1] >= counts[i][0])}

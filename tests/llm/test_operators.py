@@ -210,6 +210,61 @@ def test_near_duplicates(spark):
     assert kept == sorted(set(components(fps)))
 
 
+def alike(texts, similar=0.8):
+    """Components of links of fingerprints and of sets of five words in a row, by all pairs."""
+    own = components(near(texts))
+    sets = [set(zip(*(w[i:] for i in range(5)))) or {tuple(w)} for w in ((t or "").lower().split() for t in texts)]
+    place = {c: c for c in own}
+
+    def root(x):
+        while place[x] != x:
+            x = place[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] != {()} and len(sets[i] & sets[j]) >= similar * len(sets[i] | sets[j]):
+                a, b = sorted((root(own[i]), root(own[j])))
+                place[b] = a
+    return [root(c) for c in own]
+
+
+def test_similar_texts(spark):
+    """Copies with words replaced, left out and added: a component wherever shingles say so, texts that share less stay apart."""
+    rnd = random.Random(11)
+    texts = []
+    for k in range(25):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(40, 400))]
+        texts.append(" ".join(words))
+        for _ in range(rnd.randint(1, 4)):
+            copy = list(words)
+            for _ in range(rnd.randint(1, 1 + len(words) // 60)):
+                at = rnd.randrange(len(copy))
+                copy[at : at + 1] = rnd.choice([["other"], [], [copy[at], "more"]])
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words[: len(words) // 2] + [f"v{rnd.randrange(5000)}" for _ in words[len(words) // 2 :]]))
+    texts += [None, "", "one two", "ONE  two", "one", "x y z w v u"]
+    wanted = alike(texts)
+    assert len(set(wanted)) < len(set(components(near(texts))))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, texts), similar=0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts), similar=0.8).collect()) == sorted(set(wanted))
+
+
+def test_bands_meet(spark):
+    """Texts at 0.8 share a band almost always, texts at 0.3 seldom."""
+    rnd = random.Random(12)
+    met = {0.8: 0, 0.3: 0}
+    for similar in met:
+        for _ in range(200):
+            n = 300
+            common = round(n * 2 * similar / (1 + similar))
+            words = [str(rnd.random()) for _ in range(n)]
+            other = words[:common] + [str(rnd.random()) for _ in range(n - common)]
+            met[similar] += bool(set(simhash.bands_of(" ".join(words))) & set(simhash.bands_of(" ".join(other))))
+    assert met[0.8] >= 195 and met[0.3] <= 60
+
+
 def test_statistics_against_brute_force():
     rnd = random.Random(1)
     for _ in range(300):
