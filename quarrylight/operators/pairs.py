@@ -48,6 +48,28 @@ def all_pairs(items: DataFrame, distance, below: float | None = None, block: int
     return rows.groupBy("low", "high").applyInPandas(compare, "i long, j long, d double")
 
 
+def against(queries: DataFrame, items: DataFrame, distance, below: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(i, j, d) of each query i with each item j but itself; with below, only those at d < below. Both have item_id and what
+    distance(a, b) of two pandas frames asks for; it gives the matrix of distances. A null item_id meets none. A call holds a
+    block of either side, and an item goes to as many calls as there are blocks of queries."""
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        right = b["item_id"].to_numpy()
+        for at in range(0, len(a) if len(b) else 0, SLICE):
+            left = a["item_id"].to_numpy()[at : at + SLICE]
+            d = distance(a.iloc[at : at + SLICE], b)
+            wanted = left[:, None] != right
+            if below is not None:
+                wanted &= d < below
+            x, y = np.nonzero(wanted)
+            out.append((left[x], right[y], d[x, y]))
+        return pd.DataFrame(dict(zip("ijd", map(np.concatenate, zip(*out)))))
+
+    there = lambda t: t.filter("item_id is not null").select(*(F.col(c).alias(c) for c in t.columns))
+    return across(there(queries), there(items), compare, "i long, j long, d double", block, block)
+
+
 def across(a: DataFrame, b: DataFrame, f, schema, block_a: int = BLOCK, block_b: int = BLOCK) -> DataFrame:
     """f(x, y) of every block x of a with every block y of b, as rows of schema. Rows are dealt by their content, so a block
     is about as large as asked; each row goes to as many calls as the other side has blocks."""

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.functions import pixels as X
 from quarrylight.functions import rules as R
 from quarrylight.functions import strings as S
 from quarrylight.functions import vectors as V
@@ -15,7 +16,7 @@ from quarrylight.operators import encoders as E
 from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
-from quarrylight.operators.pairs import BLOCK, all_pairs
+from quarrylight.operators.pairs import BLOCK, against, all_pairs
 from quarrylight.plans import files as P
 from quarrylight.registry import ORACLES, QUERIES, query, r6, read
 from quarrylight.storage import small, written
@@ -173,6 +174,54 @@ def sign_hash_pairs(spark, d):
     return D.blocked_pairs(_vectors(spark, d).select("item_id", V.sign_hash(F.col("emb")).alias("sig")), D.DedupSpec.stills(16))
 
 
+PHASH_SQL = """basis as (select u * 8 + v as k, list(cos(pi() * u * (2 * y + 1) / 16) * cos(pi() * v * (2 * x + 1) / 16) order by y, x) as b from range(8) a(u), range(8) c(v), range(8) e(y), range(8) g(x) group by u, v),
+low as (select vec_id, list(list_inner_product(embedding::double[], b) order by k) as f from embeddings, basis group by vec_id),
+phash as (select vec_id, list_sum(list_transform(range(1, 65), lambda k: case when f[k] > (list_sort(f)[32] + list_sort(f)[33]) / 2 then case when k = 1 then -9223372036854775808::hugeint else (1::hugeint << (64 - k)::int) end else 0::hugeint end))::bigint as h from low)"""
+
+
+def _hashed_pictures(spark, d):
+    """Vectors as grey pictures of 8 x 8 pixels."""
+    return _vectors(spark, d).select("item_id", X.perceptual_hash(F.col("emb")).alias("sig"))
+
+
+@query("with " + PHASH_SQL + " select vec_id as item_id, h as sig from phash")
+def picture_hashes(spark, d):
+    return _hashed_pictures(spark, d)
+
+
+@query("with " + PHASH_SQL + " select a.vec_id as i, b.vec_id as j, bit_count(xor(a.h, b.h))::double as d from phash a join phash b on a.vec_id < b.vec_id and ((a.h >> 56) & 255) = ((b.h >> 56) & 255) where bit_count(xor(a.h, b.h)) <= 20")
+def picture_pairs(spark, d):
+    return D.blocked_pairs(written(_hashed_pictures(spark, d), "hashes"), D.DedupSpec.stills(20))
+
+
+BORDER_SQL = """px as (select vec_id, k - 1 as place, abs(trunc(embedding[k]::double * 1000))::int % 256 as r, abs(trunc(embedding[k]::double * 3000))::int % 256 as g, abs(trunc(embedding[k]::double * 7000))::int % 256 as b from (select *, unnest(range(1, 65)) as k from embeddings)),
+outer_px as (select *, greatest(r, g, b) as v, greatest(r, g, b) - least(r, g, b) as gap from px where not (place % 16 >= 1 and place % 16 < 14 and place // 16 >= 0 and place // 16 < 3)),
+hue as (select *, case when gap = 0 then 0.0 when v = r then 60.0::double * (g - b) / gap when v = g then 120 + 60.0::double * (b - r) / gap else 240 + 60.0::double * (r - g) / gap end as hue from outer_px),
+cells as (select vec_id, (floor(round_even(case when hue < 0 then hue + 360 else hue end / 2, 0)::int % 180 * 16 / 180)::int * 8 + floor(case when v = 0 then 0 else round_even(255.0::double * gap / v, 0)::int end * 8 / 256)::int) * 8 + floor(v * 8 / 256)::int as bin from hue),
+hist as (select vec_id, bin, count(*) as n, count(*)::double / sum(count(*)) over (partition by vec_id) as share from cells group by vec_id, bin)"""
+
+
+def _borders(spark, d):
+    """Vectors as pictures of 16 x 4 coloured pixels, and the histograms of their borders."""
+    byte = lambda x, k: (F.abs((x.cast("double") * k).cast("int")) % 256)
+    pixels = F.transform("emb", lambda x: F.struct(byte(x, 1000).alias("r"), byte(x, 3000).alias("g"), byte(x, 7000).alias("b")))
+    return X.border_histograms(_vectors(spark, d).select("item_id", F.lit(16).alias("width"), F.lit(4).alias("height"), pixels.alias("pixels")))
+
+
+@query("with " + BORDER_SQL + " select vec_id as item_id, bin, n::bigint as n, round(share, 6) as share from hist")
+def border_histograms(spark, d):
+    return _borders(spark, d).select("item_id", "bin", "n", r6("share").alias("share"))
+
+
+@query("with " + BORDER_SQL + """, one as (select vec_id, sum(share * share / (share + 1e-10)) as s from hist group by vec_id),
+met as (select a.vec_id as i, b.vec_id as j, sum((a.share - b.share) * (a.share - b.share) / (a.share + b.share + 1e-10) - a.share * a.share / (a.share + 1e-10) - b.share * b.share / (b.share + 1e-10)) as c from hist a join hist b on a.bin = b.bin and a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1, 2)
+select a.vec_id as i, b.vec_id as j, round(greatest(0, least(1, 0.5 * (a.s + b.s + coalesce(c, 0)))), 6) as d from one a join one b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id left join met on met.i = a.vec_id and met.j = b.vec_id""")
+def border_distances(spark, d):
+    """The background term: every twentieth picture against all others by the colours of their borders."""
+    own = written(_borders(spark, d).groupBy("item_id").agg(F.collect_list(F.col("bin").cast("string")).alias("kinds"), F.collect_list("share").alias("shares")), "borders")
+    return against(own.filter(F.col("item_id") % EACH == 0), own, C.chi_square_lists).select("i", "j", r6("d").alias("d"))
+
+
 def _references(spark, d):
     return _vectors(spark, d).filter("item_id < 50").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("person"), F.col("label").alias("person_ord"), "emb")
 
@@ -254,10 +303,14 @@ v as (select *, case when two = 2 and f < 0.22 then greatest(0, least(1, d - 0.0
 w as (select i, j, greatest(0, least(1, e + case when gap = 0 then 0 when gap = 1 then 0.20 else 0.35 end)) as d from v)"""
 
 
-@query("with " + SIGNAL_SQL + " select i, j, round(d, 6) as d from w")
+EACH = 20  #: searches take every row whose id this divides, against all rows
+
+
+@query("with " + SIGNAL_SQL.replace("on x.vec_id < y.vec_id", "on x.vec_id % 20 = 0 and x.vec_id <> y.vec_id") + " select i, j, round(d, 6) as d from w")
 def signal_distance(spark, d):
-    """All pairs by blocks."""
-    return C.all_signal_distances(_signals(spark, d)).select("i", "j", r6("d").alias("d"))
+    """Every twentieth item against all others, by blocks."""
+    items = written(_signals(spark, d), "signals")
+    return against(items.filter(F.col("item_id") % EACH == 0), items, C.signal_matrix).select("i", "j", r6("d").alias("d"))
 
 
 NEAR = 0.28  #: two clusters merge below this mean distance
@@ -309,36 +362,29 @@ def series_names(spark, d):
     return C.series_names(C.cluster_order(members), members)
 
 
-@query("""select a.user_id, a.event_id as i, b.event_id as j, round(1 - exp(-abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) / 3600 / 72), 6) as d from events a join events b on a.user_id is not distinct from b.user_id and (a.ts, a.event_id) < (b.ts, b.event_id)""")
+@query("""select a.user_id, a.event_id as i, b.event_id as j, round(1 - exp(-abs((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6) / 3600 / 72), 6) as d from events a join events b on a.event_id % 20 = 0 and a.user_id is not distinct from b.user_id and a.event_id <> b.event_id""")
 def time_decay(spark, d):
-    """All pairs of a user's events, the earlier one first. Events of a user meet in chunks, so that the pairs of a busy user
+    """Every twentieth event against all others of its user. Events of a user meet in chunks, so that the pairs of a busy user
     are made by many tasks."""
-    at = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
-    e = read(spark, d, "events").select("user_id", at.alias("at"))
+    e = read(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("id"))
     per = e.groupBy(F.col("user_id").alias("same")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
     e = e.join(small(per, 500_000), F.col("user_id").eqNullSafe(F.col("same"))).drop("same")
-    a = e.select("user_id", F.col("at").alias("a"), F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int").alias("chunk"))
-    b = e.select(F.col("user_id").alias("same"), F.col("at").alias("b"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("of"))
-    both = a.join(b, F.col("user_id").eqNullSafe(F.col("same")) & (F.col("chunk") == F.col("of"))).filter(F.col("a") < F.col("b"))
-    gap = (F.col("b.us") - F.col("a.us")) / 1e6
-    return both.select("user_id", F.col("a.id").alias("i"), F.col("b.id").alias("j"), r6(V.time_distance(gap / 3600, 72.0)).alias("d"))
-
-
-MOST_KINDS = 1000  #: event types of a histogram; more is an error, not a cut
+    a = e.select("user_id", F.col("us").alias("a_us"), F.col("id").alias("i"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    b = e.filter(F.col("id") % EACH == 0).select(F.col("user_id").alias("same"), F.col("us").alias("b_us"), F.col("id").alias("q"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("of"))
+    both = a.join(b, F.col("user_id").eqNullSafe(F.col("same")) & (F.col("chunk") == F.col("of"))).filter("i != q")
+    gap = F.abs(F.col("b_us") - F.col("a_us")) / 1e6
+    return both.select("user_id", F.col("q").alias("i"), F.col("i").alias("j"), r6(V.time_distance(gap / 3600, 72.0)).alias("d"))
 
 
 @query("""with kinds as (select list(distinct event_type order by event_type) as ks from events), c as (select user_id, event_type, count(*) as n from events group by all),
 h as (select user_id, list_transform(ks, lambda k: coalesce(m[k], 0)::double / t) as h from (select user_id, map(list(event_type), list(n)) as m, sum(n)::double as t from c group by user_id), kinds)
-select a.user_id as i, b.user_id as j, round(greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, len(a.h) + 1), lambda k: (a.h[k] - b.h[k]) * (a.h[k] - b.h[k]) / (a.h[k] + b.h[k] + 1e-10))))), 6) as d from h a join h b on a.user_id < b.user_id""")
+select a.user_id as i, b.user_id as j, round(greatest(0, least(1, 0.5 * list_sum(list_transform(range(1, len(a.h) + 1), lambda k: (a.h[k] - b.h[k]) * (a.h[k] - b.h[k]) / (a.h[k] + b.h[k] + 1e-10))))), 6) as d from h a join h b on a.user_id % 20 = 0 and a.user_id <> b.user_id""")
 def chi_square_pairs(spark, d):
-    """All pairs by blocks."""
-    e = read(spark, d, "events")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(MOST_KINDS + 1).collect()]
-    if len(kinds) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} event types; a histogram must fit in a row")
-    h = e.groupBy(F.col("user_id").alias("item_id")).agg(F.array(*(F.count_if(F.col("event_type") == k).cast("double") for k in kinds)).alias("n"))
-    h = h.select("item_id", F.transform("n", lambda x: x / V.total(F.col("n"))).alias("h"))
-    return all_pairs(h, lambda a, b: C.chi_square_matrix(np.stack(a["h"]), np.stack(b["h"]))).select("i", "j", r6("d").alias("d"))
+    """Every twentieth user against all others, by what they did; there may be any number of kinds."""
+    kinds = read(spark, d, "events").filter("event_type is not null").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    per = kinds.groupBy(F.col("user_id").alias("item_id")).agg(F.collect_list("event_type").alias("kinds"), F.collect_list(F.col("n").cast("double")).alias("ns"))
+    h = written(per.select("item_id", "kinds", F.transform("ns", lambda x: x / V.total(F.col("ns"))).alias("shares")), "histograms")
+    return against(h.filter(F.col("item_id") % EACH == 0), h, C.chi_square_lists).select("i", "j", r6("d").alias("d"))
 
 
 @query("""with lab as (select label, list_transform(range(1, 65), lambda k: list_avg(list_transform(l, lambda e: e[k]::double))) as c from (select label, list(embedding order by vec_id) as l from embeddings group by label)),
