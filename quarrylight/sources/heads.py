@@ -30,7 +30,7 @@ FIELDS = "path string, size long, mtime double, head binary, index binary, n_rea
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _store(path: str):
+def store_of(path: str):
     """(file system, path in it) of a folder of any store that Arrow reaches; without a scheme it is a local one."""
     from pyarrow import fs
 
@@ -56,7 +56,7 @@ class HeadReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         from pyarrow import fs
 
-        store, top = _store(self.folder)
+        store, top = store_of(self.folder)
         found = []
         for x in store.get_file_info(fs.FileSelector(top, recursive=True)):
             inner = x.path[len(top.rstrip("/")) + 1 :]
@@ -67,7 +67,7 @@ class HeadReader(DataSourceReader):
         return [Files(found[k : k + self.files]) for k in range(0, len(found), self.files)]
 
     def read(self, partition: Files | None) -> Iterator[pa.RecordBatch]:
-        store, top = _store(self.folder)
+        store, top = store_of(self.folder)
         rows, held = [], 0
         for path, size, mtime in partition.files if partition else ():  # an empty folder is one task without a partition
             try:
@@ -119,7 +119,7 @@ class FileWriter(DataSourceArrowWriter):
         self.folder = options["path"]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        store, top = _store(self.folder)
+        store, top = store_of(self.folder)
         for batch in iterator:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 at = f"{top.rstrip('/')}/{path}"

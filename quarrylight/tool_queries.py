@@ -17,6 +17,7 @@ from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
 from quarrylight.operators.numbering import numbered
+from quarrylight.plans import carry
 from quarrylight.plans import files as P
 from quarrylight.registry import query, r6, read
 from quarrylight.sinks import reports
@@ -280,6 +281,23 @@ def sub_clips(spark, d):
     return T.sub_clip(frames, 5, 20).select("event_id", "user_id")
 
 
+@query("""with r as (select s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey) as n, s_nationkey from supplier)
+select case when s_suppkey % 5 = 0 then 'in/f' || s_suppkey || '.txt' else 'out/' || s_nationkey || '/f' || n || '.txt' end as path, 'supplier ' || s_suppkey as content, case when s_suppkey % 5 = 0 then 'restored' else 'moved' end as state from r""")
+def carried_plan(spark, d):
+    """A file for each supplier, renamed within its nation; a fifth of the new names are another file's already. What the files hold
+    then, and what the journal says."""
+    k = F.col("s_suppkey")
+    folder = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    rows = numbered(read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), ["s_nationkey"], ["s_suppkey"], "n")
+    rows = rows.select(F.format_string("in/f%d.txt", k).alias("src_path"), F.format_string("out/%d/f%d.txt", "s_nationkey", "n").alias("dst_path"), F.format_string("supplier %d", k).alias("content"), (k % 5 == 0).alias("taken"))
+    files = rows.select(F.col("src_path").alias("path"), F.encode("content", "UTF-8").alias("content"))
+    H.write_files(files.unionByName(rows.filter("taken").select(F.col("dst_path").alias("path"), F.encode(F.lit("other"), "UTF-8").alias("content"))), folder)
+    outcome = carry.carry_out(rows, folder, f"{folder}-journal", execute=True)
+    at = F.when(F.col("state") == "moved", F.col("dst_path")).otherwise(F.col("src_path"))
+    held = H.heads(spark, folder, src.Listing((".txt",))).select("path", F.decode("head", "UTF-8").alias("content"))
+    return held.join(outcome.select(at.alias("path"), "state"), "path")
+
+
 STEM_SQL = "stems as (select c_custkey, (['IMG_', 'IMG_', 'img_', 'IMG.'])[(c_custkey % 4 + 1)::int] || lpad(c_nationkey::varchar, 3, '0') || case when c_custkey % 7 = 0 then '' else '_' || c_custkey end || case when c_custkey % 11 = 0 then 'b' else '' end as stem from customer)"
 
 
