@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from quarrylight.functions.strings import person_key, stem
+from quarrylight.operators import vector_index
 from quarrylight.operators.numbering import numbered
 from quarrylight.operators.pairs import across
 from quarrylight.shipping import ship
-from quarrylight.storage import fits, small
+from quarrylight.storage import fits, small, written
 
 LARGEST_REFERENCES = 20_000  #: references that are sent to every task; more meet the vectors by blocks
 
@@ -55,7 +56,8 @@ def scores(faces: DataFrame, references: DataFrame, keys: list[str], least: floa
     """keys, person, person_ord, score: each vector's best cosine with a person, by matrix products; with `least`, those at
     that score or more; with `best`, the first best person only. A null vector has none.
 
-    References are measured before they are sent to every task; more than that meet the vectors block by block.
+    References are measured before they are sent to every task. Of more, the best one is looked up in an index of cells where
+    the key is one long (`vector_index`, scores to 9 decimals); otherwise they meet the vectors block by block.
     """
     ship(faces.sparkSession)
     faces = faces.filter("emb is not null").select(*keys, "emb")
@@ -84,6 +86,11 @@ def scores(faces: DataFrame, references: DataFrame, keys: list[str], least: floa
                 yield rows(part, sent.value)
 
         return faces.mapInPandas(batches, kinds)
+    if best and least is None and len(keys) == 1 and isinstance(faces.schema[keys[0]].dataType, LongType):
+        known = written(numbered(refs, [], ["person_ord", "person"], "ref_id"), "references")
+        index = vector_index.build(known.select("ref_id", "emb"))
+        top = vector_index.search(faces.withColumnRenamed(keys[0], "item_id"), index).withColumnRenamed("item_id", keys[0])
+        return top.join(known.drop("emb"), "ref_id").select(*keys, "person", "person_ord", "score")
     met = across(faces, refs, rows, kinds).groupBy(*keys, "person", "person_ord").agg(F.max("score").alias("score"))
     if not best:
         return met

@@ -16,6 +16,7 @@ from quarrylight.operators import encoders as E
 from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
 from quarrylight.operators import tables as T
+from quarrylight.operators import vector_index as VI
 from quarrylight.operators.pairs import BLOCK, against, all_pairs
 from quarrylight.plans import files as P
 from quarrylight.registry import ORACLES, QUERIES, query, r6, read
@@ -222,6 +223,15 @@ def border_distances(spark, d):
     return against(own.filter(F.col("item_id") % EACH == 0), own, C.chi_square_lists).select("i", "j", r6("d").alias("d"))
 
 
+@query("""with s as (select a.vec_id as item_id, b.vec_id as ref_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[])) + 1e-8), 9) as score from embeddings a join embeddings b on a.vec_id % 20 = 0)
+select item_id, rank::int as rank, ref_id, round(score, 6) as score from (select *, row_number() over (partition by item_id order by score desc, ref_id) as rank from s) where rank <= 5""")
+def top_vectors(spark, d):
+    """The five nearest of all vectors, itself among them, of every twentieth one, from an index of cells."""
+    v = _vectors(spark, d)
+    index = VI.build(v.select(F.col("item_id").alias("ref_id"), "emb"))
+    return VI.search(v.filter(F.col("item_id") % EACH == 0), index, 5).select("item_id", "rank", "ref_id", r6("score").alias("score"))
+
+
 def _references(spark, d):
     return _vectors(spark, d).filter("item_id < 50").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("person"), F.col("label").alias("person_ord"), "emb")
 
