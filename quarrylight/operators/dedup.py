@@ -149,7 +149,12 @@ def duplicate_groups(items: DataFrame, spec: DedupSpec | None = None) -> DataFra
     groups that a near link joins are still `exact`. Without a spec only exact copies are found.
     """
     exact = written(exact_edges(items, spec.content if spec else "sha256"), "exact")
-    edges = exact if spec is None else exact.unionByName(near_edges(items, spec))
+    return grouped(exact, None if spec is None else near_edges(items, spec))
+
+
+def grouped(exact: DataFrame, near: DataFrame | None) -> DataFrame:
+    """duplicate_groups from exact and near edges (src, dst, kind)."""
+    edges = exact if near is None else exact.unionByName(near)
     groups = connected_components(edges.select("src", "dst")).select(F.col("component").alias("group_id"), F.col("node").alias("item_id"))
     member = exact.select(F.col("src").alias("item_id")).unionByName(exact.select(F.col("dst").alias("item_id"))).distinct().withColumn("in_exact", F.lit(True))
     label = groups.join(member, "item_id", "left").groupBy("group_id").agg(F.min(F.coalesce("in_exact", F.lit(False))).alias("all_exact"))

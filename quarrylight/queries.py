@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from quarrylight.operators import vector_index as VI
 from quarrylight.operators.pairs import BLOCK, against, all_pairs
 from quarrylight.plans import files as P
 from quarrylight.registry import ORACLES, QUERIES, query, r6, read
-from quarrylight.storage import small, written
+from quarrylight.storage import shared_dir, small, written
+from quarrylight.streaming import groups as SG
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -81,6 +84,16 @@ def near_dup_groups(spark, d):
     return D.duplicate_groups(signed_items(spark, d), D.DedupSpec.stills())
 
 
+@query(GROUP_SQL)
+def batched_groups(spark, d):
+    """The same groups from three batches, as if they had come one after the other."""
+    store = f"{shared_dir(spark)}/groups/{uuid.uuid4().hex}"
+    items = signed_items(spark, d)
+    for k in (2, 0, 1):
+        SG.add_batch(items.filter(F.col("item_id") % 3 == k), store, k)
+    return SG.groups(spark, store)
+
+
 @query("with recursive " + EDGE_SQL + " select ((select count(*) - count(distinct group_id) from comp) - (select count(*) - count(distinct src) from exact))::bigint as near_merges")
 def near_merge_count(spark, d):
     return D.merges(signed_items(spark, d), D.DedupSpec.stills())

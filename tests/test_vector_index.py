@@ -71,7 +71,7 @@ def test_references_beyond_the_broadcast(spark, monkeypatch):
     refs = [(f"p{k % 7}", k % 7, rnd.normal(size=8).tolist()) for k in range(60)] + [("same", 8, [1.0] * 8), ("twin", 9, [1.0] * 8)]
     faces = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(40)] + [(99, [2.0] * 8), (100, None)], ASKED)
     references = spark.createDataFrame(refs, "person string, person_ord int, emb array<double>")
-    rows = lambda: {r["item_id"]: (r["person"], round(r["score"], 8)) for r in M.nearest_reference(faces, references, ["item_id"], 0.3).collect()}
+    rows = lambda: {r["item_id"]: (r["person"], pytest.approx(r["score"], abs=1e-8)) for r in M.nearest_reference(faces, references, ["item_id"], 0.3).collect()}
     sent = rows()
     monkeypatch.setattr(M, "LARGEST_REFERENCES", 3)
     assert rows() == sent and sent[99][0] == "same" and 100 not in sent
