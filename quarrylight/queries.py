@@ -17,6 +17,7 @@ from quarrylight.operators import dedup as D
 from quarrylight.operators import encoders as E
 from quarrylight.operators import links as L
 from quarrylight.operators import matching as M
+from quarrylight.operators import metrics
 from quarrylight.operators import tables as T
 from quarrylight.operators import vector_index as VI
 from quarrylight.operators.pairs import BLOCK, against, all_pairs
@@ -521,6 +522,14 @@ def batch_outcome(spark, d):
     return T.compress_summary(_outcomes(spark, d)).select("n_ok", "n_skipped", "n_error", F.round("saved", 1).alias("saved"), F.round("avg_savings_pct", 4).alias("avg_savings_pct"))
 
 
+@query("with " + OUT_SQL + " select 'outcomes' as run, count(*)::bigint as n_rows, count(*) filter (status = 'ok')::bigint as n_ok, count(*) filter (status = 'skipped')::bigint as n_skipped, count(*) filter (status = 'error')::bigint as n_error, round(sum(orig - new) filter (status = 'ok'), 1) as saved from s")
+def observed_run(spark, d):
+    """The summary of a run that writes its outcomes, from the job that writes them."""
+    with metrics.Run("outcomes", **metrics.outcome_metrics()) as run:
+        written(run.watch(_outcomes(spark, d)), "outcomes")
+    return run.summary(spark).select("run", "n_rows", "n_ok", "n_skipped", "n_error", F.round("saved", 1).alias("saved"))
+
+
 @query("with " + OUT_SQL + " select count(*) filter (status = 'ok')::bigint as converted, count(*) filter (status = 'error')::bigint as failed, round(sum(orig), 1) as orig_total, round(sum(new) filter (status = 'ok'), 1) as new_total, round(sum(orig) - sum(new) filter (status = 'ok'), 1) as saved_reported, round(sum(orig - new) filter (status = 'ok'), 1) as saved_true from s")
 def convert_summary(spark, d):
     out = T.convert_summary(_outcomes(spark, d))
