@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,7 @@ from quarrylight.functions import vectors as V
 from quarrylight.operators.components import connected_components
 from quarrylight.operators.frame_lists import list_links
 from quarrylight.operators.hamming import bands, first_band, links
+from quarrylight.shipping import ship
 from quarrylight.storage import written
 
 
@@ -45,44 +51,62 @@ class DedupSpec:
         return DedupSpec(V.mean_hamming, F.bround(F.col("duration_s") / 3, 0).cast("long"), "frame_hashes", threshold=threshold, band=near, lists=True)
 
 
-def words(text: str = "text") -> Column:
-    return F.array_remove(F.split(text, r"[ \t\n\r]+"), "")
+WORDS = re.compile("[^ \\t\\n\\r]+")
+REMEMBERED = 300_000  #: words whose hashes a worker holds
 
 
-def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sig) of rows (keys, w): 64-bit SimHash of the words of a key, by the first 16 hex digits of their MD5; a bit is
-    set if more words set it than not. Votes are partial sums in generated code, two counters a sum, as no key has 2^31
-    words; one row a key and task is shuffled."""
-    digits = F.substring(F.md5("w"), 1, 16)
-    hashed = rows.select(*keys, digits.alias("x"))
-    top = F.instr(F.lit("0123456789abcdef"), F.substring("x", 1, 1)) - 1
-    rows = hashed.select(*keys, F.shiftleft(top.cast("long"), 60).bitwiseOR(F.conv(F.substring("x", 2, 15), 16, 10).cast("long")).alias("h"))
-    pair = F.lit(1 << 32 | 1).cast("long")
-    votes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"c{k}") for k in range(32)))
-    sig = F.lit(0).cast("long")
-    for k in range(64):
-        count = F.shiftrightunsigned(f"c{k % 32}", 32) if k >= 32 else F.col(f"c{k}").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-        sig = sig.bitwiseOR(F.when(2 * count > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return votes.select(*keys, sig.alias("sig"))
+def _word_hash(word: str, known: dict[str, int]) -> int:
+    """The first 16 hex digits of a word's MD5."""
+    h = known.get(word)
+    if h is None:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        h = known[word] = int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:8])
+    return h
+
+
+def simhash(words: list[str], known: dict[str, int]) -> int:
+    """64-bit SimHash of words, as a signed long: a bit is set if more of their hashes set it than not; 0 without words. Votes
+    are added up some thousand words at a time, so a long text costs no more memory than its words."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(words), 1 << 16):
+        hashed = np.fromiter((_word_hash(w, known) for w in words[at : at + (1 << 16)]), ">u8")
+        ones += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words)).view(">i8")[0])
 
 
 def text_signatures(items: DataFrame) -> DataFrame:
-    """items (item_id, text, ...) with sig, the SimHash of the different words of a text, 0 without words. Kept as a table
-    without the texts, so that what follows reads a few columns and hashes no word again."""
-    signed = simhash(items.select("item_id", F.explode(F.array_distinct(words())).alias("w")), ["item_id"])
-    out = items.drop("text").join(signed, "item_id", "left").withColumn("sig", F.coalesce("sig", F.lit(0).cast("long")))
-    return written(out, "signatures")
+    """items (item_id, text, ...) with sig, the SimHash of the different words of a text, 0 without words. A text is signed where
+    it lies; what is kept as a table has no texts, so that what follows reads a few columns and hashes no word again."""
+    ship(items.sparkSession)
+
+    @F.pandas_udf("long")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            yield pd.Series([simhash(list(set(WORDS.findall(t or ""))), known) for t in texts], dtype="int64")
+
+    return written(items.withColumn("sig", signed("text")).drop("text"), "signatures")
 
 
 def chunk_signatures(items: DataFrame, chunks: int = 8) -> DataFrame:
     """items (item_id, text) with frame_hashes: the whole text in at most `chunks` consecutive parts of about equally many
     words, the SimHash of each, in order; empty without words."""
-    counted = items.select("item_id", words().alias("ws")).withColumn("n", F.size("ws"))  # before the rows are made: those carry no text
-    rows = counted.select("item_id", "n", F.posexplode("ws").alias("pos", "w"))
-    rows = rows.withColumn("chunk", F.floor(F.col("pos") * F.least(F.lit(chunks), F.col("n")) / F.col("n")).cast("int"))
-    signed = simhash(rows, ["item_id", "chunk"]).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "sig"))).alias("parts"))
-    hashes = signed.select("item_id", F.transform("parts", lambda x: x["sig"]).alias("frame_hashes"))
-    return items.drop("text").join(hashes, "item_id", "left").withColumn("frame_hashes", F.coalesce("frame_hashes", F.array().cast("array<long>")))
+    ship(items.sparkSession)
+
+    def parts(text: str | None, known: dict[str, int]) -> list[int]:
+        words = WORDS.findall(text or "")
+        n = min(chunks, len(words))
+        ends = [-(-len(words) * k // n) for k in range(n + 1)] if n else []
+        return [simhash(words[a:b], known) for a, b in zip(ends, ends[1:])]
+
+    @F.pandas_udf("array<long>")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            yield pd.Series([parts(t, known) for t in texts], dtype=object)
+
+    return items.withColumn("frame_hashes", signed("text")).drop("text")
 
 
 def exact_edges(items: DataFrame, content: str = "sha256") -> DataFrame:
