@@ -50,7 +50,7 @@ def sample(seed, n=300, names=("a", "B", "é", "z", None)):
     return [(i, " ".join(["w"] * int(rnd.paretovariate(0.9) * 5)), rnd.choice(names[: 1 + i % len(names)])) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed, most", [(1, 3), (2, 3), (3, 2)])
+@pytest.mark.parametrize("seed, most", [(1, 3), (3, 2)])
 def test_targets_rates_and_copies(spark, seed, most):
     docs = sample(seed)
     plan = mixing.mixing_plan(rows(spark, docs), most=most).collect()
