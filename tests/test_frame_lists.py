@@ -52,8 +52,7 @@ def groups(pairs):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("threshold", [8, 3, 12.5, 0])
-@pytest.mark.parametrize("timed, bucket", [(False, 10_000), (False, 20), (True, 20)])
+@pytest.mark.parametrize("threshold, timed, bucket", [(8, False, 10_000), (8, False, 20), (8, True, 20), (3, False, 20), (12.5, True, 20), (0, False, 20)])
 def test_all_pairs(spark, threshold, timed, bucket):
     rows = sample(f"{threshold}{bucket}", 120)
     wanted = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b, threshold, timed)]
