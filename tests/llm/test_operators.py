@@ -644,3 +644,60 @@ def test_labels_that_are_no_languages(spark):
     rows = docs(spark, ["some words"] * 2).crossJoin(spark.range(3000)).withColumn("lang", F.col("id").cast("string"))
     with pytest.raises(ValueError, match="languages"):
         language.fit(rows, F.lit(True))
+
+
+def test_least_squares_against_active_sets():
+    """The solver beside Lawson and Hanson's active sets, on histograms that patterns fill and on others."""
+    rnd = np.random.default_rng(7)
+    for case in range(6):
+        sizes = sorted(rnd.choice(np.arange(1, 30), 6, replace=False).tolist())
+        patterns = sorted({tuple(sorted(rnd.choice(sizes, rnd.integers(1, 4)).tolist(), reverse=True)) for _ in range(12)})
+        a = np.zeros((30, len(patterns)))
+        for j, p in enumerate(patterns):
+            for length in p:
+                a[length, j] += 1
+        h = a @ rnd.integers(0, 50, len(patterns)) if case % 2 else np.bincount(rnd.choice(sizes, 400), minlength=30)
+        x = packing.least_squares(patterns, h, 5000)
+        assert (x >= 0).all() and np.linalg.norm(a @ x - h) <= np.linalg.norm(a @ active_sets(a, h) - h) + 1e-3 * np.linalg.norm(h)
+
+
+def active_sets(a, b):
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        w = a.T @ (b - a @ x)
+        w[free] = -np.inf
+        if free.all() or w.max() <= 1e-9 * max(1, np.abs(b).max()):
+            return x
+        free[int(w.argmax())] = True
+        while True:
+            s = np.zeros_like(x)
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (s[free] > 1e-12).all():
+                x = s
+                break
+            low = free & (s <= 1e-12)
+            step = np.min(x[low] / np.maximum(x[low] - s[low], 1e-300))
+            x = x + step * (s - x)
+            free &= x > 1e-12
+            x[~free] = 0
+
+
+def test_centroids_against_plain_sums():
+    """idf and centroids worked out entry by entry."""
+    rnd = np.random.default_rng(2)
+    counts = rnd.poisson(0.8, (40, 12))
+    there = (counts > 0).sum(axis=0)
+    idf = language.idf_of(40, there)
+    for k in range(12):
+        assert abs(idf[k] - (np.log(41 / (1 + sum(1 for row in counts if row[k]))) + 1)) < 1e-5
+    c, accepts = language.centroids_of(counts, idf, 1)
+    rows = []
+    for row in counts:
+        v = [np.sqrt(x) * w for x, w in zip(row, idf)]
+        n = np.sqrt(sum(x * x for x in v))
+        rows.append([x / max(n, 1e-12) for x in v])
+    mean = [sum(r[k] for r in rows) / 40 for k in range(12)]
+    mean = [x / np.sqrt(sum(y * y for y in mean)) for x in mean]
+    assert np.allclose(c[0], mean, atol=1e-5)
+    near = [sum(x * y for x, y in zip(r, mean)) for r in rows]
+    assert abs(accepts[0] - 0.9 * np.quantile(near, language.REJECT)) < 1e-4
