@@ -12,21 +12,21 @@ UNITS = ("B", "KB", "MB", "GB", "TB")
 FORBIDDEN = r'[<>:"/\\|?*]'
 
 
-def format_size(n: Column) -> Column:
+def format_size(n: Column, units: tuple[str, ...] = UNITS) -> Column:
     """Bytes with one decimal and no space; 0 is 0B; the last unit takes all that is larger."""
     out = F.when(n == 0, "0B")
-    for k, unit in enumerate(UNITS):
+    for k, unit in enumerate(units):
         value = F.format_string("%.1f" + unit, F.bround(n / F.lit(float(1024**k)), 1))
-        out = out.when(n < 1024 ** (k + 1), value) if k < len(UNITS) - 1 else out.otherwise(value)
+        out = out.when(n < 1024 ** (k + 1), value) if k < len(units) - 1 else out.otherwise(value)
     return out
 
 
-def format_size_spaced(n: Column) -> Column:
-    """Bytes with two decimals and a space; 0 and less is 0 B."""
+def format_size_spaced(n: Column, units: tuple[str, ...] = UNITS) -> Column:
+    """Bytes with two decimals and a space; 0 and less is 0 B; the last unit takes all that is larger."""
     out = F.when(n <= 0, "0 B")
-    for k, unit in enumerate(UNITS):
+    for k, unit in enumerate(units):
         value = F.format_string("%.2f " + unit, F.bround(n / F.lit(float(1024**k)), 2))
-        out = out.when(n < 1024 ** (k + 1), value) if k < len(UNITS) - 1 else out.otherwise(value)
+        out = out.when(n < 1024 ** (k + 1), value) if k < len(units) - 1 else out.otherwise(value)
     return out
 
 
