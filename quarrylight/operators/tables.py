@@ -203,6 +203,24 @@ def search_steps(items: DataFrame, phases=PHASES) -> DataFrame:
     return rows.filter((F.col("phase") != "frames") | (F.ceil(F.col("frames") / F.col("step")) >= 2))
 
 
+def first_fitting(items: DataFrame, size, phases=PHASES) -> DataFrame:
+    """`first_under` of `search_steps` where size(phase, step), columns, says how large a try of an item (item_id, original,
+    target, frames, ...) is: the tries stay in the item's own row, so nothing is shuffled or sorted. A row for each item."""
+    tries = F.array(*(F.struct(F.lit(name).alias("phase"), F.lit(step).alias("step")) for name, steps in phases for step in steps))
+    enough = lambda x: (x["phase"] != "frames") | (F.ceil(F.col("frames") / x["step"]) >= 2)
+    sized = F.transform(F.filter(tries, enough), lambda x: F.struct(x["phase"].alias("phase"), x["step"].alias("step"), size(x["phase"], x["step"]).alias("size")))
+    rows = items.withColumn("p", F.get(F.filter(sized, lambda x: x["size"] <= F.col("target")), F.lit(0)))
+    return _outcomes_of(rows)
+
+
+def _outcomes_of(rows: DataFrame) -> DataFrame:
+    """(item_id, outcome, phase, step, size) of rows (item_id, original, target, p), p the first try that fits, or null."""
+    whole = F.col("original") <= F.col("target")
+    outcome = F.when(whole, "unchanged").when(F.col("p").isNotNull(), "reduced").otherwise("restored")
+    kept = lambda c: F.when(F.coalesce(~whole, F.lit(True)), F.col(f"p.{c}"))
+    return rows.select("item_id", outcome.alias("outcome"), kept("phase").alias("phase"), kept("step").alias("step"), F.coalesce(kept("size"), "original").alias("size"))
+
+
 def first_under(tries: DataFrame) -> DataFrame:
     """(item_id, outcome, phase, step, size) of tries (item_id, original, target, phase, place, step, size): `unchanged` where the
     original is at or under the target; `reduced`, with the first try in place that is; else `restored`. The size is that of
@@ -211,10 +229,7 @@ def first_under(tries: DataFrame) -> DataFrame:
     Tries of an item meet in partial minima, so the order of phases costs no sort."""
     fits_in = F.col("size") <= F.col("target")
     per = tries.groupBy("item_id").agg(F.first("original").alias("original"), F.first("target").alias("target"), F.min(F.when(fits_in, F.struct("place", "phase", "step", "size"))).alias("p"))
-    whole = F.col("original") <= F.col("target")
-    outcome = F.when(whole, "unchanged").when(F.col("p").isNotNull(), "reduced").otherwise("restored")
-    kept = lambda c: F.when(F.coalesce(~whole, F.lit(True)), F.col(f"p.{c}"))
-    return per.select("item_id", outcome.alias("outcome"), kept("phase").alias("phase"), kept("step").alias("step"), F.coalesce(kept("size"), "original").alias("size"))
+    return _outcomes_of(per)
 
 
 # --- caches
