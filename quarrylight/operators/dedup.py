@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vectors as V
 from quarrylight.operators.components import connected_components
-from quarrylight.operators.frame_lists import list_links
+from quarrylight.operators.frame_lists import list_links, list_pairs
 from quarrylight.operators.hamming import bands, first_band, links
 from quarrylight.shipping import ship
 from quarrylight.storage import written
@@ -119,10 +119,14 @@ def blocked_pairs(items: DataFrame, spec: DedupSpec) -> DataFrame:
     """(i, j, d), i < j, of the same block at distance threshold or less; null signatures pair with none.
 
     An equi-join on the block; AQE splits a block that is too large. Signatures of bits meet in bands within their block, of
-    which near ones share at least one, so that fewer pairs are compared and each is found once. Without a block every
+    which near ones share at least one, so that fewer pairs are compared and each is found once; lists of them are compared in
+    chunks of their block (`list_pairs`). Without a block every
     pair is compared: only for small inputs. All pairs are the result; for groups, `near_edges` has fewer.
     """
     keys = ["item_id", spec.signature] + (["duration_s"] if spec.band else [])
+    if spec.lists and spec.block is not None and spec.threshold >= 0:
+        lists = items.filter(F.col(spec.signature).isNotNull()).select("item_id", F.col(spec.signature).alias("frames"), spec.block.alias("block"), *keys[2:])
+        return list_pairs(lists, spec.threshold, spec.band is not None)
     rows = items.filter(F.col(spec.signature).isNotNull()).select(*keys, (spec.block if spec.block is not None else F.lit(0)).alias("block"))
     meet = ["block"]
     if spec.bits and 0 <= spec.threshold < spec.bits:
