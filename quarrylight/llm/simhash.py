@@ -143,10 +143,11 @@ def bands_of(text: str | None, shingle: int = WIDE) -> list[int]:
 def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE, wide: int = WIDE) -> DataFrame:
     """(src, dst): fingerprints of texts whose sets of `wide` words in a row are at least `similar`, |A ∩ B| / |A ∪ B|.
 
-    Different texts meet by bands; in a band each is compared with three of those that share it, its centres: two by hashes
-    of their own and the least, so that a group of n gives 3 n candidates and not its pairs; texts that are near more than
-    these meet through the groups of other bands and through chains. Every candidate is verified on the whole sets. This adds to
-    the links of fingerprints and takes none away; recall is measured, not proven. What is broadcast is measured before.
+    Different texts meet by bands. First each is compared with three of those that share a band, its centres: two by hashes of their
+    own and the least, so that a group of near copies is one component after 3 n candidates. Then, in each band, all pairs
+    that are in different components yet are compared, but for those whose sets are of too unequal sizes: of texts that share a
+    band no link between components is lost. Every candidate is verified on the whole sets. This adds to the links of fingerprints and
+    takes none away; that near texts share a band is likely, not certain: recall is measured. What is broadcast is measured before.
     """
     ship(docs.sparkSession)
 
@@ -154,29 +155,46 @@ def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE,
         for texts in batches:
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             bands = [np.array(bands_of(t, wide), np.uint64).view(np.int64).tolist() for t in texts]
-            yield pd.DataFrame({"fp": fps, "bands": bands})
+            yield pd.DataFrame({"fp": fps, "bands": bands, "n": [len(np.unique(shingle_hashes(t, wide))) for t in texts]})
 
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, wide)).view(np.int64).tolist() for t in texts], dtype=object)
 
     key = F.xxhash64("text").alias("key")
-    rows = docs.filter("text is not null").select(key, F.pandas_udf(sketch, "fp long, bands array<long>")("text").alias("x"))
+    rows = docs.filter("text is not null").select(key, F.pandas_udf(sketch, "fp long, bands array<long>, n int")("text").alias("x"))
     texts = written(rows.groupBy("key").agg(F.first("x").alias("x")).select("key", "x.*"), "sketches")
-    held = texts.select("key", F.posexplode("bands").alias("at", "value")).select("key", F.xxhash64("at", "value").alias("band"))
+    held = written(texts.select("key", "n", F.posexplode("bands").alias("at", "value")).select("key", "n", F.xxhash64("at", "value").alias("band")), "bands")
     by = lambda seed: F.min_by("key", F.xxhash64("key", "band", F.lit(seed)))
-    centres = held.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.array(by(1), by(2), F.min("key")).alias("centres")).filter("n > 1").drop("n")
+    centres = held.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.array(by(1), by(2), F.min("key")).alias("centres")).filter("m > 1").drop("m")
     pairs = held.join(centres, "band").select("key", F.explode(F.array_distinct("centres")).alias("other")).filter("key != other")
     pairs = written(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    found = docs.filter("text is not null").join(small(wanted, 2_000_000), F.xxhash64("text") == F.col("wanted"), "left_semi")
-    sets = found.select(key, F.pandas_udf(shingles, "array<long>")("text").alias("shingles")).groupBy("key").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets.join(texts.select("key", "fp"), "key"), "shingles")
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    whole = F.size("a_set") + F.size("b_set") - common
-    return both.filter((common >= similar * whole) & (F.col("a_fp") != F.col("b_fp"))).select(F.col("a_fp").alias("src"), F.col("b_fp").alias("dst")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, a_fp, b_fp) of the candidates that are near."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+        found = docs.filter("text is not null").join(small(wanted, 2_000_000), F.xxhash64("text") == F.col("wanted"), "left_semi")
+        sets = found.select(key, F.pandas_udf(shingles, "array<long>")("text").alias("shingles")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+        sets = written(sets.join(texts.select("key", "fp"), "key"), "shingles")
+        side = lambda x: sets.select(F.col("key").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        common = F.size(F.array_intersect("a_set", "b_set"))
+        whole = F.size("a_set") + F.size("b_set") - common
+        return both.filter(common >= similar * whole).select("a", "b", "a_fp", "b_fp")
+
+    near = written(verified(pairs), "near")
+    parts = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    own = held.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
+    own = written(own.select("key", "n", "band", "part"), "parts")
+    open_ = own.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high and m > 2").select("band")
+    left = own.join(small(open_, 2_000_000), "band", "left_semi")
+    side = lambda x: left.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "part")))
+    rest = side("a").join(side("b"), "band").filter("a_key < b_key and a_part != b_part").filter(F.least("a_n", "b_n") >= similar * F.greatest("a_n", "b_n"))
+    rest = rest.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        near = near.unionByName(verified(rest))
+    return near.filter("a_fp != b_fp").select(F.col("a_fp").alias("src"), F.col("b_fp").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:
