@@ -26,6 +26,7 @@ CODE = 15  #: the first 15 bits of a part at distance 1 are covered by the perfe
 PIECES = 5  #: of the bits outside a part, one more than THRESHOLD, so that two fingerprints at 4 bits or less agree in one of them
 FINE = 200_000_000  #: different fingerprints beyond which an anchor is divided by these pieces: more replicas, far fewer comparisons
 BUCKET = hamming.BUCKET
+TEXTS, HELD = 4096, 4_000_000  #: texts of a band, and shingles of them, that one task compares; more are dealt to pairs of chunks
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -140,14 +141,64 @@ def bands_of(text: str | None, shingle: int = WIDE) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE, wide: int = WIDE) -> DataFrame:
-    """(src, dst): fingerprints of texts whose sets of `wide` words in a row are at least `similar`, |A ∩ B| / |A ∪ B|.
+def link_sets(names: list[int], sets: list[np.ndarray], similar: float, forest: hamming.Forest) -> None:
+    """Links the names of all sets, each without repeats, of which two are at least `similar`, |A ∩ B| / |A ∪ B|.
 
-    Different texts meet by bands. First each is compared with three of those that share a band, its centres: two by hashes of their
-    own and the least, so that a group of near copies is one component after 3 n candidates. Then, in each band, all pairs
-    that are in different components yet are compared, but for those whose sets are of too unequal sizes: of texts that share a
-    band no link between components is lost. Every candidate is verified on the whole sets. This adds to the links of fingerprints and
-    takes none away; that near texts share a band is likely, not certain: recall is measured. What is broadcast is measured before.
+    What is linked to a set leaves the others before the next is compared, so a dense group costs little more than its size; sets
+    that are near none are each met with all that hold something of theirs.
+    """
+    if len(sets) == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        if common >= similar * (len(sets[0]) + len(sets[1]) - common):
+            forest.link(*names)
+        return
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, row, left = np.split(code, np.cumsum(size)[:-1]), np.repeat(np.arange(len(sets)), size), np.ones(len(sets), bool)
+
+    def postings() -> tuple[np.ndarray, np.ndarray]:
+        """The rows that are left by what they hold, and where those of each begin and end."""
+        kept = left[row]
+        return row[kept][np.argsort(code[kept], kind="stable")], np.r_[0, np.cumsum(np.bincount(code[kept], minlength=code.max() + 1))]
+
+    (rows, ends), indexed = postings(), len(sets)
+    for first in range(len(sets)):
+        seeds, left[first] = [first] if left[first] else [], False
+        while seeds:
+            x = seeds.pop()
+            if 2 * left.sum() < indexed:
+                (rows, ends), indexed = postings(), int(left.sum())
+            common = np.bincount(np.concatenate([rows[ends[k] : ends[k + 1]] for k in own[x]]), minlength=len(sets))
+            near = np.flatnonzero(left & (common >= similar * (size[x] + size - common))).tolist()
+            for y in near:
+                forest.link(names[x], names[y])
+            left[near] = False
+            seeds += near
+
+
+def _of_keys(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """All rows of one key after the other, from batches that are sorted by it."""
+    rest = None
+    for batch in batches:
+        now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        k = now[key].to_numpy()
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else [0]
+        for at, end in zip(starts, starts[1:]):
+            yield now.iloc[at:end]
+        rest = now.iloc[starts[-1] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE, wide: int = WIDE, bucket: int = TEXTS, held: int = HELD) -> DataFrame:
+    """(src, dst): fingerprints of texts whose sets of `wide` words in a row are at least `similar`, |A ∩ B| / |A ∪ B|: a spanning
+    tree of the texts of a band, not their pairs.
+
+    Different texts meet by bands, and the whole sets of a band are compared in one task, or, of more than `bucket` texts or
+    `held` shingles, in a task for each pair of chunks, so memory is bounded and no link of texts that share a band is lost. Bands of
+    the same texts are one. No row is made of a pair: a text is a row for each of its bands, for each chunk of a large one.
+    This adds to the links of fingerprints and takes none away; that near texts share a band is likely, not certain: recall is
+    measured. What is broadcast is measured before.
     """
     ship(docs.sparkSession)
 
@@ -161,40 +212,36 @@ def similar_links(docs: DataFrame, similar: float = 0.8, shingle: int = SHINGLE,
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, wide)).view(np.int64).tolist() for t in texts], dtype=object)
 
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = hamming.Forest()
+        for own in _of_keys(batches, "part"):
+            names = own["fp"].to_numpy().astype(np.int64).view(np.uint64).tolist()
+            if len(own) > 1:
+                link_sets(names, [np.asarray(x, np.int64) for x in own["shingles"]], similar, forest)
+            if len(forest.up) > hamming.NODES:
+                yield forest.frame()
+                forest = hamming.Forest()
+        yield forest.frame()
+
     key = F.xxhash64("text").alias("key")
     rows = docs.filter("text is not null").select(key, F.pandas_udf(sketch, "fp long, bands array<long>, n int")("text").alias("x"))
     texts = written(rows.groupBy("key").agg(F.first("x").alias("x")).select("key", "x.*"), "sketches")
-    held = written(texts.select("key", "n", F.posexplode("bands").alias("at", "value")).select("key", "n", F.xxhash64("at", "value").alias("band")), "bands")
-    by = lambda seed: F.min_by("key", F.xxhash64("key", "band", F.lit(seed)))
-    centres = held.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.array(by(1), by(2), F.min("key")).alias("centres")).filter("m > 1").drop("m")
-    pairs = held.join(centres, "band").select("key", F.explode(F.array_distinct("centres")).alias("other")).filter("key != other")
-    pairs = written(pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "candidates")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, a_fp, b_fp) of the candidates that are near."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-        found = docs.filter("text is not null").join(small(wanted, 2_000_000), F.xxhash64("text") == F.col("wanted"), "left_semi")
-        sets = found.select(key, F.pandas_udf(shingles, "array<long>")("text").alias("shingles")).groupBy("key").agg(F.first("shingles").alias("shingles"))
-        sets = written(sets.join(texts.select("key", "fp"), "key"), "shingles")
-        side = lambda x: sets.select(F.col("key").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("shingles").alias(f"{x}_set"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        common = F.size(F.array_intersect("a_set", "b_set"))
-        whole = F.size("a_set") + F.size("b_set") - common
-        return both.filter(common >= similar * whole).select("a", "b", "a_fp", "b_fp")
-
-    near = written(verified(pairs), "near")
-    parts = connected_components(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    own = held.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    own = written(own.select("key", "n", "band", "part"), "parts")
-    open_ = own.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high and m > 2").select("band")
-    left = own.join(small(open_, 2_000_000), "band", "left_semi")
-    side = lambda x: left.select("band", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "n", "part")))
-    rest = side("a").join(side("b"), "band").filter("a_key < b_key and a_part != b_part").filter(F.least("a_n", "b_n") >= similar * F.greatest("a_n", "b_n"))
-    rest = rest.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        near = near.unionByName(verified(rest))
-    return near.filter("a_fp != b_fp").select(F.col("a_fp").alias("src"), F.col("b_fp").alias("dst")).distinct()
+    in_band = texts.select("key", "fp", "n", F.posexplode("bands").alias("at", "value")).select("key", "fp", "n", F.xxhash64("at", "value").alias("band"))
+    same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"same{k}") for k in range(2)] + [F.min("key").alias("low"), F.max("key").alias("high")]
+    bands = in_band.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), *same).filter("m > 1")
+    bands = bands.groupBy("m", "total", "same0", "same1", "low", "high").agg(F.min("band").alias("band"))
+    large = (F.col("m") > bucket) | (F.col("total") > held)
+    chunks = F.when(large, F.ceil(F.greatest(2 * F.col("m") / bucket, 2 * F.col("total") / held))).otherwise(1).cast("int")
+    bands = written(bands.select("band", chunks.alias("chunks")), "bands")
+    dealt = in_band.join(small(bands, 2_000_000), "band").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.when(F.col("chunks") > 1, F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("band"))
+    dealt = written(dealt.select("key", "fp", part.alias("part")), "parts")
+    wanted = written(dealt.select(F.col("key").alias("wanted")).distinct(), "wanted")
+    found = docs.filter("text is not null").join(small(wanted, 2_000_000), F.xxhash64("text") == F.col("wanted"), "left_semi")
+    sets = found.select(key, F.pandas_udf(shingles, "array<long>")("text").alias("shingles")).groupBy("key").agg(F.first("shingles").alias("shingles"))
+    both = dealt.join(sets, "key").select("part", "fp", "shingles")
+    return both.repartition("part").sortWithinPartitions("part").mapInPandas(compared, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE, similar: float | None = None) -> DataFrame:

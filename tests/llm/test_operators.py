@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import binary, chat, common, decontaminate, language, packing, personal, quality, secrets, simhash, token_counts
 from quarrylight.llm.trigrams import holds, query, trigrams
+from quarrylight.storage import written
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __x string, text_hash long, found int, n int"
@@ -251,6 +252,27 @@ def test_similar_texts(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs(spark, texts), similar=0.8).collect()) == sorted(set(wanted))
 
 
+def test_large_band_makes_no_pairs(spark, monkeypatch):
+    """200 texts that share half of their words, and bands, but are not near: no table grows with their pairs, in one task or in
+    chunks; a chain of near ones among them is found."""
+    rnd = random.Random(13)
+    common = [f"c{k}" for k in range(100)]
+    texts = [" ".join(common + [f"t{i}_{k}" for k in range(44)]) for i in range(200)]
+    words = [*common, *(f"x{k}" for k in range(44))]
+    for at in range(12, 24, 2):
+        words[-at] = f"y{at}"
+        texts.append(" ".join(words))
+    rnd.shuffle(texts)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    linked = {i for i in range(len(texts)) for j in range(len(texts)) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    fps, rows = near(texts), []
+    monkeypatch.setattr(simhash, "written", lambda df, name: (out := written(df, name), rows.append(out.count()))[0])
+    for limits in ({}, {"bucket": 40}, {"held": 10_000}):
+        parts = simhash.connected_components(simhash.similar_links(docs(spark, texts), 0.8, **limits)).collect()
+        assert {r["node"] % (1 << 64) for r in parts} == {fps[i] for i in linked} and len({r["component"] for r in parts}) == 1
+        assert limits or max(rows) <= 16 * len(texts)
+
+
 def test_bands_meet(spark):
     """Texts at 0.8 share a band almost always, texts at 0.3 seldom."""
     rnd = random.Random(12)
