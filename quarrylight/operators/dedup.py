@@ -159,7 +159,7 @@ def near_edges(items: DataFrame, spec: DedupSpec) -> DataFrame:
         band = F.explode(bands(F.col(spec.signature), spec.bits, int(spec.threshold)))
         anchor = F.xxhash64("block", "x.band", "x.value")  # two keys that share a hash would only be compared more
         spread = first.withColumn("block", spec.block if spec.block is not None else F.lit(0)).select(F.col(spec.signature).alias("sig"), "block", band.alias("x"))
-        found = _same_block(links(spread.select("sig", anchor.alias("anchor")), int(spec.threshold)), spec)
+        found = same_block(links(spread.select("sig", anchor.alias("anchor")), int(spec.threshold)), spec)
         name = lambda side: first.select(F.col(spec.signature).alias(f"{side}_sig"), F.col("src").alias(side))
         pairs = found.join(name("a"), F.col("x") == F.col("a_sig")).join(name("b"), F.col("y") == F.col("b_sig"))
         return own.unionByName(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumn("kind", F.lit("near"))
@@ -189,7 +189,7 @@ def grouped(exact: DataFrame, near: DataFrame | None) -> DataFrame:
     return groups.join(label, "group_id").select("group_id", "item_id", F.when(F.col("all_exact"), "exact").otherwise("near").alias("match_type"))
 
 
-def _same_block(found: DataFrame, spec: DedupSpec) -> DataFrame:
+def same_block(found: DataFrame, spec: DedupSpec) -> DataFrame:
     """(x, y): links of equal blocks. A hash that two blocks share can bring others together."""
     if spec.block is None:
         return found.select(F.col("src").alias("x"), F.col("dst").alias("y"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from quarrylight.storage import cut, small
 
 BUCKET = 20_000  #: a key with more signatures is compared in pairs of chunks of about half that size
 NODES = 500_000  #: signatures whose trees a task holds before it gives out its links
+FEW = 64  #: signatures of a key up to which those of many keys are compared at once
+TILE = 1 << 18  #: comparisons in one call
+HELD = 1 << 16  #: rows that a task gathers before it compares
 
 
 class Forest:
@@ -40,34 +44,76 @@ class Forest:
         pairs = np.array(self.links, np.uint64).reshape(-1, 2).astype(np.int64)
         return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(self.frame(), preserve_index=False)
 
-def _compare(sig: np.ndarray, key: np.ndarray, threshold: int, forest: Forest) -> None:
-    """Links all signatures at threshold bits or less under the same key; rows are sorted by key.
 
-    Small groups are compared at once for all groups. In a large one, what is linked to a signature leaves the group
-    before the next is compared, so a dense group costs little more than its size.
+def _compare(sig: np.ndarray, key: np.ndarray, threshold: int, forest: Forest, new: np.ndarray | None = None) -> None:
+    """Links all signatures at threshold bits or less under the same key; rows are sorted by key. With `new`, those that are not
+    need no links to each other.
+
+    Small groups are compared at once for all groups, so that no row costs a call.
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    few = np.repeat(sizes <= 64, sizes)
-    s, k = sig[few], key[few]
-    for d in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        near = np.flatnonzero((k[d:] == k[:-d]) & (np.bitwise_count(s[d:] ^ s[:-d]) <= threshold))
-        for a, b in zip(s[near].tolist(), s[near + d].tolist()):
-            forest.link(a, b)
-    for at, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        left = np.unique(sig[at : at + n])
-        while len(left):
-            seeds, left = [left[0]], left[1:]
-            while seeds and len(left):
-                x = seeds.pop()
-                near = np.bitwise_count(left ^ x) <= threshold
-                if near.any():
-                    found = left[near]
-                    left = left[~near]
-                    for y in found.tolist():
-                        forest.link(int(x), y)
-                    seeds.extend(found)
+    after = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows of the group from this one on
+    at = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    for d in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+        at = at[after[at] > d]
+        near = np.bitwise_count(sig[at + d] ^ sig[at]) <= threshold
+        if new is not None:
+            near &= new[at + d] | new[at]
+        found = at[near]
+        for x, y in zip(sig[found].tolist(), sig[found + d].tolist()):
+            forest.link(x, y)
+    for at, n in zip(starts[sizes > FEW], sizes[sizes > FEW]):
+        _compare_many(sig[at : at + n], None if new is None else new[at : at + n], threshold, forest)
+
+
+def _compare_many(sig: np.ndarray, new: np.ndarray | None, threshold: int, forest: Forest) -> None:
+    """Links a large group: a tile of its signatures, new ones first, meets all that are left in one call. Where a tile has many
+    near pairs, all that is linked to the densest of its signatures leaves the group first, so a dense group costs little more
+    than its size."""
+    if new is None:
+        left = np.unique(sig)
+        todo = len(left)
+    else:
+        first = np.unique(sig[new])
+        left, todo = np.r_[first, np.setdiff1d(sig[~new], first)], len(first)
+    while todo and len(left) > 1:
+        tile = min(todo, max(16, TILE // len(left)))
+        near = np.bitwise_count(left[:tile, None] ^ left) <= threshold
+        rows, alive = np.ones(tile, bool), np.ones(len(left), bool)
+        while np.count_nonzero(near) - np.count_nonzero(rows) > 16 * tile:
+            x = int(near.sum(axis=1).argmax())
+            alive[x] = False
+            gone = np.r_[left[x : x + 1], _leaving(left[x], left[alive], threshold, forest)]
+            alive &= ~np.isin(left, gone)
+            rows &= alive[:tile]
+            near &= rows[:, None] & alive
+        i, j = np.nonzero(near)
+        for x, y in zip(left[i[i < j]].tolist(), left[j[i < j]].tolist()):
+            forest.link(x, y)
+        alive[:tile] = False
+        todo = int(np.count_nonzero(alive[:todo]))
+        left = left[alive]
+
+
+def _leaving(seed: np.uint64, left: np.ndarray, threshold: int, forest: Forest) -> np.ndarray:
+    """What of `left` is linked to the seed, over others of it too; the links go to the forest. What is found leaves before the
+    next is compared."""
+    seeds, gone = [seed], []
+    while seeds and len(left):
+        x = seeds.pop()
+        near = np.bitwise_count(left ^ x) <= threshold
+        if near.any():
+            found = left[near]
+            left = left[~near]
+            for y in found.tolist():
+                forest.link(int(x), y)
+            seeds.extend(found)
+            gone.append(found)
+    return np.concatenate(gone) if gone else left[:0]
 
 
 def dealt(spread: DataFrame, bucket: int, by: str) -> DataFrame:
@@ -86,7 +132,8 @@ def dealt(spread: DataFrame, bucket: int, by: str) -> DataFrame:
 
 def links(spread: DataFrame, threshold: int, bucket: int = BUCKET) -> DataFrame:
     """(src, dst) of rows (sig, anchor): links that connect signatures as all links at threshold bits or less under the same
-    anchor would. Not all links are given: of a group, a spanning tree, so copies and dense groups do not multiply.
+    anchor would. Not all links are given: of a group, a spanning tree, so copies and dense groups do not multiply. With a column
+    `new`, links of two that are both not new are left out.
 
     An anchor's signatures are compared in one task, or, where there are more than `bucket`, in a task for each pair of
     chunks, so memory is bounded and no link is lost.
@@ -94,25 +141,34 @@ def links(spread: DataFrame, threshold: int, bucket: int = BUCKET) -> DataFrame:
     ship(spread.sparkSession)
     keyed = dealt(spread, bucket, "sig")
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by key; a key's rows may lie in several batches."""
-        rest, forest = None, Forest()
-        unsigned = lambda x: x["sig"].to_numpy().astype(np.int64).view(np.uint64)
-        for batch in batches:
-            now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            k = now["key"].to_numpy()
-            last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            rest = now.iloc[last:]
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by key; a key's rows may lie in several batches, which are gathered until there are HELD rows."""
+        forest, held, n = Forest(), [], 0
+
+        def compare(whole: bool) -> list[pa.RecordBatch]:
+            """Compares the keys of what is held and keeps the rows of the last one, which may go on, unless it is the whole."""
+            now = pa.Table.from_batches(held)
+            key = now["key"].to_numpy()
+            last = len(key) if whole else int(np.searchsorted(key, key[-1]))
             if last:
-                _compare(unsigned(now)[:last], k[:last], threshold, forest)
+                new = now["new"].to_numpy()[:last] if "new" in now.column_names else None
+                _compare(now["sig"].to_numpy().view(np.uint64)[:last], key[:last], threshold, forest, new)
+            return now.slice(last).to_batches()
+
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= HELD:
+                held = compare(False)
+                n = -sum(b.num_rows for b in held) // 2  # a key that goes on is looked at again when it has grown by half
             if len(forest.up) > NODES:
-                yield forest.frame()
+                yield forest.batch()
                 forest = Forest()
-        if rest is not None and len(rest):
-            _compare(unsigned(rest), rest["key"].to_numpy(), threshold, forest)
-        yield forest.frame()
+        if held:
+            compare(True)
+        yield forest.batch()
 
-    return keyed.select("sig", "key").repartition("key").sortWithinPartitions("key").mapInPandas(found, "src long, dst long")
+    more = ["new"] if "new" in spread.columns else []
+    return keyed.select("sig", "key", *more).repartition("key").sortWithinPartitions("key").mapInArrow(found, "src long, dst long")
 
 
 def bands(sig: Column, bits: int, threshold: int) -> Column:

@@ -7,13 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarrylight.operators.dedup import DedupSpec, exact_edges, grouped
+from quarrylight.operators.dedup import DedupSpec, exact_edges, grouped, same_block
 from quarrylight.operators.hamming import bands, links
 from quarrylight.storage import small, written
 
 TABLES = {
     "items": "item_id long, sha256 string, sig long, batch string",
-    "bands": "sig long, block long, anchor long, batch string",
     "links": "src long, dst long, batch string",
 }
 
@@ -25,31 +24,30 @@ def _table(spark: SparkSession, store: str, name: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], TABLES[name])
+        return spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in TABLES[name].split(", "))))
 
 
 def add_batch(new: DataFrame, store: str, batch: int | str, spec: DedupSpec | None = None) -> None:
     """Adds items (item_id, sha256, sig) to a store as one batch: a part of each of its tables, written anew if the batch is
     run again, so that a batch that failed half way or comes twice leaves one trace.
 
-    What is new meets by its bands, as in one run, what the store has under the same bands; no other part of the store leaves
-    its files. Links are spanning ones, at most one for each signature of a band, whatever the number of copies. A null signature is alike to none;
-    an empty batch adds nothing. Batches go in one after the other.
+    What is new meets by its bands, as in one run, what the store has under the same bands; no other part of the store is
+    shuffled by bands, and what the store has is not compared with itself again. Links are spanning ones, at most one for each
+    signature of a band, whatever the number of copies. A null signature is alike to none; an empty batch adds nothing. Batches
+    go in one after the other.
     """
     spec = spec or DedupSpec.stills()
     spark = new.sparkSession
-    of = lambda rows: rows.filter(F.col("batch") != str(batch))
     own = written(new.select("item_id", "sha256", "sig"), "batch")
-    signed = own.filter("sig is not null").select("sig").distinct().withColumn("block", spec.block)
+    known = _table(spark, store, "items").filter(F.col("batch") != str(batch))
+    both = own.select("sig", F.lit(True).alias("new")).unionByName(known.select("sig", F.lit(False).alias("new")))
+    both = written(both.filter("sig is not null").groupBy("sig").agg(F.max("new").alias("new")), "both")
+    block = spec.block if spec.block is not None else F.lit(0)
     band = F.explode(bands(F.col("sig"), spec.bits, int(spec.threshold)))
-    spread = written(signed.select("sig", "block", band.alias("x")).select("sig", "block", F.xxhash64("block", "x.band", "x.value").alias("anchor")), "bands")
-    touched = small(spread.select("anchor").distinct(), 2_000_000)
-    known = of(_table(spark, store, "bands")).select("sig", "block", "anchor").join(touched, "anchor", "left_semi")
-    both = written(known.unionByName(spread).distinct(), "both")
-    near = links(both.select("sig", "anchor"), int(spec.threshold))
-    block = lambda name: both.select(F.col("sig").alias(name), F.col("block").alias(f"{name}_block")).distinct()
-    near = near.join(block("src"), "src").join(block("dst"), "dst").filter("src_block = dst_block").select("src", "dst")
-    for name, rows in (("links", near), ("bands", spread), ("items", own)):
+    spread = both.select("sig", "new", block.alias("block"), band.alias("x")).select("sig", "new", F.xxhash64("block", "x.band", "x.value").alias("anchor"))
+    touched = small(written(spread.filter("new").select("anchor").distinct(), "touched"), 2_000_000)
+    near = same_block(links(spread.join(touched, "anchor", "left_semi"), int(spec.threshold)), spec)
+    for name, rows in (("links", near.select(F.col("x").alias("src"), F.col("y").alias("dst"))), ("items", own)):
         rows.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
 
 

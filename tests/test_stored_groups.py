@@ -46,6 +46,17 @@ def test_a_batch_that_bridges(spark, tmp_path):
     assert as_set(groups.groups(spark, store)) == [(1, 1, "near"), (1, 2, "near"), (1, 3, "near")]
 
 
+def test_a_batch_does_not_compare_the_store_again(spark, tmp_path):
+    """Each link of a batch has an item of that batch; what the store has is linked already."""
+    store = str(tmp_path / "s")
+    for k, sigs in enumerate(([0, 1, 3], [7], [15])):
+        groups.add_batch(spark.createDataFrame([(10 * k + i, None, x) for i, x in enumerate(sigs)], ITEMS), store, k)
+    found = spark.read.schema("src long, dst long, batch string").parquet(f"{store}/links").collect()
+    assert {r["batch"] for r in found} == {"0", "1", "2"}
+    assert all({"1": 7, "2": 15}.get(r["batch"], r["src"]) in (r["src"], r["dst"]) for r in found)
+    assert {r[0] for r in as_set(groups.groups(spark, store))} == {0}
+
+
 def test_stream(spark, tmp_path):
     rows = sample(9, 60)
     for k in range(2):
