@@ -45,3 +45,47 @@ def test_time_decay_of_odd_rows(spark, tmp_path):
     found = queries.QUERIES["time_decay"](spark, str(tmp_path)).toPandas()
     assert len(found) == 7
     same(found, from_sql("time_decay", str(tmp_path)))
+
+
+@tables
+@pytest.mark.parametrize("name", ["chi_square_pairs"])
+def test_blocks_meet_without_a_shuffle(spark, name):
+    """Rows went to as many calls as there are blocks: n * n / 2,048 rows on disk."""
+    plan = queries.QUERIES[name](spark, HERE)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan for x in ("Exchange", "Generate", "FlatMap"))
+
+
+def apart(a, b):
+    return np.abs(a["x"].to_numpy()[:, None] - b["x"].to_numpy())
+
+
+@pytest.mark.parametrize("block", [3, 7, 10, 500])
+def test_every_pair_once(spark, block):
+    """Ids that are below zero, missing or there twice, and more and fewer chunks than partitions of a side."""
+    rnd = np.random.default_rng(block)
+    ids, x = [*range(-50, 50), 7, 8, None], rnd.integers(0, 40, 103) / 8
+    rows = spark.createDataFrame([*zip(ids, x.tolist())], "item_id long, x double")
+    known = [(i, v) for i, v in zip(ids, x.tolist()) if i is not None]
+    want = sorted((i, j, abs(v - w)) for i, v in known for j, w in known if i < j)
+    assert sorted(map(tuple, pairs.all_pairs(rows, apart, block=block).collect())) == want
+    assert sorted(map(tuple, pairs.all_pairs(rows, apart, 1.0, block).collect())) == [x for x in want if x[2] < 1]
+    assert sorted(map(tuple, pairs.all_pairs(rows, apart, block=block, keep=lambda d: d > 3).collect())) == [x for x in want if x[2] > 3]
+    some = pairs.against(rows.filter("item_id % 10 = 0"), rows, apart, block=block).collect()
+    assert sorted(map(tuple, some)) == sorted((i, j, abs(v - w)) for i, v in known if i % 10 == 0 for j, w in known if i != j)
+    none = rows.limit(0)
+    assert not pairs.all_pairs(none, apart, block=block).collect() and not pairs.against(none, rows, apart, block=block).collect()
+
+
+def test_rounded_as_sql_does():
+    duckdb = pytest.importorskip("duckdb")
+    x = np.r_[np.arange(0, 1, 1 / 4096), np.random.default_rng(1).random(4000), 0.1234565, 1.0]
+    t = pd.DataFrame({"x": x})  # noqa: F841
+    assert (pairs.rounded(x, 6) == duckdb.sql("select round(x, 6) as r from t").df()["r"].to_numpy()).all()
+
+
+@pytest.mark.parametrize("kinds", [3, 40])
+def test_histograms_of_many_and_few_kinds(kinds):
+    rnd = np.random.default_rng(kinds)
+    full = np.where(rnd.random((90, kinds)) < 3 / kinds, rnd.random((90, kinds)), 0)
+    rows = pd.DataFrame({"kinds": [[f"k{k}" for k in np.flatnonzero(x)] for x in full], "shares": [x[x > 0].tolist() for x in full]})
+    assert np.abs(C.chi_square_lists(C.Histograms(rows[:37]), rows[30:]) - C.chi_square_matrix(full[:37], full[30:])).max() < 1e-12
