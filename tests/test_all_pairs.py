@@ -47,6 +47,14 @@ def test_time_decay_of_odd_rows(spark, tmp_path):
     same(found, from_sql("time_decay", str(tmp_path)))
 
 
+@tables
+def test_chi_square_has_all_pairs(spark):
+    found = queries.QUERIES["chi_square_pairs"](spark, HERE).toPandas()
+    n = spark.read.parquet(f"{HERE}/events.parquet").select("user_id").distinct().count()
+    assert len(found) == n * (n - 1) // 2 and (found["i"] % 20 != 0).any()
+    same(found, from_sql("chi_square_pairs", HERE))
+
+
 @tables
 @pytest.mark.parametrize("name", ["chi_square_pairs"])
 def test_blocks_meet_without_a_shuffle(spark, name):
