@@ -55,6 +55,14 @@ def test_chi_square_has_all_pairs(spark):
     same(found, from_sql("chi_square_pairs", HERE))
 
 
+@tables
+def test_signal_distance_has_all_pairs(spark):
+    found = queries.QUERIES["signal_distance"](spark, HERE).toPandas()
+    n = spark.read.parquet(f"{HERE}/embeddings.parquet").count()
+    assert len(found) == n * (n - 1) // 2 and (found["i"] % 20 != 0).any()
+    same(found, from_sql("signal_distance", HERE))
+
+
 @tables
 @pytest.mark.parametrize("name", ["chi_square_pairs"])
 def test_blocks_meet_without_a_shuffle(spark, name):
