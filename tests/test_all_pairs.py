@@ -64,7 +64,7 @@ def test_signal_distance_has_all_pairs(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["signal_distance", "chi_square_pairs"])
+@pytest.mark.parametrize("name", ["signal_distance", "border_distances", "chi_square_pairs"])
 def test_blocks_meet_without_a_shuffle(spark, name):
     """Rows went to as many calls as there are blocks: n * n / 2,048 rows on disk."""
     plan = queries.QUERIES[name](spark, HERE)._jdf.queryExecution().executedPlan().toString()
